@@ -173,11 +173,13 @@ def vwap_dynamics(bars: DataFrame, n: int = 10) -> DataFrame:
     """Distance, slope, touches in the last ``n`` bars, bars since the last cross, reclaim
     from below; needs ``vwap``."""
     t = session_window()
-    side = F.signum(F.col("close") - F.col("vwap")).cast("int")
+    # Nine places: a bar of one trade sits on its own VWAP, not a rounding error beside it.
+    side = F.signum(F.round(F.col("close") - F.col("vwap"), 9)).cast("int")
     df = bars.withColumns({"_side": side, "_bar": F.row_number().over(t)})
     df = df.withColumn("_was", F.lag("_side").over(t))
     crossed = (F.col("_side") != F.col("_was")) & F.col("_was").isNotNull()
-    touch = ((F.col("low") <= F.col("vwap")) & (F.col("high") >= F.col("vwap"))).cast("int")
+    touch = ((F.round(F.col("low") - F.col("vwap"), 9) <= 0)
+             & (F.round(F.col("high") - F.col("vwap"), 9) >= 0)).cast("int")
     df = df.withColumns({
         "vwap_dist": pct_change("close", "vwap"),
         "vwap_slope": pct_change("vwap", F.lag("vwap").over(t)),

@@ -66,7 +66,7 @@ def performance(trades: DataFrame, by: list[str] | None = None, size_pct: float
         "trades_per_day": ratio("n_trades", "n_days")})
 
 
-def trade_distribution(trades: DataFrame) -> DataFrame:
+def trade_distribution(trades: DataFrame, edges: tuple[float, ...] = (25.0, 30.0, 40.0, 50.0)) -> DataFrame:
     """Count and mean percent by hour, by day of week and by gap bucket, each on its own.
 
     One first aggregate to the (hour, weekday, bucket) cube of at most a few hundred
@@ -74,7 +74,7 @@ def trade_distribution(trades: DataFrame) -> DataFrame:
     """
     cells = (trades
              .groupBy(F.hour("entry_ts").alias("hour"), F.dayofweek("session").alias("weekday"),
-                      scan_gap_bucket("gap_pct").alias("gap_bucket"))
+                      scan_gap_bucket("gap_pct", edges).alias("gap_bucket"))
              .agg(F.count(F.lit(1)).alias("n"), F.sum("pct").alias("s")))
     return (cells.groupingSets([["hour"], ["weekday"], ["gap_bucket"]], "hour", "weekday", "gap_bucket")
             .agg(F.sum("n").alias("n_trades"), (F.sum("s") / F.sum("n")).alias("avg_pct")))

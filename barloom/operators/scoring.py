@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import FloatType
+from pyspark.sql.types import DoubleType
 
 from ..schemas import SCORED
 from .dataset import feature_stats, zscore
@@ -29,7 +29,7 @@ def mlp_probability(features: Column, layers: Layers, batch_size: int = 4096) ->
             return (1.0 / (1.0 + np.exp(-(h @ w3.T + b3))))[:, 0]
         return predict
 
-    udf = predict_batch_udf(make, return_type=FloatType(), batch_size=batch_size,
+    udf = predict_batch_udf(make, return_type=DoubleType(), batch_size=batch_size,
                             input_tensor_shapes=[[n_inputs]])
     return udf(features)
 
