@@ -1,9 +1,12 @@
 """Stateful processors. Their input is bars, not ticks: whatever the tick rate of the
-busiest ticker, one (ticker, session) key sees a bounded number of rows a day."""
+busiest ticker, one (ticker, session) key sees a bounded number of rows a day.
+
+The step functions use nothing of this package, so workers need not have it installed.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,10 +16,6 @@ from ..operators import KEYS
 from ..operators.trades import LIVE, ExitRules
 
 
-def _sorted(chunks: Iterable[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(chunks), ignore_index=True).sort_values("bar_ts")
-
-
 def stream_volume_delta(bars: DataFrame, fill_seconds: int | None = None) -> DataFrame:
     """Bar volume from a cumulative counter, the last total kept as state across bars.
 
@@ -28,7 +27,7 @@ def stream_volume_delta(bars: DataFrame, fill_seconds: int | None = None) -> Dat
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         total, close, last = state.get if state.exists else (None, None, None)
         out = []
-        for b in _sorted(chunks).itertuples():
+        for b in pd.concat(list(chunks)).sort_values("bar_ts").itertuples():
             at = int(b.bar_ts.timestamp())
             if fill_seconds and last is not None:
                 for t in range(last + fill_seconds, at, fill_seconds):
@@ -61,7 +60,7 @@ def session_timers(bars: DataFrame, min_gain: float = 10.0, session_seconds: int
             return
         began, abandoned = state.get if state.exists else (None, False)
         out = []
-        for b in _sorted(chunks).itertuples():
+        for b in pd.concat(list(chunks)).sort_values("bar_ts").itertuples():
             at = int(b.bar_ts.timestamp())
             began = at if began is None else began
             if abandoned or at - began > session_seconds:
@@ -87,20 +86,21 @@ def stream_positions(bars: DataFrame, rules: ExitRules = LIVE) -> DataFrame:
     """
     schema = ("ticker string, session date, entry_ts timestamp, entry_price double, leg int, "
               "exit_ts timestamp, exit_price double, pct double")
+    trail, stop, target, limit = rules.trail, rules.stop, rules.target, rules.limit_minutes
 
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         entry, price, level, out2, out3 = state.get if state.exists else (None, None, None, False, False)
         rows = []
-        for b in _sorted(chunks).itertuples():
+        for b in pd.concat(list(chunks)).sort_values("bar_ts").itertuples():
             at = int(b.bar_ts.timestamp())
             if entry is None:
                 if b.signal == 1:
-                    entry, price, level, out2, out3 = at, float(b.close), -rules.trail, False, False
+                    entry, price, level, out2, out3 = at, float(b.close), -trail, False, False
                 continue
             pct = (b.close - price) / price * 100
-            level = max(level, pct - rules.trail)
-            late = (at - entry) / 60 > rules.limit_minutes
-            done = {2: late or pct <= level, 3: late or pct <= rules.stop or pct >= rules.target}
+            level = max(level, pct - trail)
+            late = (at - entry) / 60 > limit
+            done = {2: late or pct <= level, 3: late or pct <= stop or pct >= target}
             for leg, was in ((2, out2), (3, out3)):
                 if done[leg] and not was:
                     rows.append((*key, pd.Timestamp(entry, unit="s"), price, leg, b.bar_ts,
