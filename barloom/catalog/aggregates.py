@@ -104,7 +104,11 @@ def _(spark, d):
        JOIN (SELECT ticker, session, count(*) AS n_fine FROM fine WHERE NOT is_premarket GROUP BY 1, 2)
        USING (ticker, session)"""))
 def _(spark, d):
-    return final(B.bar_counts(A.bars(spark, d), A.fine_bars(spark, d)))
+    return final(bar_counts(A.stored_fine(spark, d)))
+
+
+def bar_counts(fine):
+    return B.bar_counts(B.rollup_bars(fine, COARSE), fine)
 
 
 @query("ag_10_gap_pct", sql("ticker d:session r:day_open r:day_close r:prev_close r:gap_pct", "FROM gaps"))
@@ -159,7 +163,7 @@ def _(spark, d):
 
 def vendors(spark, d):
     """One vendor covers regular hours, the other everything at slightly other prices."""
-    bars = A.bars(spark, d)
+    bars = A.stored_bars(spark, d)
     first = bars.filter(~F.col("is_premarket"))
     second = bars.withColumns({c: F.col(c) + 1 for c in ("open", "high", "low", "close")})
     return ("first", first), ("second", second)
@@ -187,7 +191,8 @@ def _(spark, d):
 @query("set_01_append", sql("ticker i:n_rows=count(*) i:volume=sum(volume)",
     "FROM (SELECT ticker, volume FROM bars UNION ALL SELECT ticker, volume FROM fine) GROUP BY ticker"))
 def _(spark, d):
-    both = A.bars(spark, d).unionByName(A.fine_bars(spark, d))
+    fine = A.stored_fine(spark, d)
+    both = B.rollup_bars(fine, COARSE).unionByName(fine)
     return final(both.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("volume").alias("volume")))
 
 

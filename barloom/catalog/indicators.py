@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import KEYS, indicators as I, scan, sessions as S
 from ..sources import adapters as A
 from .kit import COARSE, T_WINDOW, VIEWS, final, sql
-from .rows import BAR, BAR_SQL, candidates
+from .rows import BAR, BAR_SQL
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -131,7 +131,7 @@ simple("wn_23_price_structure", lambda b: I.price_structure(I.emas(b)), "structu
 
 def scored(spark, d):
     """All indicators with the day's gap and relative volume, and the composite score."""
-    bars = A.bars(spark, d)
+    bars = A.stored_bars(spark, d)
     day = S.relative_volume(S.gap_pct(bars)).select(*KEYS, "gap_pct", "rvol")
     return I.proxy_score(I.indicators(bars).join(day, KEYS), min_rvol=0.8)
 

@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..sources.adapters import COARSE, FINE, OPEN_MINUTE
 
 
-def final(df: DataFrame, *cols: str) -> DataFrame:
+def final(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
     """Selected columns in comparable form."""
     out = []
     for f in (df.select(*cols) if cols else df).schema:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DoubleType):
-            c = F.round(c, 6)
+            c = F.round(c, places)
             c = F.when(c == 0, F.lit(0.0)).otherwise(c)      # no negative zero
         elif isinstance(f.dataType, T.DateType):
             c = c.cast("string")
@@ -32,11 +32,12 @@ def final(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def _col(spec: str) -> str:
-    kind, _, rest = spec.partition(":") if re.match(r"^[rdtbi]:", spec) else ("", "", spec)
+    kind, _, rest = spec.partition(":") if re.match(r"^[rpdtbi]:", spec) else ("", "", spec)
     name, eq, expr = rest.partition("=")
     expr = expr if eq else name
-    if kind == "r":
-        expr = f"(CASE WHEN round(CAST({expr} AS DOUBLE), 6) = 0 THEN 0.0 ELSE round(CAST({expr} AS DOUBLE), 6) END)"
+    if kind in ("r", "p"):
+        value = f"round(CAST({expr} AS DOUBLE), {6 if kind == 'r' else 8})"
+        expr = f"(CASE WHEN {value} = 0 THEN 0.0 ELSE {value} END)"
     elif kind == "d":
         expr = f"CAST(CAST({expr} AS DATE) AS VARCHAR)"
     elif kind == "t":
@@ -49,7 +50,8 @@ def _col(spec: str) -> str:
 
 
 def sql(cols: str | list[str], tail: str) -> str:
-    """SELECT with the views the text mentions. Column marks: r rounded, d date,
+    """SELECT with the views the text mentions. Column marks: r rounded, p rounded to
+    eight places (a price times a basis-point factor ends in a half at six), d date,
     t timestamp, b 0/1, i integer; ``name=expression`` gives an expression."""
     cols = cols.split() if isinstance(cols, str) else cols
     return with_views(f"SELECT {', '.join(_col(c) for c in cols)}\n{tail}")

@@ -82,7 +82,7 @@ def query(name: str, oracle: str | None = None):
 
 def hard(spark, d) -> DataFrame:
     """The labelled set, stored: statistics, scoring and training each read it."""
-    rows = TR.labelled_anchors(A.fine_bars(spark, d), A.fundamentals(spark, d), COARSE)
+    rows = TR.labelled_anchors(*A.market(spark, d), COARSE)
     return materialize(binarize(rows), "hard")
 
 
@@ -141,11 +141,12 @@ def _(spark, d):
 def _(spark, d):
     log = (A.event_log(spark, d).filter(F.col("session") >= F.lit(RECENT).cast("date"))
            .withColumn("start_ts", F.col("session").cast("timestamp")))
-    rows = TR.build_training_set(A.fine_bars(spark, d), log, A.fundamentals(spark, d), COARSE, 86400)
+    fine, fund = A.market(spark, d)
+    rows = TR.build_training_set(fine, log, fund, COARSE, 86400)
     return final(rows, *BAR, "i", *FEATURES, "y")
 
 
-MONTH = "((year(session) - 1994) * 12 + month(session) - 1)"
+MONTH = "((year(session) - 1995) * 12 + month(session) - 1)"
 
 
 @query("scr_06_walk_forward", sql(
@@ -154,7 +155,7 @@ MONTH = "((year(session) - 1994) * 12 + month(session) - 1)"
         WHEN m = f + 13 THEN 'test' END AS role, f + 1 AS fold FROM (SELECT *, {MONTH} AS m,
         unnest([0, 1, 2, 3]) AS f FROM supplied)) WHERE role IS NOT NULL GROUP BY fold, role"""))
 def _(spark, d):
-    tagged = D.walk_forward(A.lineitem_daily(spark, d), "1994-01-01", 12)
+    tagged = D.walk_forward(A.lineitem_daily(spark, d), "1995-01-01", 12)
     return final(tagged.groupBy("fold", "role").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("session").alias("first_day"),
         F.max("session").alias("last_day"), F.sum("day_volume").alias("volume")))

@@ -28,16 +28,17 @@ def query(name: str, oracle: str | None = None):
 
 
 def pressed(spark, d) -> DataFrame:
-    known, _ = S.with_fundamentals(A.bars(spark, d), A.fundamentals(spark, d))
+    fine, fund = A.market(spark, d)
+    known, _ = S.with_fundamentals(B.rollup_bars(fine, COARSE), fund)
     return FE.with_pressure(known)
 
 
 def frame(spark, d) -> DataFrame:
-    return TR.feature_frame(A.fine_bars(spark, d), A.fundamentals(spark, d), COARSE)
+    return TR.feature_frame(*A.market(spark, d), COARSE)
 
 
 def anchors(spark, d) -> DataFrame:
-    return TR.labelled_anchors(A.fine_bars(spark, d), A.fundamentals(spark, d), COARSE)
+    return TR.labelled_anchors(*A.market(spark, d), COARSE)
 
 
 # ---------------------------------------------------------------- projections
@@ -73,7 +74,8 @@ def _(spark, d):
 @query("prj_05_range52_ratios", sql(BAR_SQL + "r:high52_ratio=1-close/high52 r:low52_ratio=1-low52/close",
                                     "FROM pbars"))
 def _(spark, d):
-    known, _rest = S.with_fundamentals(A.bars(spark, d), A.fundamentals(spark, d))
+    fine, fund = A.market(spark, d)
+    known, _rest = S.with_fundamentals(B.rollup_bars(fine, COARSE), fund)
     return final(FE.range52_ratios(known), *BAR, "high52_ratio", "low52_ratio")
 
 
@@ -164,29 +166,26 @@ def _(spark, d):
     FROM (SELECT bars.*, prev_close FROM bars JOIN gaps USING (ticker, session)) b WHERE NOT is_premarket)
     WHERE coalesce(gone, 0) = 0"""))
 def _(spark, d):
-    regular = S.with_prev_close(A.bars(spark, d)).filter(~F.col("is_premarket"))
+    regular = S.with_prev_close(A.stored_bars(spark, d)).filter(~F.col("is_premarket"))
     return final(S.until_abandoned(regular, -2.0), *BAR, "open", "prev_close")
 
 
-@query("flt_07_gap_scan", sql("ticker d:session r:gap_pct i:pm_volume r:price=day_open r:rvol float_shares",
+@query("flt_07_gap_scan", sql("ticker d:session r:gap_pct i:pm_volume r:price=day_open r:rvol r:float_shares",
     """FROM (SELECT r.*, pm_volume, float_shares FROM rvols r JOIN (SELECT ticker, session,
        coalesce(sum(volume) FILTER (is_premarket), 0) AS pm_volume FROM bars GROUP BY 1, 2) v USING (ticker, session)
        JOIN fund USING (ticker))
        WHERE gap_pct BETWEEN 0.5 AND 8 AND pm_volume > 100 AND day_open BETWEEN 1 AND 130 AND rvol > 0.8"""))
 def _(spark, d):
-    return final(S_scan(spark, d), "ticker", "session", "gap_pct", "pm_volume", "price", "rvol", "float_shares")
+    return final(candidates(spark, d), "ticker", "session", "gap_pct", "pm_volume", "price", "rvol", "float_shares")
 
 
 def candidates(spark, d) -> DataFrame:
-    bars = A.bars(spark, d)
+    fine, fund = A.market(spark, d)
+    bars = B.rollup_bars(fine, COARSE)
     day = S.relative_volume(S.gap_pct(bars))
-    return (day.join(S.premarket_volume(bars), KEYS)
-            .withColumn("price", F.col("day_open")))
-
-
-def S_scan(spark, d) -> DataFrame:
-    found = scan.gap_scan(candidates(spark, d), gap=(0.5, 8.0), min_pm_volume=100, price=(1.0, 130.0), min_rvol=0.8)
-    return found.join(A.fundamentals(spark, d), "ticker")
+    found = day.join(S.premarket_volume(bars), KEYS).withColumn("price", F.col("day_open"))
+    found = scan.gap_scan(found, gap=(0.5, 8.0), min_pm_volume=100, price=(1.0, 130.0), min_rvol=0.8)
+    return found.join(fund, "ticker")
 
 
 @query("flt_10_trading_window", sql(BAR_SQL + "r:close",
@@ -199,16 +198,17 @@ def _(spark, d):
 
 @query("jn_01_fundamentals", sql(BAR_SQL + "r:close r:high52 r:low52 r:float_shares", "FROM pbars"))
 def _(spark, d):
-    known, _rest = S.with_fundamentals(A.bars(spark, d), A.fundamentals(spark, d))
+    fine, fund = A.market(spark, d)
+    known, _rest = S.with_fundamentals(B.rollup_bars(fine, COARSE), fund)
     return final(known, *BAR, "close", "high52", "low52", "float_shares")
 
 
 @query("jn_01_rejects", sql(BAR_SQL + "r:close", """FROM bars WHERE ticker NOT IN
        (SELECT ticker FROM fund WHERE float_shares >= 5000000)"""))
 def _(spark, d):
-    thin = A.fundamentals(spark, d).withColumn(
-        "float_shares", F.when(F.col("float_shares") >= 5000000, F.col("float_shares")))
-    _known, rest = S.with_fundamentals(A.bars(spark, d), thin)
+    fine, fund = A.market(spark, d)
+    thin = fund.withColumn("float_shares", F.when(F.col("float_shares") >= 5000000, F.col("float_shares")))
+    _known, rest = S.with_fundamentals(B.rollup_bars(fine, COARSE), thin)
     return final(rest, *BAR, "close")
 
 
@@ -218,7 +218,7 @@ def _(spark, d):
        JOIN (SELECT ticker, session, arg_min(volume, bar_ts) AS first_volume FROM bars
              WHERE NOT is_premarket GROUP BY 1, 2) f USING (ticker, session) GROUP BY 1, 2)"""))
 def _(spark, d):
-    bars = A.bars(spark, d)
+    bars = A.stored_bars(spark, d)
     return final(S.premarket_limit(bars, bars.filter(~F.col("is_premarket"))))
 
 
@@ -226,9 +226,9 @@ SLOTS = [f"f1_{k}_{s}" for k in range(FINE_LOOKBACK, 0, -1) for s in ("w", "u",
 
 
 def aligned(spark, d, mode: str) -> DataFrame:
-    fund = A.fundamentals(spark, d)
-    fine = FE.with_pressure(S.with_fundamentals(A.fine_bars(spark, d), fund)[0])
-    return FE.align_fine(A.bars(spark, d), fine, COARSE, FINE, mode)
+    fine, fund = A.market(spark, d)
+    pressed_fine = FE.with_pressure(S.with_fundamentals(fine, fund)[0])
+    return FE.align_fine(B.rollup_bars(fine, COARSE), pressed_fine, COARSE, FINE, mode)
 
 
 @query("jn_03_align_fine", sql(["ticker", "d:session", "t:bar_ts", *[f"r:{c}" for c in SLOTS]], "FROM feats"))
@@ -274,7 +274,7 @@ def _(spark, d):
 @query("jn_05_prev_close", sql(BAR_SQL + "r:close r:prev_close",
                                "FROM (SELECT bars.*, prev_close FROM bars JOIN gaps USING (ticker, session))"))
 def _(spark, d):
-    return final(S.with_prev_close(A.bars(spark, d)), *BAR, "close", "prev_close")
+    return final(S.with_prev_close(A.stored_bars(spark, d)), *BAR, "close", "prev_close")
 
 
 @query("jn_07_context", sql(
@@ -287,7 +287,7 @@ def _(spark, d):
         ON r.session = x.session AND r.bar_ts >= x.bar_ts)"""))
 def _(spark, d):
     from ..operators.indicators import session_return
-    returns = session_return(A.bars(spark, d))
+    returns = session_return(A.stored_bars(spark, d))
     index = (returns.filter(F.col("ticker") == "view")
              .select("session", "bar_ts", F.col("session_return").alias("index_return")))
     return final(S.with_context(returns, index, COARSE), *BAR, "session_return", "index_return")
@@ -315,14 +315,14 @@ def _(spark, d):
        ON bars.ticker = f.ticker AND bars.session >= f.as_of"""
     ).replace("SELECT ticker AS ticker, CAST(CAST(session", "SELECT bars.ticker AS ticker, CAST(CAST(session"))
 def _(spark, d):
-    df = S.with_facts_asof(A.bars(spark, d), A.facts(spark, d))
+    df = S.with_facts_asof(A.stored_bars(spark, d), A.facts(spark, d))
     return final(df, *BAR, "short_ratio", "days_since_earnings")
 
 
 @query("jn_09_restrict_to", sql(BAR_SQL + "r:close", """FROM bars JOIN
        (SELECT ticker, session FROM gaps WHERE gap_pct BETWEEN 0.5 AND 8) g USING (ticker, session)"""))
 def _(spark, d):
-    bars = A.bars(spark, d)
+    bars = A.stored_bars(spark, d)
     listed = S.gap_pct(bars).filter(F.col("gap_pct").between(0.5, 8.0))
     return final(S.restrict_to(bars, listed), *BAR, "close")
 
@@ -348,7 +348,7 @@ def _(spark, d):
     ["ticker", "d:session", "t:bar_ts"] + [f"r:f1_{k}_{s}" for k in range(5, 0, -1) for s in ("w", "u")],
     "FROM fine_looked"))
 def _(spark, d):
-    fine = FE.with_pressure(S.with_fundamentals(A.fine_bars(spark, d), A.fundamentals(spark, d))[0])
+    fine = FE.with_pressure(S.with_fundamentals(*A.market(spark, d))[0])
     return final(FE.lookback_fine(fine), *BAR, *[f"f1_{k}_{s}" for k in range(5, 0, -1) for s in ("w", "u")])
 
 
@@ -387,5 +387,6 @@ def _(spark, d):
     ["ticker", "d:session", "t:bar_ts", "i:i", *FEATURE_SQL, "y"], "FROM hard"))
 def _(spark, d):
     log = A.event_log(spark, d).withColumn("start_ts", F.col("session").cast("timestamp"))
-    rows = TR.build_training_set(A.fine_bars(spark, d), log, A.fundamentals(spark, d), COARSE, 86400)
+    fine, fund = A.market(spark, d)
+    rows = TR.build_training_set(fine, log, fund, COARSE, 86400)
     return final(rows, *BAR, "i", *FEATURES, "y")

@@ -187,3 +187,33 @@ def _(spark, d):
                                    even_quantity("entry_price", 1000.0).alias("quantity"))
     W.write_orders(orders, path)
     return final(spark.read.schema(orders.schema).parquet(path))
+
+
+# History lines with whole numbers, so that both engines print the same text.
+LINE = """concat('S', l_suppkey, ' -', l_orderkey, 'Time Bought: ', l_linenumber, ' Time Sold: ', l_partkey,
+    ' Percent: -', l_partkey, '.', l_suppkey, CASE WHEN l_returnflag = 'N' THEN ' HELD ' ELSE ' SOLD ' END, l_linenumber)"""
+
+
+def lines(spark, d):
+    path = scratch_path(spark, "lines")
+    A.table(spark, d, "lineitem").select(F.expr(LINE).alias("value")).write.text(path)
+    return path
+
+
+@query("flt_06_line_filter", sql(["leg=l_linenumber", "i:n=count(*)", "i:profit=sum(-l_orderkey)", "i:held=sum(l_partkey)"],
+       "FROM lineitem WHERE l_returnflag <> 'N' GROUP BY l_linenumber"))
+def _(spark, d):
+    out = R.read_trade_history(spark, lines(spark, d))
+    return final(out.groupBy("leg").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("profit").cast("long")).alias("profit"),
+        F.sum(F.col("held_minutes").cast("long")).alias("held")))
+
+
+@query("tk_03_last_match", sql(["leg", "i:n=count(*)", "r:low=min(pct)", "r:high=max(pct)", "i:n_pct=count(DISTINCT pct)"],
+    f"""FROM (SELECT CAST(regexp_extract_all({LINE}, '([,-9]+)\\w+', 1)[-1] AS DOUBLE) AS pct,
+        CAST(regexp_extract_all({LINE}, '([0-9]+)', 1)[-1] AS INTEGER) AS leg FROM lineitem) GROUP BY leg"""))
+def _(spark, d):
+    out = R.read_trade_history(spark, lines(spark, d), "legacy_regex")
+    return final(out.groupBy("leg").agg(
+        F.count(F.lit(1)).alias("n"), F.min("pct").alias("low"), F.max("pct").alias("high"),
+        F.countDistinct("pct").alias("n_pct")))

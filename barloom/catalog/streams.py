@@ -56,9 +56,9 @@ class Run:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def append(self, stream: DataFrame, name: str) -> DataFrame:
+    def append(self, stream: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """Run to the end of what has landed, in append mode, and read the result."""
-        SB.run_available(stream, self.path(name), self.path(f"{name}-checkpoint"))
+        SB.run_available(stream, self.path(name), self.path(f"{name}-checkpoint"), by)
         return self.spark.read.schema(stream.schema).parquet(self.path(name))
 
     def follow(self, name: str, schema) -> DataFrame:
@@ -123,7 +123,7 @@ def _(spark, d):
 def _(spark, d):
     run = Run(spark, "features")
     fine = SB.stream_ohlcv(run.ticks(d), A.FINE, premarket=A.is_premarket())
-    run.append(fine, "fine")
+    run.append(fine, "fine", "session")
     LV.stream_features(run.follow("fine", fine.schema), run.path("fine"), run.path("out"),
                        run.path("checkpoint"), A.fundamentals(spark, d), COARSE)
     return final(SB.read_upserts(spark, run.path("out"), BAR), *BAR, "i", *FEATURES)

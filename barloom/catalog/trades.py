@@ -89,13 +89,8 @@ def entries(bars: DataFrame) -> DataFrame:
             .select(*KEYS, F.col("bar_ts").alias("entry_ts"), F.col("close").alias("entry_price")))
 
 
-def stored_bars(spark, d) -> DataFrame:
-    """Bars are read several times by a replay, so they are stored first, as in production."""
-    return materialize(A.bars(spark, d), "bars")
-
-
 def legs(spark, d, preset: str = "live") -> DataFrame:
-    bars = stored_bars(spark, d)
+    bars = A.stored_bars(spark, d)
     return TR.exits(entries(bars), bars, preset, LIVE if preset == "live" else SPEC)
 
 
@@ -113,14 +108,14 @@ HELD = "FROM paths WHERE NOT coalesce(was_forced, false)"
 
 @query("jn_11_entry_paths", sql(PATH_COLS, HELD))
 def _(spark, d):
-    bars = stored_bars(spark, d)
+    bars = A.stored_bars(spark, d)
     paths = TR.entry_paths(TR.with_deadline(entries(bars), LIVE), bars, 5400)
     return final(paths, *KEYS, "entry_ts", "bar_ts", "pct", "minutes", "forced")
 
 
 @query("wn_08_trail_level", sql(["ticker", "d:session", "t:entry_ts", "t:bar_ts", "r:trail_level"], HELD))
 def _(spark, d):
-    bars = stored_bars(spark, d)
+    bars = A.stored_bars(spark, d)
     paths = TR.entry_paths(TR.with_deadline(entries(bars), LIVE), bars, 5400)
     return final(TR.trail_level(paths), *KEYS, "entry_ts", "bar_ts", "trail_level")
 
@@ -161,18 +156,18 @@ FILLED = f"""(SELECT *, lead(bar_ts) OVER ({T_WINDOW}) AS entry_ts, lead(open) O
     FROM signals) WHERE signal = 1 AND entry_ts IS NOT NULL"""
 
 
-@query("jn_10_fills", sql(["ticker", "d:session", "t:bar_ts", "t:entry_ts", "r:entry_price"], f"FROM {FILLED}"))
+@query("jn_10_fills", sql(["ticker", "d:session", "t:bar_ts", "t:entry_ts", "p:entry_price"], f"FROM {FILLED}"))
 def _(spark, d):
-    return final(TR.fills(signals(spark, d)), *BAR, "entry_ts", "entry_price")
+    return final(TR.fills(signals(spark, d)), *BAR, "entry_ts", "entry_price", places=8)
 
 
 @query("trd_05_fills_daily", sql(
-    ["ticker", "d:session", "i:n_fills=count(*)", "r:cost=sum(entry_price)", "r:commission=0.0::DOUBLE*count(*)"],
+    ["ticker", "d:session", "i:n_fills=count(*)", "p:cost=sum(entry_price)", "r:commission=0.0::DOUBLE*count(*)"],
     f"FROM {FILLED} GROUP BY ticker, session"))
 def _(spark, d):
     f = TR.fills(signals(spark, d))
     return final(f.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_fills"), F.sum("entry_price").alias("cost"),
-                                      F.sum("commission").alias("commission")))
+                                      F.sum("commission").alias("commission")), places=8)
 
 
 TRADE_COLS = ["ticker", "d:session", "t:entry_ts", "t:exit_ts", "leg", "r:pct", "r:profit=exit_price-entry_price",

@@ -55,9 +55,10 @@ def first_bar_after(bars: DataFrame, entries: DataFrame, ts: str = "deadline") -
     of any length costs nothing and is answered exactly.
     """
     marks = entries.select(*KEYS, F.col(ts).alias("_t"), F.lit(1).alias("_kind"),
-                           "entry_ts", F.lit(None).cast("double").alias("_close"))
+                           "entry_ts", "entry_price", F.lit(None).cast("double").alias("_close"))
     points = bars.select(*KEYS, F.col("bar_ts").alias("_t"), F.lit(0).alias("_kind"),
-                         F.lit(None).cast("timestamp").alias("entry_ts"), F.col("close").alias("_close"))
+                         F.lit(None).cast("timestamp").alias("entry_ts"),
+                         F.lit(None).cast("double").alias("entry_price"), F.col("close").alias("_close"))
     w = (Window.partitionBy(*KEYS).orderBy(F.col("_t").desc(), F.col("_kind").desc())
          .rowsBetween(Window.unboundedPreceding, 0))
     is_bar = F.col("_kind") == 0
@@ -65,7 +66,7 @@ def first_bar_after(bars: DataFrame, entries: DataFrame, ts: str = "deadline") -
         "bar_ts": F.last(F.when(is_bar, F.col("_t")), ignorenulls=True).over(w),
         "close": F.last("_close", ignorenulls=True).over(w)})
     return (found.filter((F.col("_kind") == 1) & F.col("bar_ts").isNotNull())
-            .select(*ENTRY, "bar_ts", "close"))
+            .select(*ENTRY, "entry_price", "bar_ts", "close"))
 
 
 def entry_paths(entries: DataFrame, bars: DataFrame, bucket_seconds: int) -> DataFrame:
@@ -79,9 +80,7 @@ def entry_paths(entries: DataFrame, bars: DataFrame, bucket_seconds: int) -> Dat
     held = (range_join(bars.select(*KEYS, "bar_ts", "close"), ranges, KEYS, "bar_ts",
                        "_from", "_to", bucket_seconds)
             .select(*ENTRY, "entry_price", "bar_ts", "close", F.lit(False).alias("forced")))
-    late = (first_bar_after(bars, entries)
-            .join(entries.select(*ENTRY, "entry_price"), ENTRY)
-            .select(*ENTRY, "entry_price", "bar_ts", "close", F.lit(True).alias("forced")))
+    late = first_bar_after(bars, entries).withColumn("forced", F.lit(True))
     paths = held.unionByName(late)
     return paths.withColumns({"pct": pct_change("close", "entry_price"),
                               "minutes": minutes_between("bar_ts", "entry_ts")})
@@ -97,10 +96,19 @@ def trail_level(paths: DataFrame, trail: float = 2.5) -> DataFrame:
     return paths.withColumn("trail_level", F.greatest(best, F.lit(-trail)))
 
 
-def _first(cond: Column) -> Column:
-    """First (bar_ts, close, pct) of a path meeting ``cond``. The input is already sorted
-    by entry and time, so this aggregate needs no further sort."""
-    return F.min(F.when(cond, F.struct("bar_ts", "close", "pct")))
+def _first_exits(paths: DataFrame, conditions: dict[int, Column]) -> DataFrame:
+    """One row per entry and leg with the first bar meeting the leg's condition. Fixed-width
+    buffers and the entry's key alone: hash aggregation on the path window's partitioning."""
+    cols = [F.min("entry_price").alias("entry_price")]
+    for leg, cond in conditions.items():
+        at = F.when(cond, F.col("bar_ts"))
+        cols += [F.min(at).alias(f"ts{leg}"), F.min_by("close", at).alias(f"close{leg}"),
+                 F.min_by("pct", at).alias(f"pct{leg}")]
+    found = paths.groupBy(*ENTRY).agg(*cols)
+    legs = F.array(*[F.struct(F.lit(n).alias("leg"), F.col(f"ts{n}").alias("exit_ts"),
+                              F.col(f"close{n}").alias("exit_price"), F.col(f"pct{n}").alias("pct"))
+                     for n in conditions])
+    return found.select(*ENTRY, "entry_price", F.inline(legs))
 
 
 def leg_exits(paths: DataFrame, rules: ExitRules = LIVE) -> DataFrame:
@@ -108,10 +116,8 @@ def leg_exits(paths: DataFrame, rules: ExitRules = LIVE) -> DataFrame:
     stop or target, either one when the time limit has passed."""
     df = trail_level(paths, rules.trail)
     limits = (F.col("pct") <= rules.stop) | (F.col("pct") >= rules.target)
-    found = df.groupBy(*ENTRY, "entry_price").agg(
-        _first(F.col("forced") | (F.col("pct") <= F.col("trail_level"))).alias("leg2"),
-        _first(F.col("forced") | limits).alias("leg3"))
-    return _legs(found)
+    return _first_exits(df, {2: F.col("forced") | (F.col("pct") <= F.col("trail_level")),
+                             3: F.col("forced") | limits})
 
 
 def leg_exits_spec(paths: DataFrame, rules: ExitRules = SPEC) -> DataFrame:
@@ -126,18 +132,11 @@ def leg_exits_spec(paths: DataFrame, rules: ExitRules = SPEC) -> DataFrame:
         "_hit": first_hit,
         "_lost": F.min_by(stopped, F.when(stopped | gained, F.col("bar_ts"))).over(w)})
     trailed = F.col("close") <= F.col("_mark") * (1 - rules.trail / 100.0)
-    found = df.groupBy(*ENTRY, "entry_price").agg(
-        _first(F.col("forced") | stopped | gained).alias("leg2"),
-        _first(F.col("forced") | (F.col("_lost") & (F.col("bar_ts") == F.col("_hit")))
-               | (~F.col("_lost") & (F.col("bar_ts") > F.col("_hit")) & trailed)).alias("leg3"))
-    return _legs(found)
-
-
-def _legs(found: DataFrame) -> DataFrame:
-    legs = F.array(*[F.struct(F.lit(n).alias("leg"), F.col(f"leg{n}").alias("x")) for n in (2, 3)])
-    return (found.select(*ENTRY, "entry_price", F.inline(legs))
-            .select(*ENTRY, "entry_price", "leg", F.col("x.bar_ts").alias("exit_ts"),
-                    F.col("x.close").alias("exit_price"), F.col("x.pct").alias("pct")))
+    after = F.col("bar_ts") > F.col("_hit")
+    return _first_exits(df, {
+        2: F.col("forced") | stopped | gained,
+        3: (F.col("forced") | (F.col("_lost") & (F.col("bar_ts") == F.col("_hit")))
+            | (~F.col("_lost") & after & trailed))})
 
 
 def exits(entries: DataFrame, bars: DataFrame, preset: str = "live",
@@ -154,7 +153,8 @@ def positions(legs: DataFrame) -> DataFrame:
     """One row per entry: closed when both legs are, result the mean of the two halves.
     A position that is still open at the end of its session has a NULL exit."""
     both = F.count("exit_ts") == 2
-    return legs.groupBy(*ENTRY, "entry_price").agg(
+    return legs.groupBy(*ENTRY).agg(
+        F.min("entry_price").alias("entry_price"),
         F.when(both, F.max("exit_ts")).alias("exit_ts"),
         F.when(both, F.avg("pct")).alias("pct"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import ratio
 from ..operators.bars import ohlcv, rollup_bars
+from ..runtime import materialize
 
 COARSE = 1800          # stands for the five-minute grid
 FINE = 360             # stands for the one-minute grid
@@ -56,11 +57,32 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup_bars(fine_bars(spark, sf_dir), COARSE)
 
 
-def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per ticker: its price range, and a float that depends on its name."""
-    return (ticks(spark, sf_dir).groupBy("ticker")
-            .agg(F.max("price").alias("high52"), F.min("price").alias("low52"))
+def stored_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fine bars as a table: jobs that need them more than once scan the ticks once."""
+    return materialize(fine_bars(spark, sf_dir), "fine-bars")
+
+
+def stored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(bars(spark, sf_dir), "bars")
+
+
+def fundamentals_of(priced: DataFrame) -> DataFrame:
+    """One row per ticker of a bar table: its price range, and a float that depends on
+    its name. Stored, so that its real size decides whether Spark broadcasts it."""
+    rows = (priced.groupBy("ticker")
+            .agg(F.max("high").alias("high52"), F.min("low").alias("low52"))
             .withColumn("float_shares", 1000000.0 * F.length("ticker")))
+    return materialize(rows, "fundamentals")
+
+
+def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fundamentals_of(fine_bars(spark, sf_dir))
+
+
+def market(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(fine bars, fundamentals), both stored, from one scan of the ticks."""
+    fine = stored_fine(spark, sf_dir)
+    return fine, fundamentals_of(fine)
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:

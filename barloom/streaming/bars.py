@@ -53,10 +53,12 @@ def stream_premarket(ticks: DataFrame, open_minute: int, watermark: str = "1 hou
 
 # ---------------------------------------------------------------- sinks
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Process what has landed into Parquet and stop."""
-    q = (stream.writeStream.outputMode(mode).format("parquet")
-         .option("path", path).option("checkpointLocation", checkpoint)
+def run_available(stream: DataFrame, path: str, checkpoint: str, by: str | None = None) -> StreamingQuery:
+    """Append what has landed to Parquet, one folder per value of ``by``, and stop."""
+    writer = stream.writeStream.outputMode("append").format("parquet")
+    if by:
+        writer = writer.partitionBy(by)
+    q = (writer.option("path", path).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return q
@@ -93,9 +95,8 @@ def snapshot_batch(path: str, key: str = "ticker", ts: str = "bar_ts") -> Callab
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch
         if batch_id > 0:
-            before = batch.sparkSession.read.parquet(path).filter(F.col("version") < batch_id)
-            latest = before.agg(F.max("version").alias("v")).scalar()
-            rows = rows.unionByName(before.filter(F.col("version") == latest).drop("version"))
+            before = batch.sparkSession.read.schema(batch.schema)
+            rows = rows.unionByName(before.parquet(f"{path}/version={batch_id - 1}"))
         values = [c for c in batch.columns if c not in (key, ts)]
         (rows.groupBy(key).agg(F.max(ts).alias(ts), *[F.max_by(c, ts).alias(c) for c in values])
          .write.mode("overwrite").parquet(f"{path}/version={batch_id}"))

@@ -18,15 +18,20 @@ def features_batch(fine_table: str, path: str, fundamentals: DataFrame, coarse_s
                    ) -> Callable[[DataFrame, int], None]:
     """Features of the coarse bars touched by a batch of fine bars.
 
-    The sessions in the batch are read back from the fine-bar table (partition-pruned by
-    session) and run through the batch operators, so live and training features cannot
-    drift apart and no lookback has to be kept in Python state.
+    The sessions in the batch are read back from the fine-bar table and run through the
+    batch operators, so live and training features cannot drift apart and no lookback
+    has to be kept in Python state. The batch's first and last day prune the table's
+    session folders, so a batch costs its own days and not the history.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        first, last = batch.agg(F.min("session"), F.max("session")).first()
+        if first is None:
+            return
         touched = (batch.withColumn("bar_ts", bucket_start("bar_ts", coarse_seconds))
                    .select(*KEYS, "bar_ts").distinct())
-        fine = spark.read.schema(batch.schema).parquet(fine_table)
+        fine = (spark.read.schema(batch.schema).parquet(fine_table)
+                .filter(F.col("session").between(first, last)))
         day = fine.join(touched.select(*KEYS).distinct(), KEYS, "left_semi")
         rows = live_features(day, fundamentals, coarse_seconds)
         (rows.join(touched, [*KEYS, "bar_ts"], "left_semi")
