@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.columns import bucket_start, pct_change, ratio
 from . import KEYS, session_window
 
-# One row per (ticker, session) in here: a group is one ticker's trading days.
-DAYS = Window.partitionBy("ticker").orderBy("session")
+def _days() -> "Window":
+    """A ticker's sessions in order. Only used on tables with one row per (ticker,
+    session): a group is one ticker's trading days."""
+    return Window.partitionBy("ticker").orderBy("session")
 
 
 # ---------------------------------------------------------------- premarket / regular
@@ -77,7 +79,7 @@ def daily(bars: DataFrame) -> DataFrame:
 def prev_close(bars: DataFrame) -> DataFrame:
     """Close of the last bar of the ticker's previous session."""
     last = bars.groupBy(*KEYS).agg(F.max_by("close", "bar_ts").alias("last_close"))
-    return last.withColumn("prev_close", F.lag("last_close").over(DAYS))
+    return last.withColumn("prev_close", F.lag("last_close").over(_days()))
 
 
 def with_prev_close(bars: DataFrame) -> DataFrame:
@@ -88,14 +90,14 @@ def with_prev_close(bars: DataFrame) -> DataFrame:
 def gap_pct(bars: DataFrame) -> DataFrame:
     """Regular-hours open against the previous close, in percent."""
     day = daily(bars)
-    prev = F.lag("day_close").over(DAYS)
+    prev = F.lag("day_close").over(_days())
     return (day.withColumn("prev_close", prev)
             .withColumn("gap_pct", pct_change("day_open", F.col("prev_close"))))
 
 
 def relative_volume(day: DataFrame, n: int = 20, volume: str = "day_volume") -> DataFrame:
     """Day volume over the mean of the ticker's previous ``n`` sessions."""
-    mean = F.avg(volume).over(DAYS.rowsBetween(-n, -1))
+    mean = F.avg(volume).over(_days().rowsBetween(-n, -1))
     return day.withColumn("rvol", ratio(volume, mean))
 
 
