@@ -59,8 +59,9 @@ def performance(trades: DataFrame, by: list[str] | None = None, size_pct: float
     if keys:
         both = per_trade.join(per_day, keys)
     else:
-        both = (per_trade.withColumn("_one", F.lit(1))
-                .join(per_day.withColumn("_one", F.lit(1)), "_one").drop("_one"))
+        # Two one-row results: the second is read as a scalar subquery.
+        days = per_day.select(F.struct(*per_day.columns)).scalar()
+        both = per_trade.withColumn("_d", days).select("*", "_d.*").drop("_d")
     return both.withColumns({
         "win_loss_ratio": ratio(F.col("avg_win"), -F.col("avg_loss")),
         "trades_per_day": ratio("n_trades", "n_days")})

@@ -1,6 +1,11 @@
 """Stateful processors. Their input is bars, not ticks: whatever the tick rate of the
 busiest ticker, one (ticker, session) key sees a bounded number of rows a day.
 
+Bars of a key must reach a processor in time order from batch to batch. A stream over the
+table that ``stream_ohlcv`` appends to does so: its commits are atomic and follow the
+watermark, and a trigger reads whole commits. Do not put ``maxFilesPerTrigger`` on that
+second stream, which would split a commit.
+
 The step functions use nothing of this package, so workers need not have it installed.
 """
 
