@@ -7,8 +7,9 @@ from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions.columns import ratio
 from ..schemas import SCORED
-from .dataset import feature_stats, zscore
+from .dataset import feature_stats
 
 Layers = list[tuple[np.ndarray, np.ndarray]]
 
@@ -35,15 +36,21 @@ def mlp_probability(features: Column, layers: Layers, batch_size: int = 4096) ->
 
 
 def mlp_score(df: DataFrame, layers: Layers, out: str = "p", columns: list[str] = SCORED,
-              threshold: float = 0.5) -> DataFrame:
+              threshold: float = 0.5, stats: DataFrame | None = None) -> DataFrame:
     """Probability and 0/1 decision; rows with a missing input get NULL, never a stale or
-    guessed signal."""
-    inputs = F.array(*[F.col(c).cast("double") for c in columns])
-    complete = ~F.exists(inputs, lambda x: x.isNull())
-    filled = F.transform(inputs, lambda x: F.coalesce(x, F.lit(0.0)))
-    scored = df.withColumn(out, mlp_probability(filled, layers).cast("double"))
+    guessed signal. With one-row ``stats`` the inputs are normalized on the way, without
+    a second copy of the columns."""
+    values = [F.col(c).cast("double") for c in columns]
+    if stats is not None:
+        df = df.withColumn("_s", stats.select(F.struct(*stats.columns)).scalar())
+        s = F.col("_s")
+        values = [ratio(v - s[f"{c}__mean"], s[f"{c}__std"]) for c, v in zip(columns, values)]
+    inputs = df.withColumn("_x", F.array(*values)).drop("_s")
+    complete = ~F.exists("_x", lambda x: x.isNull())
+    filled = F.transform("_x", lambda x: F.coalesce(x, F.lit(0.0)))
+    scored = inputs.withColumn(out, mlp_probability(filled, layers))
     return (scored.withColumn(out, F.when(complete, F.col(out)))
-            .withColumn(f"{out}_hit", (F.col(out) > threshold).cast("int")))
+            .withColumn(f"{out}_hit", (F.col(out) > threshold).cast("int")).drop("_x"))
 
 
 def ensemble_and(df: DataFrame, first: str = "p_all_hit", second: str = "p_recent_hit") -> DataFrame:
@@ -62,11 +69,8 @@ def score(df: DataFrame, train_all: DataFrame, train_recent: DataFrame,
         return t if f"{SCORED[0]}__mean" in t.columns else feature_stats(t)
 
     keys = [c for c in df.columns if c not in SCORED]
-    raw = {c: F.col(c).alias(f"_raw_{c}") for c in SCORED}
-    step = df.select(*keys, *SCORED, *raw.values())
-    step = mlp_score(zscore(step, stats(train_all)), all_layers, "p_all")
-    step = step.withColumns({c: F.col(f"_raw_{c}") for c in SCORED})
-    step = mlp_score(zscore(step, stats(train_recent)), recent_layers, "p_recent")
+    step = mlp_score(df, all_layers, "p_all", stats=stats(train_all))
+    step = mlp_score(step, recent_layers, "p_recent", stats=stats(train_recent))
     return ensemble_and(step.select(*keys, "p_all", "p_all_hit", "p_recent", "p_recent_hit"))
 
 

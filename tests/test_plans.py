@@ -9,7 +9,12 @@ from barloom.operators import bars as B, indicators as I
 from barloom.sources import adapters as A
 
 QUERIES = driver.queries()
-BATCH = [n for n in QUERIES if not n.startswith(("st_", "src_07", "snk_03", "scr_0", "jn_06"))]
+BATCH = ["prj_07_feature_row", "flt_01_event_window", "flt_05_until_abandoned", "flt_07_gap_scan", "jn_01_rejects",
+         "jn_02_volume_match", "jn_03_align_ratio", "jn_05_prev_close", "jn_07_context", "jn_07_sector_context",
+         "jn_08_facts_asof", "jn_09_restrict_to", "jn_11_entry_paths", "ag_05_profile", "ag_06_pnl_by_leg",
+         "ag_08_relative_volume_daily", "ag_11_performance", "ag_12_trade_distribution", "ag_15_cum_volume_ratio",
+         "wn_07_locf", "wn_24_proxy_score", "set_02_balance", "src_08_merge_bars", "scr_06_walk_forward",
+         "scr_07_augment", "trd_02_exits_spec", "trd_03_non_overlapping", "trd_04_risk_limits", "prj_09_zscore"]
 
 
 def plan(df) -> str:
