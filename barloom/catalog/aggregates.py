@@ -67,7 +67,7 @@ def _(spark, d):
 @query("ag_04_feature_stats", sql(
     [f"r:{c}__mean=avg({c})" for c in SCORED] + [f"r:{c}__std=stddev_samp({c})" for c in SCORED], "FROM hard"))
 def _(spark, d):
-    return final(D.feature_stats(anchors(spark, d)))
+    return final(D.feature_stats(materialize(anchors(spark, d), "anchors")))
 
 
 PROFILED = ["day_high_ratio", "pm_low_ratio", "f5_1_w", "f5_1_u", "f1_1_u"]

@@ -319,6 +319,29 @@ def _(spark, d):
     return final(df, *BAR, "short_ratio", "days_since_earnings")
 
 
+@query("jn_07_inverted_level", sql(
+    ["ticker", "d:session", "r:day_close", "r:inverted_level=(top - level) / nullif(top - low, 0)"],
+    """FROM (SELECT x.ticker, x.session, x.day_close, v.level, v.top, v.low FROM days x JOIN (SELECT session, day_close AS level,
+         max(day_close) OVER w AS top, min(day_close) OVER w AS low FROM days WHERE ticker = 'error'
+         WINDOW w AS (PARTITION BY ticker ORDER BY session ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) v USING (session))"""))
+def _(spark, d):
+    day = S.daily(A.stored_bars(spark, d))
+    index = S.inverted_level(day.filter(F.col("ticker") == "error")).select("session", "inverted_level")
+    return final(day.join(index, "session"), "ticker", "session", "day_close", "inverted_level")
+
+
+@query("jn_08_microstructure", sql(
+    ["ticker=b.ticker", "d:session=b.session", "t:bar_ts", "r:log_float=ln(1 + float_shares)", "r:short_ratio",
+     "i:days_since_earnings=CAST(b.session AS DATE) - earnings_date"],
+    """FROM pbars b ASOF LEFT JOIN (SELECT ticker, CAST(date_trunc('week', session) AS DATE) AS as_of,
+         max(vol) / 100.0 AS short_ratio, CAST(date_trunc('week', session) AS DATE) - length(ticker)::INTEGER AS earnings_date
+         FROM ticks GROUP BY ticker, 2) f ON b.ticker = f.ticker AND b.session >= f.as_of"""))
+def _(spark, d):
+    fine, fund = A.market(spark, d)
+    df = S.microstructure(B.rollup_bars(fine, COARSE), fund, A.facts(spark, d))
+    return final(df, *BAR, "log_float", "short_ratio", "days_since_earnings")
+
+
 @query("jn_09_restrict_to", sql(BAR_SQL + "r:close", """FROM bars JOIN
        (SELECT ticker, session FROM gaps WHERE gap_pct BETWEEN 0.5 AND 8) g USING (ticker, session)"""))
 def _(spark, d):

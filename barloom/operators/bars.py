@@ -51,9 +51,10 @@ def rollup_bars(fine: DataFrame, seconds: int, origin: int = 0, carry: list[str]
 
 def quote_bars(quotes: DataFrame, seconds: int) -> DataFrame:
     """Price bars from quotes carrying a cumulative counter, which is kept as its value
-    at the start (``total_open``) and the end (``total_close``) of each bar."""
+    at the start (``total_open``) and the end (``total_close``) of each bar. Failed polls
+    (no price) add nothing; a bar of failed polls only is left to ``locf``."""
     key = sequence_key("ts", "seq")
-    return (quotes
+    return (quotes.filter(F.col("last_price").isNotNull())
             .withColumn("bar_ts", bucket_start("ts", seconds))
             .groupBy(*KEYS, "bar_ts")
             .agg(F.min_by("last_price", key).alias("open"),

@@ -240,3 +240,17 @@ def with_context(bars: DataFrame, context: DataFrame, seconds: int) -> DataFrame
              .withColumn("_slot", F.explode(F.sequence(F.col("bar_ts"), F.col("_until"), step)))
              .select("session", F.col("_slot").alias("bar_ts"), *cols))
     return bars.join(dense, ["session", "bar_ts"], "left")
+
+
+def inverted_level(day: DataFrame, col: str = "day_close", n: int = 20) -> DataFrame:
+    """A volatility index turned round and scaled by its own last ``n`` sessions: 1 at the
+    lowest level, 0 at the highest."""
+    w = _days().rowsBetween(-(n - 1), 0)
+    top, low = F.max(col).over(w), F.min(col).over(w)
+    return day.withColumn("inverted_level", ratio(top - F.col(col), top - low))
+
+
+def microstructure(bars: DataFrame, fundamentals: DataFrame, facts: DataFrame) -> DataFrame:
+    """Log-scaled float, short-interest ratio and days since the last earnings."""
+    known, _ = with_fundamentals(bars, fundamentals)
+    return with_facts_asof(known, facts).withColumn("log_float", F.log1p("float_shares"))

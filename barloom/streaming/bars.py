@@ -27,9 +27,10 @@ def stream_ohlcv(ticks: DataFrame, seconds: int, origin: int = 0, watermark: str
 
 
 def stream_quote_bars(quotes: DataFrame, seconds: int, watermark: str = "1 hour") -> DataFrame:
-    """Price bars with the cumulative counter at both ends of the bar."""
+    """Price bars with the cumulative counter at both ends of the bar; failed polls, which
+    carry no price, add nothing."""
     key = sequence_key("ts", "seq")
-    return (quotes.withWatermark("ts", watermark)
+    return (quotes.filter(F.col("last_price").isNotNull()).withWatermark("ts", watermark)
             .groupBy(*KEYS, F.window("ts", f"{seconds} seconds").alias("w"))
             .agg(F.min_by("last_price", key).alias("open"), F.max("last_price").alias("high"),
                  F.min("last_price").alias("low"), F.max_by("last_price", key).alias("close"),
