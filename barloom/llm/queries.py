@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe
+from . import bpe, mixing, quality, secrets
 from .common import read, sha256_hex
 
 QUERIES, SQL = {}, {}
@@ -27,3 +27,65 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         sha256_hex(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
         sha256_hex(F.col("decoded")).alias("decoded_sha256"))
+
+
+@query("op4_quality_crf")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    field = quality.fit(docs, read(spark, sf_dir, "labels"))
+    return quality.apply_rules(docs, field).drop("text")
+
+
+_SECRET_SQL_RULES = [(r, r.pattern.replace("'", "''")) for r in secrets.RULES]
+_SECRET_SQL = ",\n".join(
+    f"""s{k} AS (SELECT row_id, [x FOR x IN list_transform(range(1, len(m) + 1), lambda i: {{
+        'start': coalesce(list_sum([length(x) FOR x IN p[1:i]]), 0) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0),
+        'ord': {k}, 'len': length(m[i]), 'grp': length(g[i]), 'kind': '{r.kind}'}}) IF x.grp >= {r.least}] AS spans
+    FROM (SELECT row_id, string_split_regex(t, '{q}') AS p, regexp_extract_all(t, '{q}') AS m,
+        regexp_extract_all(t, '{q}', {r.group}) AS g FROM d))""" for k, (r, q) in enumerate(_SECRET_SQL_RULES))
+_SPAN_TEXT = ("coalesce(array_to_string(list_transform({}, lambda x: x.kind || ':' || CAST(x.start AS BIGINT) || ':' "
+              "|| CAST(x.start + x.len AS BIGINT)), ','), '')")
+
+
+@query("op7_secret_scan", f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t FROM documents),
+{_SECRET_SQL},
+a AS (SELECT doc_id, s0.spans AS s0, s1.spans AS s1, s2.spans AS s2,
+    list_sort(list_concat(s0.spans, list_concat(s1.spans, s2.spans))) AS base,
+    list_sort({' || '.join(f's{k}.spans' for k in range(len(secrets.RULES)))}) AS every
+  FROM d {' '.join(f'JOIN s{k} USING (row_id)' for k in range(len(secrets.RULES)))})
+SELECT doc_id, CAST(len(s0) AS BIGINT) AS n_assign, CAST(len(s1) AS BIGINT) AS n_access,
+  CAST(len(s2) AS BIGINT) AS n_hex, sha256({_SPAN_TEXT.format('base')}) AS base_sha256,
+  {_SPAN_TEXT.format('every')} AS spans FROM a""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_base = sum(r.base for r in secrets.RULES)
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("secrets", lambda s: s["order"] < n_base)
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        sha256_hex(secrets.span_text(base)).alias("base_sha256"),
+                        secrets.span_text(F.col("secrets")).alias("spans"))
+
+
+_MIX_ALPHA, _MIX_SEED = 0.7, 17
+
+
+@query("op10_mix_sources", f"""
+WITH d AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '~') || ':' || md5(coalesce(text, '')) AS k FROM documents),
+s AS (SELECT source AS src, CAST(sum(coalesce(length(text), 0) + 1) AS DOUBLE) AS n FROM d GROUP BY 1),
+r AS (SELECT src, pow(n, {_MIX_ALPHA}) * sum(n) OVER () / (sum(pow(n, {_MIX_ALPHA})) OVER () * n) AS rate FROM s),
+m AS (SELECT src, rate, greatest(1, ceil(rate / 64)) AS parts FROM r),
+c AS (SELECT src, any_value(CAST(parts AS INTEGER)) AS parts, list(p ORDER BY i) AS cdf FROM (SELECT src, parts, i,
+    sum(exp(-rate / parts + i * ln(rate / parts) - lgamma(i + 1))) OVER (PARTITION BY src ORDER BY i) AS p
+    FROM m, range(0, CAST(ceil(rate / parts + 12 * sqrt(rate / parts) + 30) AS BIGINT) + 1) t(i)) GROUP BY src),
+u AS (SELECT d.*, cdf, (CAST('0x' || substr(md5('{_MIX_SEED}:' || j || ':' || k), 1, 13) AS BIGINT) + 0.5)
+    / 4503599627370496.0 AS u FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.src, range(1, parts + 1) q(j)),
+n AS (SELECT doc_id, text, lang, source, n_chars, k,
+    CAST(sum(len(list_filter(cdf, lambda x: x < u))) AS BIGINT) AS n FROM u GROUP BY ALL)
+SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy,
+    md5('order{_MIX_SEED}:' || copy || ':' || k) AS mix_key FROM n, range(1, n + 1) x(copy)""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), alpha=_MIX_ALPHA, seed=_MIX_SEED)
