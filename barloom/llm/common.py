@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..runtime import scratch_path
+
 #: A word, as every contract counts them: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -102,3 +104,20 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 def sha256_hex(col) -> "F.Column":
     return F.sha2(col, 256)
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage is cut there. ``unstore``
+    gives the space back once nothing reads it any more."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def unstore(*frames: DataFrame) -> None:
+    for df in frames:
+        jvm, path = df.sparkSession._jvm, df._stored_at
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, mixing, quality, secrets
+from . import bpe, mixing, ngram_join, quality, secrets
 from .common import read, sha256_hex
 
 QUERIES, SQL = {}, {}
@@ -89,3 +89,9 @@ SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy,
     md5('order{_MIX_SEED}:' || copy || ':' || k) AS mix_key FROM n, range(1, n + 1) x(copy)""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), alpha=_MIX_ALPHA, seed=_MIX_SEED)
+
+
+@query("op1_ngram_jaccard_join")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return ngram_join.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
