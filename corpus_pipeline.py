@@ -1,10 +1,67 @@
-"""From raw documents to token ids, one stage after the other."""
+"""From raw documents to token ids: each stage takes what the one before it kept.
+
+Every stage function has (spark, docs, sf_dir) and returns a DataFrame; all but the last return
+the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from barloom.llm import bpe, mixing, ngram_join, quality, secrets
+from barloom.llm.common import read, replace_column, store
+
+#: Near copies share 80 percent of their five-word shingles.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+MIX_ALPHA, MIX_SEED = 0.7, 17
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules; the field is fitted on the labelled ones among
+    all documents."""
+    field = quality.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return quality.apply_rules(docs, field).filter("kept").select(*docs.columns)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_join.representatives(docs, NEAR_WORDS, NEAR_PERCENT).select(*docs.columns)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark and ``n_chars`` counted anew where a text
+    has changed."""
+    clean = secrets.redact(secrets.scan(docs))
+    length = F.when(F.size("secrets") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return replace_column(clean, "n_chars", length).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: documents repeated or left out by draw, and shuffled."""
+    return mixing.mix(docs, alpha=MIX_ALPHA, seed=MIX_SEED).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, checked by decoding: a text that came back changed would stop
+    the job."""
+    rows = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text")))
+    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    ids = F.when(same, F.col("ids")).otherwise(
+        F.raise_error(F.lit("decoding did not give the text back")).cast("array<int>"))
+    return rows.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids"))
+
+
+STAGES = [("quality rules", good), ("n-gram jaccard join", distinct), ("secret scan", without_secrets),
+          ("mixing", mixed), ("byte-level bpe", tokens)]
+
+#: The quality rules and the near copies are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = store(docs, f"stage{k}")
+    return docs
