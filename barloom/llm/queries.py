@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, mixing, ngram_join, quality, secrets
+from . import bpe, chat, mixing, ngram_join, quality, secrets, urls
 from .common import read, sha256_hex
 
 QUERIES, SQL = {}, {}
@@ -95,3 +95,67 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return ngram_join.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+URL_RULES = (urls.Rule("net", "/", "block"), urls.Rule("example.net", "/en/", "allow"),
+             urls.Rule("example.com", "/de/", "block"), urls.Rule("org", "/fr/", "allow"))
+#: Listed domains: names known for spam, each in the three zones.
+LISTED = tuple(f"{name}.example.{zone}" for name in
+               ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+               for zone in ("com", "net", "org"))
+_URL_CASES = "\n".join(
+    f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{{}}'"
+    for r in sorted(URL_RULES, key=lambda r: -len(r.name)))
+_URL_NAMES = _URL_CASES.format(*(r.name for r in sorted(URL_RULES, key=lambda r: -len(r.name))))
+_URL_VERDICTS = _URL_CASES.format(*(r.verdict for r in sorted(URL_RULES, key=lambda r: -len(r.name))))
+
+
+@query("op6_url_filter", f"""
+WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)
+SELECT page_id, host, path, CASE {_URL_NAMES} END AS rule, CASE {_URL_VERDICTS}
+    WHEN list_has_any([array_to_string(string_split(host, '.')[i:], '.') FOR i IN range(1, len(string_split(host, '.')) + 1)],
+        {list(LISTED)}) THEN 'block' ELSE 'allow' END AS verdict FROM p""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    listed = spark.createDataFrame([(k,) for k in LISTED], "key string")
+    return urls.judge(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+_ESCAPED = r"""regexp_replace(t, '([<\[])(\\*)(/?(?:s>|(?:INST|SYS|OUT|ROLE(?::[0-9A-F-]*)?)\]))', '\1\\\2\3', 'g')"""
+
+
+@query("op8_chat_prefix_targets", f"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations
+    UNION ALL SELECT -1, n, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, r)),
+s AS (SELECT *, length({_ESCAPED}) + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 11
+        ELSE 16 + coalesce(2 * strlen(role), 1) END AS size,
+    row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM c
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, t)),
+e AS (SELECT *, 3 + (i - 1) + sum(size) OVER (PARTITION BY conv_id ORDER BY i) AS whole FROM s)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(coalesce(role, '') || chr(10) || t || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(whole) FILTER (role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], turns.schema)
+    examples = chat.expand(turns.unionByName(more))
+    back = examples.select(
+        "conv_id", "example", F.char_length("formatted").alias("size"),
+        chat.masked(F.col("formatted"), F.col("loss_start"), F.col("loss_end")).alias("loss"),
+        chat.read_turns(F.col("formatted")).alias("turns"))
+    whole = F.max_by("turns", "example")                     # the last example has every turn
+    loss = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "loss"))),
+                                    lambda x: F.coalesce(x["loss"], F.lit(""))), "")
+    convs = back.groupBy("conv_id").agg(whole.alias("turns"), loss.alias("loss"),
+                                        F.sum("size").cast("long").alias("formatted_chars"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(
+        F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return convs.select("conv_id", F.size("turns").cast("long").alias("n_turns"),
+                        sha256_hex(lines).alias("turns_sha256"),
+                        F.char_length("loss").cast("long").alias("loss_chars"),
+                        sha256_hex(F.col("loss")).alias("loss_sha256"), "formatted_chars")
