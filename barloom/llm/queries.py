@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, mixing, ngram_join, quality, secrets, urls
+from . import bpe, chat, imatch, mixing, ngram_join, quality, secrets, urls
 from .common import read, sha256_hex
 
 QUERIES, SQL = {}, {}
@@ -159,3 +159,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
                         sha256_hex(lines).alias("turns_sha256"),
                         F.char_length("loss").cast("long").alias("loss_chars"),
                         sha256_hex(F.col("loss")).alias("loss_sha256"), "formatted_chars")
+
+
+@query("op9_imatch_fingerprints")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return imatch.edited_fingerprints(docs, imatch.lexicon(docs))
