@@ -43,7 +43,7 @@ class Bpe:
     rank, since rank files name the result of a merge and not its parts.
     """
 
-    PIECES = 300_000
+    PIECES, CALL = 600_000, 512
 
     def __init__(self, data: bytes, pattern: str):
         import regex
@@ -59,34 +59,88 @@ class Bpe:
         self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False,
                                                               use_regex=False)
         self.split = regex.compile(pattern).findall
-        self.bytes_of = {i: t for t, i in ranks.items()}
-        self.lengths = np.zeros(max(ranks.values()) + 1, np.int32)
+        by_id: list[bytes | None] = [None] * (max(ranks.values()) + 1)
         for t, i in ranks.items():
-            self.lengths[i] = len(t)
-        self.pieces: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, batch: list[str]) -> list[list[int]]:
+            by_id[i] = t
+        self.tokens = pa.array(by_id, pa.large_binary())
+        self.lengths = np.array([len(t or b"") for t in by_id], np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.pieces = _Numbered()
+        self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int32)
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Ids of new pieces. Many pieces go to the library as one sequence of words, whose
+        tokens come back with the number of their word."""
+        ids, counts = [], []
+        for k in range(0, len(fresh), self.CALL):
+            words = fresh[k:k + self.CALL]
+            e = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(e.ids, np.int32))
+            counts.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(words)))
+        counts = np.concatenate(counts)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.ids = np.concatenate([self.ids, *ids])
+
+    def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids of the batch, where each text's ids begin, with the end)."""
         if len(self.pieces) > self.PIECES:
-            self.pieces.clear()
-        known, out, cut = self.pieces, [], [self.split(t) for t in batch]
-        fresh = list({p for pieces in cut for p in pieces if p not in known})
-        for p, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False)):
-            known[p] = tuple(e.ids)
-        for pieces in cut:
-            out.append([i for p in pieces for i in known[p]])
-        return out
-
-    def offsets(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+            self._forget()
+        numbers, ends = [np.zeros(0, np.int64)], [0]
+        for t in batch:
+            pieces = self.split(t)
+            numbers.append(np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces)))
+            ends.append(ends[-1] + len(pieces))
+        if self.pieces.fresh:
+            self._learn(self.pieces.fresh)
+            self.pieces.fresh = []
+        at = np.concatenate(numbers)
+        counts = self.counts[at]
+        begin = np.concatenate([[0], np.cumsum(counts)])
+        flat = self.ids[np.repeat(self.starts[at] - begin[:-1], counts) + np.arange(begin[-1])]
+        return flat, begin[ends]
+
+    def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First character and end of each token. A token that holds only part of a
         character's bytes gets that whole character."""
         raw = np.frombuffer(text.encode(), np.uint8)
         chars = np.cumsum((raw & 0xC0) != 0x80) - 1       # character of each byte
-        ends = np.cumsum(self.lengths[ids]) if ids else np.zeros(0, np.int64)
-        starts = ends - self.lengths[ids] if ids else ends
-        return chars[starts], chars[ends - 1] + 1
+        ends = np.cumsum(self.lengths[ids])
+        return chars[ends - self.lengths[ids]], chars[ends - 1] + 1
+
+    def decode(self, ids: np.ndarray, begin: np.ndarray) -> pa.Array:
+        """Bytes of each sequence ``ids[begin[k]:begin[k + 1]]``. The tokens' bytes lie one
+        after the other in the taken array, so a sequence is a stretch of its data."""
+        if not len(ids):
+            return pa.array([b""] * (len(begin) - 1), pa.binary())
+        taken = self.tokens.take(pa.array(ids))
+        if taken.null_count:
+            raise ValueError("an id has no token")
+        _, ends, data = taken.buffers()
+        ends = np.frombuffer(ends, np.int64)[taken.offset:taken.offset + len(ids) + 1]
+        large = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(ends[begin].copy()), data])
+        return large.cast(pa.binary())
+
+
+class _Numbered(dict):
+    """Numbers of pieces in order of appearance; ``fresh`` has those met since it was emptied."""
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.bytes_of[i] for i in ids])
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.fresh.append(piece)
+        n = self[piece] = len(self)
+        return n
+
+
+def _lists(values: np.ndarray, begin: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
 @lru_cache(maxsize=4)
@@ -119,31 +173,39 @@ def encode(df: DataFrame, col: str = "text", ranks: str | None = None, pattern:
     def run(batch: pa.RecordBatch) -> list:
         bpe = _loaded(data.value, pattern)
         given = texts(batch, col)
-        ids = bpe.encode(given)
-        out = [pa.array(ids, pa.list_(pa.int32()))]
+        ids, begin = bpe.encode(given)
+        out = [_lists(ids, begin)]
         if offsets:
-            spans = [bpe.offsets(t, i) for t, i in zip(given, ids)]
-            out += [pa.array([s[k].astype(np.int32) for s in spans], pa.list_(pa.int32()))
-                    for k in (0, 1)]
+            spans = [bpe.offsets(t, ids[i:j]) for t, i, j in zip(given, begin, begin[1:])]
+            out += [_lists(np.concatenate([s[k] for s in spans]), begin) for k in (0, 1)]
         return out
 
     return append_columns(df, run, fields)
 
 
-def decode(df: DataFrame, col: str = "ids", ranks: str | None = None) -> DataFrame:
-    """``df`` with ``decoded`` (the bytes of the tokens) and ``decoded_text``.
+def decode(df: DataFrame, col: str = "ids", ranks: str | None = None, as_text: bool = False
+           ) -> DataFrame:
+    """``df`` with ``decoded`` (the bytes of the tokens) and, with ``as_text``, ``decoded_text``.
 
-    Ids may end inside a character, as a cut sequence does: ``decoded`` has the bytes as they
-    are, ``decoded_text`` a replacement character for an unfinished one. Null ids decode to
-    nothing; an id outside the vocabulary is an error.
+    Ids may begin or end inside a character, as a cut sequence does: ``decoded`` has the bytes
+    as they are, ``decoded_text`` a replacement character for an unfinished one. Null ids
+    decode to nothing; an id outside the vocabulary, or a null one, is an error.
     """
     data = df.sparkSession.sparkContext.broadcast(rank_bytes(ranks))
 
     def run(batch: pa.RecordBatch) -> list:
-        bpe = _loaded(data.value, PATTERN)
-        raw = [bpe.decode(i or []) for i in batch.column(batch.schema.get_field_index(col)).to_pylist()]
-        return [pa.array(raw, pa.binary()),
-                pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())]
+        lists = batch.column(batch.schema.get_field_index(col)).fill_null([])
+        ids = lists.flatten()
+        if ids.null_count:
+            raise ValueError("an id is null")
+        begin = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+        raw = _loaded(data.value, PATTERN).decode(ids.to_numpy(), begin.astype(np.int64))
+        out = [raw]
+        if as_text:
+            out.append(pa.array([r.decode("utf-8", "replace") for r in raw.to_pylist()], pa.string()))
+        return out
 
-    return append_columns(df, run, [T.StructField("decoded", T.BinaryType()),
-                                    T.StructField("decoded_text", T.StringType())])
+    fields = [T.StructField("decoded", T.BinaryType())]
+    if as_text:
+        fields.append(T.StructField("decoded_text", T.StringType()))
+    return append_columns(df, run, fields)
