@@ -121,3 +121,12 @@ def unstore(*frames: DataFrame) -> None:
         jvm, path = df.sparkSession._jvm, df._stored_at
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps; it does so when the driver's
+    references to them are collected."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

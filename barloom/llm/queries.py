@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, imatch, mixing, ngram_join, quality, secrets, urls
+from . import bpe, chat, imatch, mixing, ngram_join, quality, secrets, substrings, urls
 from .common import read, sha256_hex
 
 QUERIES, SQL = {}, {}
@@ -165,3 +165,21 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return imatch.edited_fingerprints(docs, imatch.lexicon(docs))
+
+
+_W = substrings.WINDOW
+
+
+@query("op5_substring_dedup", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+e AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+s AS (SELECT r, i, array_to_string(w[i:i + {_W - 1}], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - {_W - 2})) AS i FROM d)),
+f AS (SELECT r, i, count(*) OVER (PARTITION BY g) > 1 AS f FROM s),
+x AS (SELECT r, i, word, max(coalesce(f, false)) OVER (PARTITION BY r ORDER BY i ROWS {_W - 1} PRECEDING) AS gone
+    FROM e LEFT JOIN f USING (r, i)),
+k AS (SELECT r, count(*) AS n, count(*) FILTER (gone) AS g, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM x GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(g, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return substrings.dedup(docs).select("doc_id", "n_words", "n_removed", sha256_hex(F.col("kept")).alias("kept_sha256"))
