@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, imatch, mixing, ngram_join, quality, secrets, substrings, urls
+from . import bpe, chat, html, imatch, mixing, ngram_join, quality, secrets, substrings, urls
 from .common import read, sha256_hex
 
 QUERIES, SQL = {}, {}
@@ -183,3 +183,9 @@ FROM d LEFT JOIN k USING (r)""")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return substrings.dedup(docs).select("doc_id", "n_words", "n_removed", sha256_hex(F.col("kept")).alias("kept_sha256"))
+
+
+@query("op3_html_wrapper")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
