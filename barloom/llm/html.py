@@ -210,26 +210,42 @@ def _key(path: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\0{text}") - (1 << 63)
 
 
+def blocks_of(nodes: list[Text | None]) -> list[list[Text]]:
+    """Runs of text nodes between block boundaries that hold more than white space."""
+    out: list[list[Text]] = [[]]
+    for n in nodes:
+        if n is None:
+            out.append([])
+        else:
+            out[-1].append(n)
+    return [b for b in out if any(n.text.strip() for n in b)]
+
+
+def _head(block: list[Text]) -> Text:
+    return next(n for n in block if n.text.strip())
+
+
+def _block_key(block: list[Text]) -> int:
+    return _key(_head(block).path, _clean("".join(n.text for n in block)))
+
+
 def page_nodes(html: str) -> tuple[str, list[int], list[int]]:
-    """(tree, number of the path, key) with one entry for each distinct text node."""
+    """(tree, number of the path, key) with one entry for each distinct block of text."""
     paths, nodes = parse(html)
     number = {p: k for k, p in enumerate(paths)}
-    seen = {}
-    for n in nodes:
-        if n is not None and n.path and (t := _clean(n.text)):
-            seen.setdefault(_key(n.path, t), number[n.path])
+    seen = {_block_key(b): number[_head(b).path] for b in blocks_of(nodes) if _head(b).path}
     return "\n".join(paths), list(seen.values()), list(seen)
 
 
 def main_text(html: str, constant: frozenset) -> str:
-    """Content of one page, given the keys of its host's constant texts."""
-    nodes = parse(html)[1]
-    kept = [n for n in nodes if n is None or not n.dropped]
+    """Content of one page, given the keys of its host's constant blocks."""
+    blocks = blocks_of(parse(html)[1])
     if constant:
-        varying = [n for n in kept if n is None or not n.text.strip() or not _is_constant(n, constant)]
-        if any(n is not None and n.text.strip() for n in varying):
-            kept = varying
-    shown = [n for n in kept if n is not None and n.text.strip()]
+        varying = [b for b in blocks if not _is_constant(b, constant)]
+        if any(not n.dropped and n.text.strip() for b in varying for n in b):
+            blocks = varying
+    blocks = [[n for n in b if not n.dropped] for b in blocks]
+    shown = [n for b in blocks for n in b if n.text.strip()]
     sizes: dict[int, int] = {}
     for n in shown:
         if n.article:
@@ -237,31 +253,31 @@ def main_text(html: str, constant: frozenset) -> str:
     if sizes:
         most = max(sizes.values())
         wanted = {a for a, s in sizes.items() if 2 * s >= most}
-        kept = [n for n in kept if n is None or n.article in wanted]
+        blocks = [[n for n in b if n.article in wanted] for b in blocks]
     elif any(n.main for n in shown):
-        kept = [n for n in kept if n is None or n.main]
+        blocks = [[n for n in b if n.main] for b in blocks]
     else:
-        kept = _densest(kept, shown)
-    return _clean("".join(" " if n is None else n.text for n in kept))
+        best = _densest(shown)
+        if best is not None:
+            blocks = [[n for n in b if best in n.line] for b in blocks]
+    return _clean(" ".join(["".join([n.text for n in b]) for b in blocks]))
 
 
-def _is_constant(n: Text, constant: frozenset) -> bool:
-    t = _clean(n.text)
-    return (not (n.article or n.main) or len(t) <= LONGEST_CONSTANT) and _key(n.path, t) in constant
+def _is_constant(block: list[Text], constant: frozenset) -> bool:
+    head = _head(block)
+    short = sum(len(n.text) for n in block) <= LONGEST_CONSTANT
+    return (short or not (head.article or head.main)) and _block_key(block) in constant
 
 
-def _densest(kept: list[Text | None], shown: list[Text]) -> list[Text | None]:
-    """Without an article: the innermost element that still has most of the unlinked text."""
+def _densest(shown: list[Text]) -> int | None:
+    """Without an article: the innermost container that still has most of the unlinked text."""
     weight: dict[int, int] = {}
     for n in shown:
         if not n.link:
             for e in n.line:
                 weight[e] = weight.get(e, 0) + len(n.text)
-    if not weight:
-        return kept
-    whole = max(weight.values())
-    best = max((e for e, w in weight.items() if 10 * w >= 7 * whole), default=None)
-    return kept if best is None else [n for n in kept if n is None or best in n.line]
+    whole = max(weight.values(), default=0)
+    return max((e for e, w in weight.items() if 10 * w >= 7 * whole), default=None)
 
 
 def templates(pages: DataFrame) -> DataFrame:
