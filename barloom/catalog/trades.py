@@ -31,7 +31,7 @@ VIEWS.update({
         lag(forced) OVER ({PATH}) AS was_forced FROM (
         SELECT e.*, b.bar_ts, b.close, (b.close - entry_price) / entry_price * 100 AS pct,
         (epoch(b.bar_ts) - epoch(entry_ts)) / 60 AS minutes, (epoch(b.bar_ts) - epoch(entry_ts)) / 60 > 90 AS forced
-        FROM entries e JOIN bars b ON e.ticker = b.ticker AND e.session = b.session AND b.bar_ts > e.entry_ts)""",
+        FROM entries e LEFT JOIN bars b ON e.ticker = b.ticker AND e.session = b.session AND b.bar_ts > e.entry_ts)""",
     "legs": """SELECT ticker, session, entry_ts, entry_price, 2 AS leg,
         min(bar_ts) FILTER (forced OR pct <= trail_level) AS exit_ts,
         arg_min(close, bar_ts) FILTER (forced OR pct <= trail_level) AS exit_price,
@@ -61,7 +61,7 @@ VIEWS.update({
         min(CASE WHEN pct <= -3 OR pct >= 3 THEN bar_ts END) OVER (PARTITION BY ticker, session, entry_ts) AS hit,
         arg_min(pct, bar_ts) FILTER (pct <= -3 OR pct >= 3) OVER (PARTITION BY ticker, session, entry_ts) <= -3 AS lost
         FROM (SELECT e.*, b.bar_ts, b.close, (b.close - entry_price) / entry_price * 100 AS pct,
-          b.bar_ts >= {CLOSE_AT} AS forced FROM entries e JOIN bars b ON e.ticker = b.ticker AND e.session = b.session
+          b.bar_ts >= {CLOSE_AT} AS forced FROM entries e LEFT JOIN bars b ON e.ticker = b.ticker AND e.session = b.session
           AND b.bar_ts > e.entry_ts WHERE e.entry_ts < {CLOSE_AT})""",
     "slegs": """SELECT ticker, session, entry_ts, entry_price, 2 AS leg,
         min(bar_ts) FILTER (forced OR bar_ts = hit) AS exit_ts, arg_min(pct, bar_ts) FILTER (forced OR bar_ts = hit) AS pct
@@ -103,7 +103,7 @@ def closed(spark, d) -> DataFrame:
 
 
 PATH_COLS = ["ticker", "d:session", "t:entry_ts", "t:bar_ts", "r:pct", "r:minutes", "b:forced"]
-HELD = "FROM paths WHERE NOT coalesce(was_forced, false)"
+HELD = "FROM paths WHERE bar_ts IS NOT NULL AND NOT coalesce(was_forced, false)"
 
 
 @query("jn_11_entry_paths", sql(PATH_COLS, HELD))
@@ -170,6 +170,43 @@ def _(spark, d):
                                       F.sum("commission").alias("commission")), places=8)
 
 
+VIEWS.update({
+    "bought": f"SELECT ticker, session, entry_ts, entry_price FROM {FILLED}",
+    "bpaths": VIEWS["spaths"].replace("FROM entries e", "FROM bought e").replace("b.bar_ts > e.entry_ts", "b.bar_ts >= e.entry_ts"),
+    "blegs": VIEWS["slegs"].replace("spaths", "bpaths"),
+    "sold": f"""SELECT l.ticker, l.session, l.entry_ts, entry_price, leg, CASE WHEN l.exit_ts IS NOT NULL THEN coalesce(nts, l.exit_ts) END AS exit_ts,
+        (coalesce(nopen, n.close) * 0.9995 - entry_price) / entry_price * 100 AS pct FROM blegs l
+        LEFT JOIN (SELECT *, lead(bar_ts) OVER ({T_WINDOW}) AS nts, lead(open) OVER ({T_WINDOW}) AS nopen FROM bars) n
+        ON l.ticker = n.ticker AND l.session = n.session AND l.exit_ts = n.bar_ts""",
+    "bpos": VIEWS["posl"].replace("FROM legs", "FROM sold"),
+    "bordered": "SELECT *, row_number() OVER (PARTITION BY session ORDER BY entry_ts, ticker) AS rn FROM bpos",
+    "bwalk": f"""SELECT session, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(x TIMESTAMP, p DOUBLE, t VARCHAR)[]) AS held,
+        CAST(0 AS DOUBLE) AS done, false AS ok FROM bordered GROUP BY session
+        UNION ALL SELECT session, rn, CASE WHEN ok THEN list_append(still, {{'x': exit_ts, 'p': pct, 't': ticker}}) ELSE still END,
+        done2, ok FROM (SELECT *, len(list_filter(still, lambda z: z.x IS NULL OR z.x > entry_ts)) < {MAX_OPEN}
+            AND len(list_filter(still, lambda z: z.t = ticker)) = 0
+            AND done2 + coalesce(list_sum(list_transform(list_filter(still, lambda z: z.x = entry_ts), lambda z: z.p * 0.1)), 0) > {DAY_STOP} AS ok FROM (
+          SELECT o.session, o.rn, o.ticker, o.entry_ts, o.exit_ts, o.pct, list_filter(w.held, lambda z: z.x IS NULL OR z.x >= o.entry_ts) AS still,
+          w.done + coalesce(list_sum(list_transform(list_filter(w.held, lambda z: z.x < o.entry_ts), lambda z: z.p * 0.1)), 0) AS done2
+          FROM bwalk w JOIN bordered o ON o.session = w.session AND o.rn = w.rn + 1))""",
+})
+
+
+def backtest(spark, d) -> DataFrame:
+    """Entry rule, fills at the next open, split exits, sells at the next open, and the account's
+    rules: one row per position taken."""
+    bars = A.stored_bars(spark, d)
+    entries = TR.fills(signals(spark, d)).select(*KEYS, "entry_ts", "entry_price", "at_open")
+    legs = TR.sell_fills(TR.exits(entries, bars, "spec", SPEC), bars)
+    return TR.account_rules(TR.positions(legs), MAX_OPEN, DAY_STOP)
+
+
+@query("trd_07_backtest", sql(["ticker", "d:session", "t:entry_ts", "p:entry_price", "t:exit_ts", "r:pct"],
+                              "FROM bordered JOIN bwalk USING (session, rn) WHERE ok"))
+def _(spark, d):
+    return final(backtest(spark, d), *KEYS, "entry_ts", "entry_price", "exit_ts", "pct", places=8).withColumn("pct", F.round("pct", 6))
+
+
 TRADE_COLS = ["ticker", "d:session", "t:entry_ts", "t:exit_ts", "leg", "r:pct", "r:profit=exit_price-entry_price",
               "r:open_minutes=(epoch(entry_ts)-epoch(CAST(session AS TIMESTAMP)))/60-480",
               "r:held_minutes=(epoch(exit_ts)-epoch(entry_ts))/60"]

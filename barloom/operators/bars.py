@@ -34,17 +34,17 @@ def rollup_bars(fine: DataFrame, seconds: int, origin: int = 0, carry: list[str]
     """Coarser bars from finer ones, so the ticks are scanned and shuffled once.
 
     ``carry`` columns take the value they have on the newest fine bar of each coarse bar.
-    Bars of one coarse bar are all premarket or all regular by construction of the grid.
+    A coarse bar that straddles the open would mix premarket and regular trade; on a grid
+    that does not meet the open it becomes two bars of one start, told apart by the flag.
     """
     return (fine
             .withColumn("coarse_ts", bucket_start("bar_ts", seconds, origin))
-            .groupBy(*KEYS, "coarse_ts")
+            .groupBy(*KEYS, "coarse_ts", "is_premarket")
             .agg(F.min_by("open", "bar_ts").alias("open"),
                  F.max("high").alias("high"),
                  F.min("low").alias("low"),
                  F.max_by("close", "bar_ts").alias("close"),
                  F.sum("volume").alias("volume"),
-                 F.min_by("is_premarket", "bar_ts").alias("is_premarket"),
                  *[F.max_by(c, "bar_ts").alias(c) for c in carry or []])
             .withColumnRenamed("coarse_ts", "bar_ts"))
 
@@ -79,7 +79,9 @@ def locf(bars: DataFrame, seconds: int) -> DataFrame:
     """
     step = F.expr(f"INTERVAL {int(seconds)} SECOND")
     nxt = F.lead("bar_ts").over(session_window())
-    slots = F.sequence(F.col("bar_ts"), F.coalesce(nxt - step, F.col("bar_ts")), step)
+    # A successor closer than one step, as on bars off the grid, leaves nothing to fill.
+    until = F.when(nxt - step >= F.col("bar_ts"), nxt - step).otherwise(F.col("bar_ts"))
+    slots = F.sequence(F.col("bar_ts"), until, step)
     filled = (bars.withColumn("_slots", slots)
               .select("*", F.posexplode("_slots").alias("_pos", "_slot")))
     is_filled = F.col("_pos") > 0
@@ -99,18 +101,22 @@ def tail_bars(bars: DataFrame, n: int) -> DataFrame:
     return bars.withColumn("age", F.row_number().over(w)).filter(F.col("age") <= n)
 
 
-def merge_bars(*vendors: tuple[str, DataFrame], priority: list[str]) -> DataFrame:
-    """Union of several vendors' bars, one row per (ticker, bar) by vendor priority.
+def merge_bars(*vendors: tuple[str, DataFrame], priority: list[str],
+               key: tuple[str, ...] | None = None) -> DataFrame:
+    """Union of several vendors' bars, one row per ``key`` by vendor priority. The key is
+    ticker, session, bar start and, where the bars have it, ``freq``.
 
     Written as an aggregate with a numeric rank, so duplicates collapse before the
-    shuffle; a key that many vendors share is never sorted as a group.
+    shuffle; a key that many vendors share is never sorted as a group. A bar repeated by
+    one vendor gives the one with the smallest values, taken as a row.
     """
     rank = {name: i for i, name in enumerate(priority)}
     merged = reduce(DataFrame.unionByName,
                     [df.withColumn("_rank", F.lit(rank[name])) for name, df in vendors])
-    values = [c for c in merged.columns if c not in KEYS + ["bar_ts", "_rank"]]
-    best = merged.groupBy(*KEYS, "bar_ts").agg(
-        *[F.min_by(c, "_rank").alias(c) for c in values], F.min("_rank").alias("_rank"))
+    key = list(key or [*KEYS, "bar_ts", *[c for c in ("freq",) if c in merged.columns]])
+    values = [c for c in merged.columns if c not in key + ["_rank"]]
+    best = (merged.groupBy(*key).agg(F.min(F.struct("_rank", *values)).alias("_best"))
+            .select(*key, "_best.*"))
     names = F.array(*[F.lit(n) for n in priority])
     return best.withColumn("vendor", F.element_at(names, F.col("_rank") + 1)).drop("_rank")
 

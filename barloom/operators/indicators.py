@@ -6,12 +6,10 @@ runs all indicator frames on that order.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import pct_change, ratio
-from . import session_window
+from . import KEYS, session_window
 
 
 def _running() -> "Window":
@@ -27,34 +25,60 @@ def with_bar_no(bars: DataFrame) -> DataFrame:
     return bars.withColumn("t", F.row_number().over(session_window()) - 1)
 
 
-def ema_expr(x: Column, alpha: float, t: Column | None = None, seed_at: int = 0) -> Column:
-    """Exponential mean seeded by the value at bar ``seed_at``, as one running sum.
+#: Bars of one block of an exponential mean.
+EMA_BLOCK = 128
+
 
-    With q = 1 - alpha it equals q^k * sum(weight_j * x_j / q^j). The powers stay finite
-    for the bars of a day; a longer session stops the job instead of losing precision.
+def with_emas(bars: DataFrame, specs: dict[str, tuple[Column, float, int]]) -> DataFrame:
+    """Exponential means ``{name: (values, alpha, first bar)}``, each seeded by the value at its
+    first bar and null before it; needs ``t``.
+
+    With q = 1 - alpha the mean is a sum of weights q^age. It is taken inside blocks of bars, in
+    powers relative to the block's start, which stay finite; what earlier blocks add is one
+    number each, carried over by a fold. So a session may have any number of bars. All
+    windows are sorted alike, by block and bar.
     """
-    t = F.col("t") if t is None else t
-    q = 1.0 - alpha
-    k = (t - seed_at).cast("double")
-    longest = int(math.log(1e300) / -math.log(q))
-    weight = F.when(k == 0, 1.0).when(k > 0, alpha)
-    total = F.sum(weight * x * F.pow(F.lit(q), -k)).over(_running())
-    guard = F.raise_error(F.lit(f"session longer than {longest} bars: use coarser bars"))
-    return (F.when(k > longest, guard.cast("double"))
-            .when(k >= 0, F.pow(F.lit(q), k) * total))
+    ordered = Window.partitionBy(*KEYS, "_block").orderBy("bar_ts")
+    inside = (ordered
+              .rowsBetween(Window.unboundedPreceding, 0))
+    before = (Window.partitionBy(*KEYS).orderBy("_block", "bar_ts")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    names = list(specs)
+    df = bars.withColumns({"_block": F.floor(F.col("t") / EMA_BLOCK), "_r": F.pmod("t", F.lit(EMA_BLOCK))})
+    own = {}
+    for k, name in enumerate(names):
+        x, alpha, seed = specs[name]
+        weight = F.when(F.col("t") == seed, 1.0).when(F.col("t") > seed, alpha)
+        q = 1.0 - alpha
+        if q < 0.01:             # older bars weigh less than a double resolves
+            terms = [F.coalesce((weight * x), F.lit(0.0)) if j == 0 else
+                     F.coalesce(F.lag(weight * x, j).over(ordered), F.lit(0.0)) * q ** j for j in range(10)]
+            own[f"_own{k}"] = sum(terms[1:], terms[0])
+        else:
+            power = F.pow(F.lit(q), F.col("_r").cast("double"))
+            own[f"_own{k}"] = power * F.coalesce(F.sum(weight * x / power).over(inside), F.lit(0.0))
+    df = df.withColumns(own)
+    whole = F.struct(*[F.col(c) for c in own])
+    df = df.withColumn("_ends", F.collect_list(F.when(F.col("_r") == EMA_BLOCK - 1, whole)).over(before))
+    out = {}
+    for k, name in enumerate(names):
+        _, alpha, seed = specs[name]
+        q = 1.0 - alpha
+        carry = F.aggregate("_ends", F.lit(0.0), lambda c, e: c * q ** EMA_BLOCK + e[f"_own{k}"])
+        out[name] = F.when(F.col("t") >= seed, F.col(f"_own{k}") + carry * F.pow(F.lit(q), (F.col("_r") + 1).cast("double")))
+    return df.withColumns(out).drop("_block", "_r", "_ends", *own)
 
 
 def ema(bars: DataFrame, col: str, n: int, out: str | None = None) -> DataFrame:
     """EMA of span ``n``; needs ``t``."""
-    return bars.withColumn(out or f"ema_{col}_{n}", ema_expr(F.col(col), 2.0 / (n + 1)))
+    return with_emas(bars, {out or f"ema_{col}_{n}": (F.col(col), 2.0 / (n + 1), 0)})
 
 
 def emas(bars: DataFrame) -> DataFrame:
     """Price EMAs 5/9/20 with distances and volume EMAs 5/10/20 with ratios."""
-    cols: dict[str, Column] = {f"ema{n}": ema_expr(F.col("close"), 2.0 / (n + 1)) for n in (5, 9, 20)}
-    cols |= {f"vol_ema{n}": ema_expr(F.col("volume"), 2.0 / (n + 1)) for n in (5, 10, 20)}
-    out = bars.withColumns(cols)
-    return out.withColumns(
+    specs = {f"ema{n}": (F.col("close"), 2.0 / (n + 1), 0) for n in (5, 9, 20)}
+    specs |= {f"vol_ema{n}": (F.col("volume").cast("double"), 2.0 / (n + 1), 0) for n in (5, 10, 20)}
+    return with_emas(bars, specs).withColumns(
         {f"ema{n}_dist": pct_change("close", f"ema{n}") for n in (5, 9, 20)}
         | {f"vol_ema{n}_ratio": ratio("volume", f"vol_ema{n}") for n in (5, 10, 20)})
 
@@ -62,10 +86,9 @@ def emas(bars: DataFrame) -> DataFrame:
 def rsi(bars: DataFrame, n: int = 14, out: str = "rsi") -> DataFrame:
     """Relative strength with Wilder smoothing; NULL on the first bar, 100 without losses."""
     diff = F.col("close") - F.lag("close").over(session_window())
-    df = bars.withColumn("_diff", diff)
-    df = df.withColumns({
-        "_gain": ema_expr(F.greatest(F.col("_diff"), F.lit(0.0)), 1.0 / n, seed_at=1),
-        "_loss": ema_expr(F.greatest(-F.col("_diff"), F.lit(0.0)), 1.0 / n, seed_at=1)})
+    df = with_emas(bars.withColumn("_diff", diff), {
+        "_gain": (F.greatest(F.col("_diff"), F.lit(0.0)), 1.0 / n, 1),
+        "_loss": (F.greatest(-F.col("_diff"), F.lit(0.0)), 1.0 / n, 1)})
     value = (F.when(F.col("_gain").isNull(), F.lit(None).cast("double"))
              .when((F.col("_loss") == 0) & (F.col("_gain") == 0), F.lit(50.0))
              .when(F.col("_loss") == 0, F.lit(100.0))
@@ -76,8 +99,10 @@ def rsi(bars: DataFrame, n: int = 14, out: str = "rsi") -> DataFrame:
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """MACD line, histogram and the histogram's change."""
     close = F.col("close")
-    df = bars.withColumn("macd", ema_expr(close, 2.0 / (fast + 1)) - ema_expr(close, 2.0 / (slow + 1)))
-    df = df.withColumn("macd_hist", F.col("macd") - ema_expr(F.col("macd"), 2.0 / (signal + 1)))
+    df = with_emas(bars, {"_fast": (close, 2.0 / (fast + 1), 0), "_slow": (close, 2.0 / (slow + 1), 0)})
+    df = df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+    df = with_emas(df, {"_signal": (F.col("macd"), 2.0 / (signal + 1), 0)})
+    df = df.withColumn("macd_hist", F.col("macd") - F.col("_signal")).drop("_signal")
     return df.withColumn("macd_accel",
                          F.col("macd_hist") - F.lag("macd_hist").over(session_window()))
 
@@ -101,7 +126,7 @@ def atr_range(bars: DataFrame, n: int = 14) -> DataFrame:
     true_range = F.greatest(F.col("high") - F.col("low"),
                             F.abs(F.col("high") - F.col("_prev")),
                             F.abs(F.col("low") - F.col("_prev")))
-    df = df.withColumn("_tr", true_range).withColumn("atr", ema_expr(F.col("_tr"), 1.0 / n))
+    df = with_emas(df.withColumn("_tr", true_range), {"atr": (F.col("_tr"), 1.0 / n, 0)})
     return (df.withColumn("atr_range", ratio(F.col("high") - F.col("low"), "atr"))
             .drop("_prev", "_tr"))
 

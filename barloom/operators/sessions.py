@@ -103,7 +103,8 @@ def relative_volume(day: DataFrame, n: int = 20, volume: str = "day_volume") ->
 
 def cum_volume_ratio(bars: DataFrame, n: int = 20) -> DataFrame:
     """Cumulative session volume against its mean at the same time of day over the
-    ticker's previous ``n`` sessions that have a bar at that time."""
+    ticker's previous ``n`` sessions that have a bar at that time. A session without one is
+    passed over; fill quiet minutes first (``locf``) to have every session count."""
     cum = F.sum("volume").over(session_window().rowsBetween(Window.unboundedPreceding, 0))
     slot = Window.partitionBy("ticker", "minute").orderBy("session").rowsBetween(-n, -1)
     return (bars.withColumn("cum_volume", cum)
@@ -224,22 +225,36 @@ def with_facts_asof(bars: DataFrame, facts: DataFrame) -> DataFrame:
     return out
 
 
-def with_context(bars: DataFrame, context: DataFrame, seconds: int) -> DataFrame:
+def with_context(bars: DataFrame, context: DataFrame) -> DataFrame:
     """Bars with the newest context row of the same session at or before the bar.
 
-    ``context(session, bar_ts, ...)`` is one index's own bars. It is first made dense on
-    the bar grid up to the end of the day, after which plain equality on
-    (session, bar_ts) finds the row.
+    ``context(session, bar_ts, ...)`` is one index's own bars, on any grid. The as-of search
+    runs over the distinct bar times of a session, at most one day of them, and plain
+    equality on (session, bar_ts) brings its result to the bars of all tickers.
     """
-    step = F.expr(f"INTERVAL {int(seconds)} SECOND")
-    w = Window.partitionBy("session").orderBy("bar_ts")
-    day_end = F.date_trunc("day", "bar_ts") + F.expr("INTERVAL 1 DAY")
-    until = F.coalesce(F.lead("bar_ts").over(w), day_end) - step
     cols = [c for c in context.columns if c not in ("session", "bar_ts")]
-    dense = (context.withColumn("_until", until)
-             .withColumn("_slot", F.explode(F.sequence(F.col("bar_ts"), F.col("_until"), step)))
-             .select("session", F.col("_slot").alias("bar_ts"), *cols))
-    return bars.join(dense, ["session", "bar_ts"], "left")
+    row = F.struct(*cols)
+    times = (bars.select("session", "bar_ts").distinct()
+             .withColumn("_row", F.lit(None).cast(context.select(row).schema[0].dataType)))
+    facts = context.select("session", "bar_ts", row.alias("_row"))
+    w = (Window.partitionBy("session").orderBy("bar_ts", F.col("_row").isNull())
+         .rowsBetween(Window.unboundedPreceding, 0))
+    known = (times.unionByName(facts).withColumn("_known", F.last("_row", ignorenulls=True).over(w))
+             .filter(F.col("_row").isNull()).select("session", "bar_ts", "_known"))
+    return (bars.join(known, ["session", "bar_ts"], "left")
+            .select(*bars.columns, *[F.col("_known")[c].alias(c) for c in cols]))
+
+
+def day_return(day: DataFrame, price: str = "day_close") -> DataFrame:
+    """Percent change of a daily price on the ticker's previous session."""
+    return day.withColumn("day_return", pct_change(price, F.lag(price).over(_days())))
+
+
+def with_sector_context(day: DataFrame, sectors: DataFrame, value: str, out: str) -> DataFrame:
+    """Daily rows with the mean of ``value`` over the ticker's sector that day. A group is one
+    sector's tickers of one day; the rows are read and shuffled once."""
+    known = day.join(sectors, "ticker")
+    return known.withColumn(out, F.avg(value).over(Window.partitionBy("session", "sector")))
 
 
 def inverted_level(day: DataFrame, col: str = "day_close", n: int = 20) -> DataFrame:

@@ -30,12 +30,26 @@ SPEC = ExitRules(stop=-3.0, target=3.0, trail=2.5, close_minute=690)
 
 def fills(bars: DataFrame, signal: str = "signal", bps: float = 5.0, side: int = 1) -> DataFrame:
     """A signal fills at the next bar's open plus (buy) or minus (sell) slippage, without
-    commission; the last bar of a session cannot fill."""
+    commission; the last bar of a session cannot fill. The position lives from that open on,
+    so the fill bar's own close is the first to be tested (``at_open``)."""
     t = session_window()
     filled = bars.withColumns({"entry_ts": F.lead("bar_ts").over(t),
                                "entry_price": F.lead("open").over(t) * (1 + side * bps / 10000.0)})
     return (filled.filter((F.col(signal) == 1) & F.col("entry_ts").isNotNull())
-            .withColumn("commission", F.lit(0.0)))
+            .withColumns({"commission": F.lit(0.0), "at_open": F.lit(True)}))
+
+
+def sell_fills(legs: DataFrame, bars: DataFrame, bps: float = 5.0) -> DataFrame:
+    """Legs whose exit fills at the next bar's open minus slippage; on the last bar of the
+    session at that bar's close minus slippage. ``pct`` is of the filled price."""
+    t = session_window()
+    nxt = bars.select(*KEYS, F.col("bar_ts").alias("exit_ts"), F.lead("bar_ts").over(t).alias("_ts"),
+                      F.lead("open").over(t).alias("_open"))
+    price = F.coalesce("_open", "exit_price") * (1 - bps / 10000.0)
+    return (legs.join(nxt, [*KEYS, "exit_ts"], "left")
+            .withColumns({"exit_price": F.when(F.col("exit_ts").isNotNull(), price),
+                          "exit_ts": F.coalesce("_ts", "exit_ts")})
+            .withColumn("pct", pct_change("exit_price", "entry_price")).drop("_ts", "_open"))
 
 
 def with_deadline(entries: DataFrame, rules: ExitRules) -> DataFrame:
@@ -70,12 +84,14 @@ def first_bar_after(bars: DataFrame, entries: DataFrame, ts: str = "deadline") -
 
 
 def entry_paths(entries: DataFrame, bars: DataFrame, bucket_seconds: int) -> DataFrame:
-    """Bars a position lives through: those in (entry, deadline] and the first one after
-    it, flagged ``forced``. Entries meet only bars of the same time bucket, so the output
+    """Bars a position lives through: those in (entry, deadline], from the entry's bar on if
+    ``at_open``, and the first one after the deadline, flagged ``forced``. Entries meet only bars of the same time bucket, so the output
     is bounded by the holding time, not by the session."""
     tick = F.expr("INTERVAL 1 MICROSECOND")
-    ranges = entries.select(*ENTRY, "entry_price", "deadline",
-                            (F.col("entry_ts") + tick).alias("_from"),
+    start = F.col("entry_ts") + tick
+    if "at_open" in entries.columns:         # bought at the bar's open: its close counts
+        start = F.when(F.col("at_open"), F.col("entry_ts")).otherwise(start)
+    ranges = entries.select(*ENTRY, "entry_price", "deadline", start.alias("_from"),
                             (F.col("deadline") + tick).alias("_to"))
     held = (range_join(bars.select(*KEYS, "bar_ts", "close"), ranges, KEYS, "bar_ts",
                        "_from", "_to", bucket_seconds)
@@ -141,12 +157,72 @@ def leg_exits_spec(paths: DataFrame, rules: ExitRules = SPEC) -> DataFrame:
 
 def exits(entries: DataFrame, bars: DataFrame, preset: str = "live",
           rules: ExitRules | None = None) -> DataFrame:
-    """Exit of each leg of each entry; NULL exit when the session ends first."""
+    """Exit of each leg of each entry; NULL exit when the session ends first, also for an
+    entry without any later bar.
+
+    Under the ``live`` rules an entry meets the bars of its holding time only. Under ``spec``
+    it is held until the close, so entries and bars of a session are walked once
+    together instead (``spec_walk``).
+    """
     rules = rules or {"live": LIVE, "spec": SPEC}[preset]
     dated = with_deadline(entries, rules)
+    if preset == "spec":
+        return spec_walk(dated, bars, rules)
     bucket = int((rules.limit_minutes or 120) * 60)
-    paths = entry_paths(dated, bars, bucket)
-    return (leg_exits if preset == "live" else leg_exits_spec)(paths, rules)
+    legs = leg_exits(entry_paths(dated, bars, bucket), rules)
+    every = dated.select(*ENTRY, "entry_price", F.explode(F.array(F.lit(2), F.lit(3))).alias("leg"))
+    return every.join(legs.drop("entry_price"), [*ENTRY, "leg"], "left").select(
+        *ENTRY, "entry_price", "leg", "exit_ts", "exit_price", "pct")
+
+
+def spec_walk(dated: DataFrame, bars: DataFrame, rules: ExitRules = SPEC) -> DataFrame:
+    """Both legs' exits under the split rules, bars of a session in time order, each open
+    position updated by each bar: memory is the open positions, no path is written out.
+
+    The work is one small Arrow group per (ticker, session), at most a day of bars.
+    """
+    at_open = F.col("at_open") if "at_open" in dated.columns else F.lit(False)
+    marks = dated.select(*KEYS, F.col("entry_ts").alias("ts"), F.col("entry_price").alias("price"),
+                         F.when(at_open, 0).otherwise(2).alias("kind"), F.unix_micros("deadline").alias("until"))
+    points = bars.select(*KEYS, F.col("bar_ts").alias("ts"), F.col("close").alias("price"), F.lit(1).alias("kind"),
+                         F.lit(None).cast("long").alias("until"))
+    rows = marks.unionByName(points).withColumn("micros", F.unix_micros("ts"))
+    stop, target, trail = rules.stop, rules.target, rules.trail
+
+    def walk(key, pdf):
+        import pandas as pd
+
+        held, out = [], []
+        for r in pdf.sort_values(["micros", "kind"], kind="stable").itertuples():
+            if r.kind != 1:
+                # entry, price, deadline, high mark, first half out, exits of the two halves
+                held.append([r.ts, r.price, int(r.until), r.price, False, None, None])
+                continue
+            left = []
+            for h in held:
+                pct = (r.price - h[1]) / h[1] * 100
+                h[3] = max(h[3], r.price)
+                forced, here = r.micros > h[2], (r.ts, r.price, pct)
+                if not h[4]:
+                    if forced or pct <= stop or pct >= target:
+                        h[4], h[5] = True, here
+                        if forced or pct <= stop:
+                            h[6] = here
+                elif forced or r.price <= h[3] * (1 - trail / 100.0):
+                    h[6] = here
+                if h[6] is None:
+                    left.append(h)
+                else:
+                    out.append(h)
+            held = left
+        rows = [(*key, h[0], h[1], leg, *(h[4 + leg - 1] or (pd.NaT, None, None)))
+                for h in out + held for leg in (2, 3)]
+        return pd.DataFrame(rows, columns=["ticker", "session", "entry_ts", "entry_price", "leg",
+                                           "exit_ts", "exit_price", "pct"])
+
+    return rows.groupBy(*KEYS).applyInPandas(
+        walk, "ticker string, session date, entry_ts timestamp, entry_price double, leg int, "
+              "exit_ts timestamp, exit_price double, pct double")
 
 
 def positions(legs: DataFrame) -> DataFrame:
@@ -182,7 +258,7 @@ def risk_limits(trades: DataFrame, max_open: int = 5, day_stop_pct: float = -5.0
     """At most ``max_open`` positions at once over all tickers, none after the realized
     day result falls to ``day_stop_pct`` of equity (each trade risks ``size_pct`` of it).
 
-    At one instant at most ``max_open`` entries can be accepted, in ticker order, so
+    A position without an exit keeps its slot for the rest of the day. At one instant at most ``max_open`` entries can be accepted, in ticker order, so
     later ones of that instant are dropped first. That is exact, happens before the
     shuffle (window group limit), and bounds a day's array by instants times
     ``max_open``, whatever the number of tickers.
@@ -197,7 +273,7 @@ def risk_limits(trades: DataFrame, max_open: int = 5, day_stop_pct: float = -5.0
           named_struct('open', cast(array() as array<{kind}>), 'done', 0.0D,
                        'out', cast(array() as array<{kind}>)),
           (acc, e) -> transform(array(named_struct(
-              'open', filter(acc.open, x -> x.exit_ts > e.entry_ts),
+              'open', filter(acc.open, x -> x.exit_ts is null or x.exit_ts > e.entry_ts),
               'done', acc.done + aggregate(filter(acc.open, x -> x.exit_ts <= e.entry_ts), 0.0D,
                                            (s, x) -> s + x.pct * {size_pct / 100.0}D),
               'out', acc.out)),
@@ -208,6 +284,40 @@ def risk_limits(trades: DataFrame, max_open: int = 5, day_stop_pct: float = -5.0
     return day.select("session", F.inline(kept))
 
 
+def account_rules(trades: DataFrame, max_open: int = 5, day_stop_pct: float = -5.0, size_pct: float = 10.0
+                  ) -> DataFrame:
+    """One open position per ticker, at most ``max_open`` over all, none after the day stop: one
+    fold per session, so an entry that the account refuses does not block its ticker.
+
+    A ticker may enter again on a bar after its exit, not on the exit's own bar. Of one
+    instant only the first entries in ticker order matter: ``max_open`` acceptable ones,
+    and at most ``max_open`` others whose ticker is open or closed at that very instant.
+    Twice that many are kept before the shuffle, so a day's fold is bounded by its instants.
+    """
+    turn = Window.partitionBy("session", "entry_ts").orderBy("ticker")
+    able = (trades.withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= 2 * max_open).drop("_turn"))
+    row = F.struct("entry_ts", "ticker", "exit_ts", "entry_price", "pct")
+    kind = able.select(row.alias("r")).schema["r"].dataType.simpleString()
+    day = able.groupBy("session").agg(F.array_sort(F.collect_list(row)).alias("all"))
+    kept = F.expr(f"""
+        aggregate(all,
+          named_struct('open', cast(array() as array<{kind}>), 'done', 0.0D,
+                       'out', cast(array() as array<{kind}>)),
+          (acc, e) -> transform(array(named_struct(
+              'open', filter(acc.open, x -> x.exit_ts is null or x.exit_ts >= e.entry_ts),
+              'done', acc.done + aggregate(filter(acc.open, x -> x.exit_ts < e.entry_ts), 0.0D,
+                                           (s, x) -> s + x.pct * {size_pct / 100.0}D),
+              'out', acc.out)),
+            s -> if(size(filter(s.open, x -> x.exit_ts is null or x.exit_ts > e.entry_ts)) < {max_open}
+                    and not exists(s.open, x -> x.ticker = e.ticker)
+                    and s.done + aggregate(filter(s.open, x -> x.exit_ts = e.entry_ts), 0.0D,
+                                           (t, x) -> t + x.pct * {size_pct / 100.0}D) > {day_stop_pct}D,
+                    named_struct('open', array_append(s.open, e), 'done', s.done,
+                                 'out', array_append(s.out, e)), s))[0],
+          acc -> acc.out)""")
+    return day.select("session", F.inline(kept))
+
+
 def trade_rows(legs: DataFrame, open_minute: int = 570) -> DataFrame:
     """Closed legs as trade-history rows: profit, minutes from the open to the entry,
     minutes held, percent, leg."""

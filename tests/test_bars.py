@@ -143,7 +143,7 @@ def test_facts_asof_and_context(spark):
     got = S.with_facts_asof(bars, facts).first()
     assert got.short_ratio == 0.1 and got.days_since_earnings == 13
     ctx = make_bars(spark, [7], ticker="I").select("session", "bar_ts", F.col("close").alias("x"))
-    assert [r.x for r in S.with_context(bars, ctx, 300).collect()] == [7.0] * 3
+    assert [r.x for r in S.with_context(bars, ctx).collect()] == [7.0] * 3
 
 
 def test_align_modes_agree_on_dense_bars(spark):

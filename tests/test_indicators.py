@@ -32,12 +32,15 @@ def test_ema_over_a_full_day_of_minutes(spark):
     same(got, pd.Series(closes).ewm(span=5, adjust=False).mean())
 
 
-def test_ema_refuses_too_long_sessions(spark):
-    long = spark.range(2000).select(
-        F.lit("T").alias("ticker"), F.lit("2024-01-01").cast("date").alias("session"),
-        F.timestamp_seconds("id").alias("bar_ts"), F.col("id").cast("double").alias("close"))
-    with pytest.raises(Exception, match="session longer than"):
-        I.ema(I.with_bar_no(long), "close", 5, "e").collect()
+@pytest.mark.parametrize("n", [1, 2, 5, 20, 199])
+def test_ema_of_any_length_and_size(spark, n):
+    k = np.arange(20_000)
+    x = 1e12 * (1 + (k * 7919 % 13) / 5)
+    long = spark.range(len(k)).select(
+        F.lit("T").alias("ticker"), F.lit("2024-01-01").cast("date").alias("session"), F.timestamp_seconds("id").alias("bar_ts"),
+        (1e12 * (1 + F.pmod(F.col("id") * 7919, F.lit(13)) / 5)).alias("close"))
+    got = ours(I.ema(I.with_bar_no(long), "close", n, "e"), "e").e
+    same(got / 1e12, pd.Series(x).ewm(span=n, adjust=False).mean() / 1e12)
 
 
 def test_rsi(bars, bars_pd):

@@ -170,3 +170,32 @@ def test_pnl_has_legs_and_total(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 2.0), (2, -0.5), (3, 4.0), (7, 1.0)], "leg int, pct double")
     got = {r.leg: r.sum_pct for r in P.pnl_by_leg(df).collect()}
     assert got == {1: 1.0, 2: 1.5, 3: 5.0, 0: 7.5}
+
+
+def test_fill_at_the_open_is_tested_on_its_own_bar(spark):
+    bars = make_bars(spark, [10, 9, 11], opens=[10, 10, 9])
+    signal = bars.withColumn("signal", (F.col("bar_ts") == F.lit(at(600))).cast("int"))
+    legs = T.exits(T.fills(signal), bars, "spec", T.SPEC).orderBy("leg").collect()
+    assert [round(r.exit_price, 2) for r in legs] == [9.0, 9.0] and all(r.pct < -10 for r in legs)
+
+
+def test_open_positions_keep_their_slot(spark):
+    rows = [("A", DAY, at(600), None, 10.0, None), ("B", DAY, at(605), at(620), 10.0, 1.0)]
+    trades = spark.createDataFrame(rows, "ticker string, session date, entry_ts timestamp, exit_ts timestamp, entry_price double, pct double")
+    assert [r.ticker for r in T.risk_limits(trades, 1).collect()] == ["A"]
+    assert [r.ticker for r in T.account_rules(trades, 1).collect()] == ["A"]
+
+
+def test_an_entry_the_account_refuses_does_not_block_its_ticker(spark):
+    rows = [("A", DAY, at(600), at(604), 10.0, 1.0), ("B", DAY, at(600), at(630), 10.0, 1.0), ("B", DAY, at(605), at(620), 10.0, 1.0)]
+    trades = spark.createDataFrame(rows, "ticker string, session date, entry_ts timestamp, exit_ts timestamp, entry_price double, pct double")
+    got = T.account_rules(trades, 1).orderBy("entry_ts").collect()
+    assert [(r.ticker, r.entry_ts.minute) for r in got] == [("A", 0), ("B", 5)]
+
+
+def test_entries_without_a_later_bar_keep_a_row(spark):
+    bars = make_bars(spark, [10, 10.1])
+    entries = bars.select("ticker", "session", F.col("bar_ts").alias("entry_ts"), F.col("close").alias("entry_price"))
+    for preset in ("live", "spec"):
+        legs = T.exits(entries, bars, preset)
+        assert legs.count() == 4 and legs.filter("exit_ts IS NOT NULL").count() == 0
