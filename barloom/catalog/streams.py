@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import KEYS, sessions as S
-from ..runtime import scratch_path
+from ..runtime import materialize, scratch_path
 from ..schemas import FEATURES
 from ..sources import adapters as A, streams as SRC
 from ..streaming import bars as SB, live as LV, state as ST
 from .aggregates import OHLCV, OHLCV_SQL, QBARS
 from .kit import COARSE, OPEN_MINUTE, T_WINDOW, VIEWS, final, lags, sql
 from .rows import BAR, BAR_SQL, FEATURE_SQL
-from .trades import LIVE
+from .trades import LIVE, SPEC
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -106,7 +106,7 @@ def quote_bars(run: Run, d: str) -> DataFrame:
     AS volume FROM {QBARS})"""))
 def _(spark, d):
     run = Run(spark, "volume")
-    out = run.append(ST.stream_volume_delta(quote_bars(run, d)), "out")
+    out = run.append(ST.stream_volume_delta(quote_bars(run, d), watermark="2 hours"), "out")
     return final(out, *BAR, "close", "volume")
 
 
@@ -167,10 +167,20 @@ def _(spark, d):
     run = Run(spark, "positions")
     signal = (~F.col("is_premarket") & (F.col("close") > F.col("open"))).cast("int")
     live = followed_bars(run, d).withColumn("signal", signal)
-    out = run.append(ST.stream_positions(live, LIVE), "out")
+    out = run.append(ST.stream_positions(live, LIVE, "2 hours"), "out")
     return final(out, *KEYS, "entry_ts", "leg", "exit_ts", "pct")
 
 
+@query("st_07_positions_spec", sql(
+    ["ticker", "d:session", "t:entry_ts", "leg", "t:exit_ts=l.exit_ts", "r:pct=l.pct"],
+    "FROM slegs l JOIN skept k USING (ticker, session, entry_ts) WHERE l.exit_ts IS NOT NULL"))
+def _(spark, d):
+    run = Run(spark, "positions")
+    signal = (~F.col("is_premarket") & (F.col("close") > F.col("open"))).cast("int")
+    live = followed_bars(run, d).withColumn("signal", signal)
+    return final(run.append(ST.stream_positions(live, SPEC, "2 hours"), "out"), *KEYS, "entry_ts", "leg", "exit_ts", "pct")
+
+
 @query("st_08_watchlist", sql(["ticker", "d:session", "i:pm_volume", "r:price", "r:gap_pct", "i:rank"],
     """FROM (SELECT *, rank() OVER (PARTITION BY session ORDER BY gap_pct DESC) AS rank FROM (
        SELECT t.*, (price - prev_close) / prev_close * 100 AS gap_pct FROM (SELECT ticker, session,
@@ -178,7 +188,7 @@ def _(spark, d):
        FROM ticks GROUP BY 1, 2) t JOIN gaps USING (ticker, session)) WHERE gap_pct BETWEEN -8 AND 8 AND pm_volume > 100)"""))
 def _(spark, d):
     run = Run(spark, "watchlist")
-    closes = S.prev_close(A.bars(spark, d)).select(*KEYS, "prev_close")
+    closes = materialize(S.prev_close(A.bars(spark, d)).select(*KEYS, "prev_close"), "closes")   # read by every trigger
     LV.stream_watchlist(SRC.stream_ticks(spark, d), run.path("out"), run.path("checkpoint"), closes,
                         OPEN_MINUTE, gap=(-8.0, 8.0), min_pm_volume=100)
     rows = SB.read_upserts(spark, run.path("out"), KEYS)

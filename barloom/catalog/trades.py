@@ -69,6 +69,13 @@ VIEWS.update({
         min(bar_ts) FILTER (forced OR (lost AND bar_ts = hit) OR (NOT lost AND bar_ts > hit AND close <= mark * 0.975)) AS exit_ts,
         arg_min(pct, bar_ts) FILTER (forced OR (lost AND bar_ts = hit) OR (NOT lost AND bar_ts > hit AND close <= mark * 0.975)) AS pct
         FROM spaths GROUP BY 1, 2, 3, 4""",
+    "sposl": """SELECT ticker, session, entry_ts, CASE WHEN count(exit_ts) = 2 THEN max(exit_ts) END AS exit_ts
+        FROM slegs GROUP BY 1, 2, 3""",
+    "schain": """SELECT ticker, session, min(entry_ts) AS entry_ts FROM sposl GROUP BY 1, 2
+        UNION ALL SELECT p.ticker, p.session, min(p.entry_ts) FROM schain c
+        JOIN sposl q ON c.ticker = q.ticker AND c.session = q.session AND c.entry_ts = q.entry_ts
+        JOIN sposl p ON c.ticker = p.ticker AND c.session = p.session AND p.entry_ts > q.exit_ts GROUP BY 1, 2""",
+    "skept": "SELECT sposl.* FROM sposl JOIN schain USING (ticker, session, entry_ts)",
     "daypnl": "SELECT session, sum(pct) * 0.1 AS day_pct, count(*) AS n_trades FROM closed GROUP BY 1",
     "equity0": "SELECT *, sum(day_pct) OVER (ORDER BY session) AS equity_pct FROM daypnl",
     "equity": "SELECT *, greatest(max(equity_pct) OVER (ORDER BY session), 0) AS peak_pct FROM equity0",

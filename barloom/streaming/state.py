@@ -6,6 +6,10 @@ table that ``stream_ohlcv`` appends to does so: its commits are atomic and follo
 watermark, and a trigger reads whole commits. Do not put ``maxFilesPerTrigger`` on that
 second stream, which would split a commit.
 
+With ``watermark`` a state goes a day after its session's last bar in event time, so the states
+are the keys of a day or two; rows later than the watermark are then dropped. Without it they
+stay, which is for replays whose sessions come in no order of time.
+
 The step functions use nothing of this package, so workers need not have it installed.
 """
 
@@ -21,7 +25,19 @@ from ..operators import KEYS
 from ..operators.trades import LIVE, ExitRules
 
 
-def stream_volume_delta(bars: DataFrame, fill_seconds: int | None = None) -> DataFrame:
+def _timed(bars: DataFrame, watermark: str | None):
+    """(the stream, the kind of timeout, a function that sets it for a state whose last bar
+    was at a second)."""
+    if watermark is None:
+        return bars, GroupStateTimeout.NoTimeout, lambda state, last: None
+
+    def expire(state, last: int) -> None:
+        state.setTimeoutTimestamp(max((last + 86_400) * 1000, state.getCurrentWatermarkMs() + 1))
+    return bars.withWatermark("bar_ts", watermark), GroupStateTimeout.EventTimeTimeout, expire
+
+
+def stream_volume_delta(bars: DataFrame, fill_seconds: int | None = None, watermark: str | None = None
+                        ) -> DataFrame:
     """Bar volume from a cumulative counter, the last total kept as state across bars.
 
     With ``fill_seconds`` missing bars are emitted too, at the last close and volume 0.
@@ -29,7 +45,12 @@ def stream_volume_delta(bars: DataFrame, fill_seconds: int | None = None) -> Dat
     schema = ("ticker string, session date, bar_ts timestamp, open double, high double, "
               "low double, close double, volume long, is_filled boolean")
 
+    bars, timeout, expire = _timed(bars, watermark)
+
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         total, close, last = state.get if state.exists else (None, None, None)
         out = []
         for b in pd.concat(list(chunks)).sort_values("bar_ts").itertuples():
@@ -42,11 +63,12 @@ def stream_volume_delta(bars: DataFrame, fill_seconds: int | None = None) -> Dat
                         int(b.total_close - base), False))
             total, close, last = int(b.total_close), float(b.close), at
         state.update((total, close, last))
+        expire(state, last)
         yield pd.DataFrame(out, columns=["ticker", "session", "bar_ts", "open", "high", "low",
                                          "close", "volume", "is_filled"])
 
     return bars.groupBy(*KEYS).applyInPandasWithState(
-        step, schema, "total long, close double, last long", "append", GroupStateTimeout.NoTimeout)
+        step, schema, "total long, close double, last long", "append", timeout)
 
 
 def session_timers(bars: DataFrame, min_gain: float = 10.0, session_seconds: int = 10800,
@@ -83,29 +105,44 @@ def session_timers(bars: DataFrame, min_gain: float = 10.0, session_seconds: int
         step, schema, "began long, abandoned boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_positions(bars: DataFrame, rules: ExitRules = LIVE) -> DataFrame:
+def stream_positions(bars: DataFrame, rules: ExitRules = LIVE, watermark: str | None = None) -> DataFrame:
     """Enter on a signal while flat, trail, leave in two legs, re-arm when both are out.
 
     Takes ``bars(ticker, session, bar_ts, close, signal)``, emits closed legs; the batch
-    counterpart is ``exits`` with ``non_overlapping``.
+    counterpart is ``exits`` with ``non_overlapping``. Rules with a closing minute are the split
+    rules (``spec``): no entry from that minute on, a stop closes both halves, a profit or stop
+    the first, and the second then trails the highest close.
     """
     schema = ("ticker string, session date, entry_ts timestamp, entry_price double, leg int, "
               "exit_ts timestamp, exit_price double, pct double")
     trail, stop, target, limit = rules.trail, rules.stop, rules.target, rules.limit_minutes
+    closing = rules.close_minute
+    bars, timeout, expire = _timed(bars, watermark)
 
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        # ``level`` is the trailing percentage, or the highest close under the split rules
         entry, price, level, out2, out3 = state.get if state.exists else (None, None, None, False, False)
-        rows = []
+        rows, at = [], 0
         for b in pd.concat(list(chunks)).sort_values("bar_ts").itertuples():
             at = int(b.bar_ts.timestamp())
+            over = closing is not None and at % 86400 // 60 >= closing
             if entry is None:
-                if b.signal == 1:
-                    entry, price, level, out2, out3 = at, float(b.close), -trail, False, False
+                if b.signal == 1 and not over:
+                    entry, price, out2, out3 = at, float(b.close), False, False
+                    level = -trail if closing is None else price
                 continue
             pct = (b.close - price) / price * 100
-            level = max(level, pct - trail)
-            late = (at - entry) / 60 > limit
-            done = {2: late or pct <= level, 3: late or pct <= stop or pct >= target}
+            if closing is None:
+                level = max(level, pct - trail)
+                late = limit is not None and (at - entry) / 60 > limit
+                done = {2: late or pct <= level, 3: late or pct <= stop or pct >= target}
+            else:
+                level = max(level, float(b.close))
+                first = over or pct <= stop or pct >= target
+                done = {2: first, 3: (b.close <= level * (1 - trail / 100.0) or over) if out2 else over or pct <= stop}
             for leg, was in ((2, out2), (3, out3)):
                 if done[leg] and not was:
                     rows.append((*key, pd.Timestamp(entry, unit="s"), price, leg, b.bar_ts,
@@ -114,10 +151,11 @@ def stream_positions(bars: DataFrame, rules: ExitRules = LIVE) -> DataFrame:
             if out2 and out3:
                 entry = None
         state.update((entry, price, level, bool(out2), bool(out3)))
+        expire(state, at)
         if rows:
             yield pd.DataFrame(rows, columns=["ticker", "session", "entry_ts", "entry_price", "leg",
                                               "exit_ts", "exit_price", "pct"])
 
     return bars.groupBy(*KEYS).applyInPandasWithState(
         step, schema, "entry long, price double, level double, out2 boolean, out3 boolean",
-        "append", GroupStateTimeout.NoTimeout)
+        "append", timeout)

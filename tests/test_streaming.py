@@ -1,5 +1,7 @@
 """Streaming twins over several micro-batches, restarts and late rows."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +101,16 @@ def test_positions_match_batch_over_splits(spark, bars, tmp_path):
     same(want.select(cols), spark.read.parquet(p("out")))
 
 
+def test_state_goes_when_the_watermark_passes(spark, tmp_path):
+    p = lambda n: str(tmp_path / n)
+    days = [make_bars(spark, [10, 11, 12], day=dt.date(2024, 3, d)).withColumn("signal", F.lit(1)) for d in (4, 6, 8)]
+    for df in days:
+        df.coalesce(1).write.mode("append").parquet(p("bars"))
+        q = SB.run_available(ST.stream_positions(follow(spark, df, p("bars")), T.SPEC, "1 hour"), p("out"), p("c"))
+    rows = [x.stateOperators[0].numRowsTotal for x in q.recentProgress if x.stateOperators]
+    assert rows[-1] == 1                                     # of three sessions only the newest is held
+
+
 def test_live_features_match_batch_over_splits(spark, small, tmp_path):
     p = lambda n: str(tmp_path / n)
     fine, fund = A.market(spark, small)
