@@ -156,14 +156,23 @@ def segments_of(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray,
     place = least + np.arange(len(views))
     begins = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     size = np.diff(np.concatenate([begins, [len(views)]])) + window - 1
-    content = np.array([_content(words[b:b + n]) for b, n in zip(begins, size)], np.uint64)
-    return grams[place[begins]], content, begins, size
+    return grams[place[begins]], _contents(words, begins, size), begins, size
 
 
-def _content(words: np.ndarray) -> np.uint64:
-    """Order-sensitive hash of a run of words."""
-    n = np.arange(len(words), dtype=np.uint64)
-    return mix(mix(words + n * np.uint64(0x9E3779B97F4A7C15)).sum(keepdims=True) + np.uint64(len(words)))[0]
+#: An odd base and its inverse modulo 2 ** 64.
+BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def _contents(words: np.ndarray, begins: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Order-sensitive hashes of runs of words: polynomials in ``BASE``, taken as differences of
+    running sums, which the inverse's powers move to the run's beginning."""
+    m = len(words)
+    one = np.ones(1, np.uint64)
+    power = np.cumprod(np.concatenate([one, np.full(m, BASE, np.uint64)]))
+    back = np.cumprod(np.concatenate([one, np.full(m, _INVERSE, np.uint64)]))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words) * power[:m])])
+    return mix(mix((total[begins + size] - total[begins]) * back[begins]) + size.astype(np.uint64))
 
 
 def text_segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
