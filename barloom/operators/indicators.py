@@ -1,7 +1,7 @@
 """Technical indicators over bars. State starts anew with every session.
 
-Everything here is a window over (ticker, session), so Spark sorts the bars once and
-runs all indicator frames on that order.
+Everything here is a window over (ticker, session), so the bars are shuffled once. Exponential
+means work on blocks of a session, which Spark sorts by inside the same partitions.
 """
 
 from __future__ import annotations
@@ -35,8 +35,7 @@ def with_emas(bars: DataFrame, specs: dict[str, tuple[Column, float, int]]) -> D
 
     With q = 1 - alpha the mean is a sum of weights q^age. It is taken inside blocks of bars, in
     powers relative to the block's start, which stay finite; what earlier blocks add is one
-    number each, carried over by a fold. So a session may have any number of bars. All
-    windows are sorted alike, by block and bar.
+    number each, carried over by a fold. So a session may have any number of bars.
     """
     ordered = Window.partitionBy(*KEYS, "_block").orderBy("bar_ts")
     inside = (ordered

