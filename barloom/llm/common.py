@@ -125,8 +125,11 @@ def unstore(*frames: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps; it does so when the driver's
-    references to them are collected."""
+    references to them are collected, which takes it a moment."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)

@@ -21,12 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import WordHashes, map_arrow, mix, shingle_hashes, store, texts, unstore
+from .common import WordHashes, map_arrow, mix, release, shingle_hashes, store, texts, unstore
 
 SHINGLE, PERCENT = 4, 85
 FAMILIES = 4                # hash families a set may fall back to when segments are empty
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 PIVOT_SHARE = 2000          # members that one task compares with one pivot
+FEW_PAIRS = 400_000         # pairs (of 24 bytes) that may be broadcast
+BLOCK = 512                 # members of a tile's block
 
 
 def shingle_set(text: str, n: int, words: WordHashes) -> np.ndarray:
@@ -35,10 +37,9 @@ def shingle_set(text: str, n: int, words: WordHashes) -> np.ndarray:
 
 
 def most_apart(a: int, b: int, percent: int) -> int:
-    """The largest symmetric difference of linked sets with ``a`` and ``b`` elements: an
-    intersection of i links if 100 i >= percent (a + b - i)."""
-    least = -(-percent * (a + b) // (100 + percent))
-    return a + b - 2 * least
+    """Linked sets with ``a`` and ``b`` elements differ in at most so many: an intersection of
+    i links if 100 i >= percent (a + b - i), and a + b - 2 i elements are in one set only."""
+    return (100 - percent) * (a + b) // (100 + percent)
 
 
 def bands(size: int, percent: int) -> list[tuple[int, int]]:
@@ -162,8 +163,10 @@ def class_sets(docs: DataFrame, wanted: DataFrame, n: int, text: str = "text",
                doc_id: str = "doc_id") -> DataFrame:
     """``cls, size, bits, shingles`` of the wanted classes, from one text of each.
     ``wanted`` has ``cls`` and the ``rep`` id; rows of that id with another text are left out."""
-    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = given.join(wanted, given.doc_id.eqNullSafe(wanted.rep)).select("cls", "text")
+    no_id = F.lit(-(1 << 63))
+    given = docs.select(F.coalesce(F.col(doc_id), no_id).alias("id"), F.col(text).alias("text"))
+    found = (given.join(wanted.select("cls", F.coalesce("rep", no_id).alias("id")), "id")
+             .withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "cls", "h"]).select("cls", "text"))
     schema = pa.schema([("cls", pa.int64()), ("size", pa.int64()), ("bits", pa.binary()),
                         ("shingles", pa.binary())])
 
@@ -181,37 +184,118 @@ def class_sets(docs: DataFrame, wanted: DataFrame, n: int, text: str = "text",
     return map_arrow(found, run, "cls long, size long, bits binary, shingles binary")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of ``pairs(pivot, cls)``. A pivot and up to about ``PIVOT_SHARE`` members
-    stream through a task, the pivot first; a pivot with more is sent to several tasks."""
+def _meet(pairs: DataFrame, sets: DataFrame, column: str, agree) -> DataFrame:
+    """The ``pairs(pivot, cls)`` whose sizes and ``column`` agree. A pivot and up to about
+    ``PIVOT_SHARE`` members stream through a task, the pivot first; a pivot with more members is
+    sent to several tasks."""
+    sets = sets.select("cls", "size", F.col(column).alias("data"))
+    # The sets are wide and most are in no pair. Pairs that are few by count go to them, which
+    # spares a shuffle of all sets; more of them meet the sets by shuffle.
+    near = F.broadcast if pairs.count() <= FEW_PAIRS else lambda df: df
     count = Window.partitionBy("pivot")
     dealt = (pairs.withColumn("parts", F.ceil(F.count("*").over(count) / PIVOT_SHARE))
              .withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts"))).drop("parts"))
-    members = dealt.join(sets, "cls").select("pivot", "part", F.lit(1).alias("role"), "cls", "size",
-                                             "bits", "shingles")
-    pivots = (dealt.select("pivot", "part").distinct()
-              .join(sets.withColumnRenamed("cls", "pivot"), "pivot")
-              .select("pivot", "part", F.lit(0).alias("role"), F.col("pivot").alias("cls"), "size",
-                      "bits", "shingles"))
+    members = sets.join(near(dealt), "cls").select("pivot", "part", F.lit(1).alias("role"), "cls", "size", "data")
+    pivots = (sets.withColumnRenamed("cls", "pivot").join(near(dealt.select("pivot", "part").distinct()), "pivot")
+              .select("pivot", "part", F.lit(0).alias("role"), F.col("pivot").alias("cls"), "size", "data"))
     rows = (members.unionByName(pivots).repartition("pivot", "part")
             .sortWithinPartitions("pivot", "part", "role"))
 
     def run(batches):
-        at = n = bits = held = None
+        at = n = held = None
         for b in batches:
             out = []
-            for pivot, _, role, cls, size, raw_bits, raw in zip(*(c.to_pylist() for c in b.columns)):
-                mine, s = np.frombuffer(raw_bits, np.uint64), np.frombuffer(raw, np.uint64)
+            for pivot, _, role, cls, size, raw in zip(*(c.to_pylist() for c in b.columns)):
+                mine = np.frombuffer(raw, np.uint64)
                 if role == 0:
-                    at, n, bits, held = pivot, size, mine, s
-                elif (at == pivot and 100 * min(n, size) >= percent * max(n, size)
-                      and linked(overlap_bound(bits, n, mine, size), n, size, percent)
-                      and linked(overlap(held, s), n, size, percent)):
+                    at, n, held = pivot, size, mine
+                elif at == pivot and agree(held, n, mine, size):
                     out.append((pivot, cls))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], []))], names=["a", "b"])
+                [pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], []))], names=["pivot", "cls"])
+
+    return map_arrow(rows, run, "pivot long, cls long")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, bound: bool = True) -> DataFrame:
+    """The linked ones of ``pairs(pivot, cls)`` as ``a, b``: with ``bound`` bitmaps first, which
+    are small and rule most pairs out, then the sorted arrays of the pairs left."""
+    def may(a, n_a, b, n_b):
+        return 100 * min(n_a, n_b) >= percent * max(n_a, n_b) and linked(
+            overlap_bound(a, n_a, b, n_b), n_a, n_b, percent)
+
+    def do(a, n_a, b, n_b):
+        return linked(overlap(a, b), n_a, n_b, percent)
+
+    left = store(_meet(pairs, sets, "bits", may), "bounded") if bound else pairs
+    return _meet(left, sets, "shingles", do).select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
+
 
-    return map_arrow(rows, run, "a long, b long")
+def tile_pairs(members: DataFrame, sets: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """``pivot, cls``: pairs of one tile with different labels that the bitmaps do not rule out.
+
+    A tile's members are ordered by size and cut into blocks; two blocks meet in a task, which
+    compares their maps word by word. A pair in several tiles is reported by the first of them.
+    """
+    own = met.groupBy("cls").agg(F.sort_array(F.collect_set("tile")).alias("tiles"))
+    order = Window.partitionBy("tile").orderBy("size", "cls")
+    # Places are worked out on narrow rows; the maps join last and are shuffled once.
+    places = (members.select("tile", "cls", "label").join(sets.select("cls", "size"), "cls")
+              .withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
+              .withColumn("blocks", F.max("block").over(Window.partitionBy("tile")))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), "blocks")))
+              .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+              .select("tile", "i", "j", "block", "cls", "label", "size"))
+    rows = (places.join(sets.select("cls", "bits").join(own, "cls"), "cls")
+            .select("tile", "i", "j", "block", "cls", "label", "size", "bits", "tiles")
+            .repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "block", "size", "cls"))
+
+    def run(batches):
+        at, held = None, []
+        for b in batches:
+            out = []
+            for tile, i, j, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if (tile, i, j) != at:
+                    if held:
+                        out += _compare(at, held, percent)
+                    at, held = (tile, i, j), []
+                held.append(row)
+            yield _pairs(out)
+        yield _pairs(_compare(at, held, percent) if held else [])
+
+    return map_arrow(rows, run, "pivot long, cls long")
+
+
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], []))],
+                                      names=["pivot", "cls"])
+
+
+def _compare(at: tuple, rows: list[list], percent: int) -> list[tuple[int, int]]:
+    """Pairs of a block with itself, or of block i with block j; rows are (block, cls, label,
+    size, bits, tiles) by block and size."""
+    tile, i, j = at
+    block, cls, label, size, bits, tiles = zip(*rows)
+    maps = [np.frombuffer(b, np.uint64) for b in bits]
+    words = min(map(len, maps))
+    maps = np.stack([_fold(m, words) for m in maps])
+    size, names = np.array(size), np.array(label)
+    second = 0 if i == j else block.index(j) if j in block else len(rows)
+    out = []
+    for a in range(len(rows) if i == j else second):
+        first = a + 1 if i == j else second
+        stop = first + int(np.searchsorted(size[first:], 100 * size[a] // percent, side="right"))
+        near = np.arange(first, stop)
+        near = near[(names[near] != names[a]) & (100 * np.minimum(size[near], size[a]) >= percent * np.maximum(size[near], size[a]))]
+        if not len(near):
+            continue
+        other = maps[near]
+        most = np.minimum(size[a] - np.bitwise_count(maps[a] & ~other).sum(axis=1, dtype=np.int64),
+                          size[near] - np.bitwise_count(other & ~maps[a]).sum(axis=1, dtype=np.int64))
+        for b in near[100 * most >= percent * (size[a] + size[near] - most)].tolist():
+            if min(set(tiles[a]).intersection(tiles[b])) == tile:
+                out.append((min(cls[a], cls[b]), max(cls[a], cls[b])))
+    return out
 
 
 def connect(edges: DataFrame) -> DataFrame:
@@ -267,9 +351,13 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     classes = (sets.filter("n_shingles > 0").groupBy("cls", "check", "n_shingles")
                .agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys")))
     met = store(tiles(classes.filter(F.size("keys") > 0)), "tiles")
+    with_keys, sets = sets, store(sets.drop("keys"), "members")
+    unstore(with_keys)
+    release(docs.sparkSession)
     reps = sets.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     vectors = store(class_sets(docs, reps.join(met.select("cls").distinct(), "cls", "left_semi"), n,
-                               text, doc_id).dropDuplicates(["cls"]), "vectors")
+                               text, doc_id), "vectors")
+    release(docs.sparkSession)
     labels, done = None, []
     for turn in range(PIVOT_ROUNDS + 1):
         members = met
@@ -293,9 +381,7 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
             pairs = (members.join(heads, "tile").filter("label <> to")
                      .groupBy("cls", "pivot").agg(F.count("*").alias("times")))
         else:
-            other = members.select("tile", F.col("cls").alias("pivot"), F.col("label").alias("to"))
-            pairs = (members.join(other, "tile").filter("label <> to AND pivot < cls")
-                     .select("cls", "pivot", F.lit(1).alias("times")).distinct())
+            pairs = tile_pairs(members, vectors, met, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["cls", "pivot"], "left_anti")
             pairs = pairs.join(tried.select(F.col("pivot").alias("cls"), F.col("cls").alias("pivot")),
@@ -303,13 +389,15 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
         if turn < PIVOT_ROUNDS:                                      # the pivot met most often
             pairs = pairs.groupBy("cls").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("pivot"))
         pairs = store(pairs.select("cls", "pivot"), "pairs")
-        links = store(verify(pairs, vectors, percent), "links")
+        last = turn == PIVOT_ROUNDS
+        links = store(verify(pairs, vectors, percent, not last), "links")
         labels_new = store(_relabel(labels, links), "components")
         if labels is not None:
             unstore(labels)
         labels = labels_new
         done.append(pairs)
         unstore(members, links)
+        release(docs.sparkSession)
     every = sets.groupBy("cls").agg(F.min("doc_id").alias("rep"))
     if labels is None:
         named = every.select("cls", F.col("rep").alias("component"))
