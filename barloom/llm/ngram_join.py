@@ -9,6 +9,9 @@
    counts, and the pairs left are intersected exactly as sorted arrays. A few rounds with other
    pivots join most members of a tile; then every pair of a tile still in different components is
    compared. So no link between components is missed and no group is expanded into its pairs.
+4. Numbers of links, where asked for. Two linked classes are in one component, so a component's
+   classes are dealt to blocks by hash, two blocks meet in a task, and all their pairs are
+   intersected exactly. A task returns a number for each class, never the pairs.
 
 Shingles are 64-bit hashes; within one set or pair a clash has a chance below 1e-12.
 """
@@ -29,6 +32,8 @@ PIVOT_ROUNDS = 2
 PIVOT_SHARE = 2000          # members that one task compares with one pivot
 FEW_PAIRS = 400_000         # pairs (of 24 bytes) that may be broadcast
 BLOCK = 512                 # members of a tile's block
+LINK_BLOCK, SET_COST = 1_000_000, 2_000   # shingles of a component's block, where a set costs some more
+COLUMNS = 4096              # shingles whose owners are multiplied at once
 
 
 def shingle_set(text: str, n: int, words: WordHashes) -> np.ndarray:
@@ -336,9 +341,92 @@ def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
             .unionByName(fresh.select(F.col("node").alias("cls"), "label")))
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``left`` with all of ``right``, or of ``left``
+    with each other: products of owner matrices over the shingles that several sets have."""
+    both = left + (right or [])
+    owner = np.repeat(np.arange(len(both)), [len(s) for s in both])
+    _, column, times = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    kept = times[column] > 1
+    owner, column = owner[kept], (np.cumsum(times > 1) - 1)[column[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right if right is not None else left)), np.int64)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        at = slice(*np.searchsorted(column, [low, low + COLUMNS]))
+        owned = np.zeros((len(both), min(COLUMNS, int(column[-1]) + 1 - low)), np.float32)
+        owned[owner[at], column[at] - low] = 1
+        one, two = (owned, owned) if right is None else (owned[:len(left)], owned[len(left):])
+        out += (one @ two.T).astype(np.int64)
+    return out
+
+
+def _count_links(at: tuple, rows: list[list], percent: int) -> list[tuple[int, int]]:
+    """``cls`` and the rows of the classes it links with, over the pairs of a block with itself
+    or of block i with block j; rows are (block, cls, number of rows, shingles)."""
+    _, i, j = at
+    held = list({r[1]: r for r in rows}.values())          # a class may have come with two texts
+    first, second = [r for r in held if r[0] == i], [r for r in held if r[0] == j]
+    if not first or not second:
+        return []
+    sets = [[np.frombuffer(r[3], np.uint64) for r in side] for side in (first, second)]
+    sizes = [np.array([len(s) for s in side]) for side in sets]
+    shared = shared_counts(sets[0], None if i == j else sets[1])
+    found = 100 * shared >= percent * (sizes[0][:, None] + sizes[1][None, :] - shared)
+    if i == j:
+        np.fill_diagonal(found, False)
+    times = [np.array([r[2] for r in side], np.int64) for side in (first, second)]
+    out = list(zip([r[1] for r in first], (found @ times[1]).tolist()))
+    if i != j:
+        out += zip([r[1] for r in second], (times[0] @ found).tolist())
+    return [x for x in out if x[1]]
+
+
+def link_counts(labels: DataFrame, sets: DataFrame, times: DataFrame, percent: int) -> DataFrame:
+    """``cls, n``: rows of the other classes that a class links with. ``labels(cls, label)``
+    names the components, ``times(cls, times)`` the rows of each class."""
+    known = store(labels.join(sets.select("cls", "size").distinct(), "cls").join(times, "cls"), "known")
+    # A component of more than one block holds a million shingles, so these are few.
+    large = (known.groupBy("label").agg(F.sum(F.col("size") + SET_COST).alias("cost"))
+             .filter(F.col("cost") > LINK_BLOCK)
+             .select("label", F.ceil(F.col("cost") / LINK_BLOCK).cast("int").alias("blocks")))
+    dealt = (known.drop("size").join(F.broadcast(large), "label", "left")
+             .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+             .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")))
+    near = F.broadcast if known.count() <= FEW_PAIRS else lambda df: df
+    rows = (sets.select("cls", "shingles").join(near(dealt), "cls")
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                    "block", "cls", "times", "shingles")
+            .repartition("label", "i", "j").sortWithinPartitions("label", "i", "j"))
+
+    def run(batches):
+        at, held = None, []
+        for b in batches:
+            out = []
+            for label, i, j, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if (label, i, j) != at:
+                    if held:
+                        out += _count_links(at, held, percent)
+                    at, held = (label, i, j), []
+                held.append(row)
+            yield _counts(out)
+        yield _counts(_count_links(at, held, percent) if held else [])
+
+    found = store(map_arrow(rows, run, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n")), "links")
+    unstore(known)
+    return found
+
+
+def _counts(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], []))],
+                                      names=["cls", "n"])
+
+
 def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text: str = "text",
-                       doc_id: str = "doc_id") -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_shingles, cls, component_id``.
+                       doc_id: str = "doc_id", links: bool = False) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, n_shingles, cls, component_id``, with ``links`` also
+    ``n_links``, the number of other rows that the row links with.
 
     Two rows link when the Jaccard similarity of their shingle sets is at least ``percent``
     hundredths; ``component_id`` is the smallest id that links reach. A text with fewer than
@@ -405,11 +493,21 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
         labelled = every.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         least = labelled.groupBy("label").agg(F.min("rep").alias("component"))
         named = labelled.join(least, "label").select("cls", "component")
-    unstore(vectors, met, *done)
-    return (sets.select("doc_id", "n_shingles", "cls").join(named, "cls")
-            .select("doc_id", "n_shingles", "cls",
-                    F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
-                    .alias("component_id")))
+    unstore(met, *done)
+    out = ["doc_id", "n_shingles", "cls",
+           F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")]
+    if links:
+        release(docs.sparkSession)
+        times = sets.filter("n_shingles > 0").groupBy("cls").agg(F.count("*").alias("times"))
+        equal = times.withColumnRenamed("times", "n")
+        if labels is not None:
+            more = link_counts(labels.select("cls", "label"), vectors, times, percent)
+            equal = equal.join(more.withColumnRenamed("n", "more"), "cls", "left").select(
+                "cls", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+        named = named.join(equal.withColumn("n_links", F.col("n") - 1).drop("n"), "cls", "left")
+        out.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    unstore(vectors)
+    return sets.select("doc_id", "n_shingles", "cls").join(named, "cls").select(*out)
 
 
 def representatives(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -94,7 +94,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_ngram_jaccard_join")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return ngram_join.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.jaccard_components(docs, links=True).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 URL_RULES = (urls.Rule("net", "/", "block"), urls.Rule("example.net", "/en/", "allow"),

@@ -71,6 +71,33 @@ def test_op1_near_the_threshold(spark):
     assert got == components(pdf, 4, 85)
 
 
+def test_op1_links(spark, monkeypatch):
+    """Numbers of links of rows, also between different texts of one component, of equal texts,
+    of a repeated id, and of a component that is cut into blocks."""
+    rng = np.random.default_rng(6)
+    texts = [None, " ", "one two", "one two", "One TWO"]
+    for g in range(6):
+        base = [f"w{g}_{k}" for k in range(int(rng.integers(40, 90)))]
+        for v in range(25):
+            t = list(base)
+            for k in rng.integers(0, len(t), size=v % 4):
+                t[k] = f"x{rng.integers(50)}"
+            texts.append(" ".join(t))
+    rows = [(k, t) for k, t in enumerate(texts)] + [(2, "ONE two"), (7, texts[40].upper()), (None, texts[9])]
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k:k + 4]) for k in range(max(1, len(w) - 3))} if w else set())
+    want = [(i, len(a), sum(x != y and bool(a) and 100 * len(a & b) >= 85 * len(a | b) for y, b in enumerate(sets)))
+            for x, ((i, _), a) in enumerate(zip(rows, sets))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (1_000_000, 15_000):
+        monkeypatch.setattr(ngram_join, "LINK_BLOCK", block)
+        got = ngram_join.jaccard_components(df, links=True).collect()
+        assert collections.Counter((r.doc_id, r.n_shingles, r.n_links) for r in got) == collections.Counter(want)
+    assert max(w[2] for w in want) > 5
+
+
 def test_bands_meet_and_bounds_hold():
     rng = np.random.default_rng(1)
     for a in [*range(1, 60), 200, 999, 5000]:
