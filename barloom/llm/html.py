@@ -2,11 +2,10 @@
 
 1. Every page becomes a tree of labels, siblings with one label taken together, and a list of
    its text nodes (path and text).
-2. The commonest tree of a host is its template tree. Every other tree of the host is aligned
-   with it by simple tree matching: equal labels match, children match in order, as many nodes
-   as possible.
-3. Among aligned nodes, a text that nearly all pages of the host have at the same path is
-   constant and belongs to the template. All else are varying slots.
+2. Trees of a host that match well by simple tree matching are one layout: equal labels match,
+   children match in order, as many nodes as possible. A layout's commonest tree is its template.
+3. Among nodes aligned with the template, a text that nearly all different pages of the layout
+   have at the same path is constant and belongs to the template. All else are varying slots.
 4. The content is the varying text of the page's article, without slots that serve another
    purpose: menus, headers, footers, side columns, notices, adverts, forms, comments.
 
@@ -26,8 +25,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import append_columns, map_arrow, store, texts, unstore
 from .urls import split_url
 
-#: A text is constant on a host when at least this share of at least so many pages has it.
-CONSTANT_SHARE, LEAST_PAGES = 0.9, 8
+#: A text is constant in a layout when at least this share of at least so many different pages has it.
+CONSTANT_SHARE, LEAST_PAGES = 0.9, 2
+#: Trees are one layout when at least this share of their nodes matches.
+LAYOUT_MATCH = 0.7
+#: A task finds the layouts of about so many trees of a host.
+TREES = 1000
 #: Inside an article only constant texts up to this length are template; a longer one is a
 #: passage that many articles quote.
 LONGEST_CONSTANT = 200
@@ -54,6 +57,7 @@ SCOPES = frozenset("html body article main section div table ul ol td th li bloc
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>"""
                     r"""|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_LANG = re.compile(r"""\blang\s*=\s*["']?([\w-]+)""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -73,6 +77,9 @@ def _label(tag: str, attrs: str) -> tuple[str, frozenset]:
     """Label of an element and the lower-cased parts of its class, id and role."""
     if not attrs or "=" not in attrs:
         return tag, frozenset()
+    if tag == "html":                            # one layout for each language
+        lang = _LANG.search(attrs)
+        return (f"html:{lang[1].lower()}" if lang else tag), frozenset()
     names = [next(filter(None, m), "") for m in _NAMES.findall(attrs)]
     parts = frozenset(p.lower() for n in names for p in _PARTS.findall(n))
     return (f"{tag}.{names[0].split()[0]}" if names and names[0].split() else tag), parts
@@ -197,7 +204,7 @@ def _name(path: str) -> str:
 
 def _children(paths: list[str]) -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}
-    for p in paths:
+    for p in filter(None, paths):                # the tree of an empty page is one empty path
         out.setdefault(p.rpartition(">")[0], []).append(p)
     return out
 
@@ -229,12 +236,14 @@ def _block_key(block: list[Text]) -> int:
     return _key(_head(block).path, _clean("".join(n.text for n in block)))
 
 
-def page_nodes(html: str) -> tuple[str, list[int], list[int]]:
-    """(tree, number of the path, key) with one entry for each distinct block of text."""
+def page_nodes(html: str) -> tuple[str, int, list[int], list[int]]:
+    """(tree, hash of the article's text, number of the path, key), the last two with one entry
+    for each distinct block of text."""
     paths, nodes = parse(html)
     number = {p: k for k, p in enumerate(paths)}
-    seen = {_block_key(b): number[_head(b).path] for b in blocks_of(nodes) if _head(b).path}
-    return "\n".join(paths), list(seen.values()), list(seen)
+    blocks = blocks_of(nodes)
+    seen = {_block_key(b): number[_head(b).path] for b in blocks if _head(b).path}
+    return "\n".join(paths), _key("", main_text(html, frozenset())), list(seen.values()), list(seen)
 
 
 def main_text(html: str, constant: frozenset) -> str:
@@ -280,23 +289,77 @@ def _densest(shown: list[Text]) -> int | None:
     return max((e for e, w in weight.items() if 10 * w >= 7 * whole), default=None)
 
 
+def _matched(a: list[str], b: list[str]) -> bool:
+    """Whether two trees are of one layout. Trees whose sizes or labels cannot agree in that
+    many nodes are not matched."""
+    least = LAYOUT_MATCH * (len(a) + len(b)) / 2
+    return a == b or min(len(a), len(b)) >= least and len(match_trees(a, b)) >= least
+
+
+def _leaders(trees: DataFrame) -> DataFrame:
+    """``host, tree_id, leader`` for ``trees(host, part, n, tree_id, tree)``: by falling number of
+    pages, each tree joins the first earlier leader of its host and part that it matches, or
+    leads. A task holds the leaders only."""
+    rows = (trees.select("host", "part", "tree_id", "tree", "n").repartition("host", "part")
+            .sortWithinPartitions("host", "part", F.desc("n"), "tree_id"))
+
+    def run(batches):
+        at, leaders = None, []
+        for b in batches:
+            out = []
+            for host, part, tree_id, tree in zip(*(c.to_pylist() for c in b.columns[:4])):
+                if (host, part) != at:
+                    at, leaders = (host, part), []
+                paths = tree.split("\n")
+                leader = next((k for k, other in leaders if _matched(paths, other)), None)
+                if leader is None:
+                    leaders.append((tree_id, paths))
+                    leader = tree_id
+                out.append((host, tree_id, leader))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, (pa.string(), pa.int64(), pa.int64()))],
+                names=["host", "tree_id", "leader"])
+
+    return map_arrow(rows, run, "host string, tree_id long, leader long")
+
+
+def layouts(trees: DataFrame) -> DataFrame:
+    """``host, tree_id, layout``; a layout is named by its template's id. The trees of a host
+    are dealt to tasks, then the layouts found there are compared with each other."""
+    many = (trees.groupBy("host").agg(F.ceil(F.count("*") / TREES).alias("parts")).filter("parts > 1"))
+    dealt = (trees.join(F.broadcast(many), "host", "left")
+             .withColumn("part", F.pmod(F.xxhash64("tree_id"), F.coalesce("parts", F.lit(1)))))
+    first = store(_leaders(dealt), "leaders")
+    sizes = (trees.join(first, ["host", "tree_id"]).groupBy("host", "leader").agg(F.sum("n").alias("n"))
+             .withColumnRenamed("leader", "tree_id"))
+    last = _leaders(trees.drop("n").join(sizes, ["host", "tree_id"]).withColumn("part", F.lit(0)))
+    last = last.select("host", F.col("tree_id").alias("leader"), F.col("leader").alias("layout"))
+    out = store(first.join(last, ["host", "leader"]).select("host", "tree_id", "layout"), "layouts")
+    unstore(first)
+    return out
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """``host, constant`` (keys of constant texts) for hosts that have any, from
-    ``pages(host, html)``."""
+    ``pages(host, html)``. Pages of one layout with the same article text count once. A key has
+    the path in it, so the layouts of a host share one list."""
     def nodes(batch: pa.RecordBatch) -> list:
         rows = [page_nodes(t) for t in texts(batch, "html")]
         trees = [r[0] for r in rows]
         return [pa.array(trees, pa.string()), pa.array([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in trees], pa.int64()),
-                pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.int64()))]
+                pa.array([r[1] for r in rows], pa.int64()),
+                pa.array([r[2] for r in rows], pa.list_(pa.int32())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))]
 
     found = append_columns(pages, nodes, [
         T.StructField("tree", T.StringType()), T.StructField("tree_id", T.LongType()),
+        T.StructField("article", T.LongType()),
         T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("keys", T.ArrayType(T.LongType()))])
     found = store(found.drop("html"), "nodes")
-    trees = found.groupBy("host", "tree_id", "tree").agg(F.count("*").alias("n"))
-    hosts = trees.groupBy("host").agg(F.max_by("tree", F.struct("n", "tree_id")).alias("template"), F.sum("n").alias("pages"))
-    hosts = hosts.filter(F.col("pages") >= LEAST_PAGES)
-    pairs = trees.join(hosts, "host").select("host", "tree_id", "tree", "template")
+    trees = store(found.filter("host IS NOT NULL").groupBy("host", "tree_id", "tree").agg(F.count("*").alias("n")), "trees")
+    named = layouts(trees)
+    heads = trees.select("host", F.col("tree_id").alias("layout"), F.col("tree").alias("template"))
+    pairs = (trees.join(named, ["host", "tree_id"]).join(heads, ["host", "layout"])
+             .select("host", "tree_id", "tree", "template", "layout"))
 
     def align(batches):
         known: dict[tuple[str, str], list[bool]] = {}
@@ -308,28 +371,31 @@ def templates(pages: DataFrame) -> DataFrame:
                     same = match_trees(paths, template.split("\n"))
                     known[tree, template] = [p in same for p in paths]
                 flags.append(known[tree, template])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(flags, pa.list_(pa.bool_()))],
-                                             names=["host", "tree_id", "aligned"])
-
-    aligned = map_arrow(pairs, align, "host string, tree_id long, aligned array<boolean>")
-    counted = (found.select("host", "tree_id", F.explode(F.arrays_zip("at", "keys")).alias("x"))
-               .groupBy("host", "tree_id", F.col("x.at").alias("at"), F.col("x.keys").alias("key"))
-               .agg(F.count("*").alias("n")))
-    constant = (counted.join(aligned, ["host", "tree_id"]).filter(F.get("aligned", F.col("at")))
-                .groupBy("host", "key").agg(F.sum("n").alias("n"))
-                .join(hosts.select("host", "pages"), "host")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), pa.array(flags, pa.list_(pa.bool_()))],
+                                             names=["host", "tree_id", "layout", "aligned"])
+
+    aligned = map_arrow(pairs, align, "host string, tree_id long, layout long, aligned array<boolean>")
+    in_template = F.filter(F.arrays_zip("at", "keys"), lambda x: F.get("aligned", x["at"]))
+    different = store(found.drop("tree").join(aligned, ["host", "tree_id"])
+                      .select("host", "layout", "article", F.transform(in_template, lambda x: x["keys"]).alias("keys"))
+                      .groupBy("host", "layout", "article").agg(F.max("keys").alias("keys")), "pages")
+    sizes = (different.groupBy("host", "layout").agg(F.count("*").alias("pages"))
+             .filter(F.col("pages") >= LEAST_PAGES))
+    constant = (different.select("host", "layout", F.explode("keys").alias("key"))
+                .groupBy("host", "layout", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_PAGES)
+                .join(sizes, ["host", "layout"])
                 .filter(F.col("n") >= CONSTANT_SHARE * F.col("pages"))
-                .groupBy("host").agg(F.collect_list("key").alias("constant")))
+                .groupBy("host").agg(F.collect_set("key").alias("constant")))
     out = store(constant, "templates")
-    unstore(found)
+    unstore(found, trees, named, different)
     return out
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """``pages`` with ``text``, the main text of ``html``.
 
-    A null or empty page has an empty text; a null url is a host of its own. A host with few
-    pages has no template, its content is found by the slots' purpose alone. Character
+    A null or empty page has an empty text; a null url is a host of its own. A layout with
+    one page has no template, its content is found by the slots' purpose alone. Character
     references are decoded, white space becomes one space, blocks are joined by one space;
     nothing is cut off. A column named ``text`` is replaced; repeated pages count as pages.
     """

@@ -91,6 +91,22 @@ def test_html_wrapper_and_furniture(spark):
     assert html.match_trees(["a", "a>x", "a>y", "a>z"], ["a", "a>z", "a>x", "a>y"]) == {"a", "a>x", "a>y"}
 
 
+def test_html_two_layouts(spark):
+    """Hosts with few pages, two layouts and a notice per language."""
+    def one(k):
+        return (f"<html lang={'de' if k % 2 else 'en'}><body><div class=x><p>{'Hinweis' if k % 2 else 'Remark'}</div>"
+                f"<div class=y><h1>T {k}</h1><p>B {k}</div></body></html>")
+
+    def two(k):
+        return (f"<html><body><table><tr><td>Left<td><blockquote>W {k}</blockquote><dl><dt>Read on<dd>C {k}</dl></table>"
+                f"</body></html>")
+    rows = [(k, f"http://h/{k}", one(k)) for k in range(4)] + [(k, f"http://h/{k}", two(k)) for k in range(4, 6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html.extract(pages).collect():
+        k = r.page_id
+        assert r.text == (f"T {k} B {k}" if k < 4 else f"W {k} C {k}")
+
+
 def test_substrings(docs):
     got = {}
     for r in rows(substrings.dedup(docs)):
