@@ -6,8 +6,9 @@
    children match in order, as many nodes as possible. A layout's commonest tree is its template.
 3. Among nodes aligned with the template, a text that nearly all different pages of the layout
    have at the same path is constant and belongs to the template. All else are varying slots.
-4. The content is the varying text of the page's article, without slots that serve another
-   purpose: menus, headers, footers, side columns, notices, adverts, forms, comments.
+4. The content is the varying text of the page's articles and main part, or of the whole page
+   if it has neither, without slots that serve another purpose: menus, headers, footers, side
+   columns, notices, adverts, forms, comments.
 
 Counts and templates cover all pages; a host never has to fit into one task.
 """
@@ -49,6 +50,8 @@ FURNITURE = frozenset("ad ads advert adverts advertisement advertising banner sp
                       "navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer comment comments "
                       "disqus reply replies respond share sharing social related recommended recommendations login "
                       "search searchform pagination pager toolbar widget skip contentinfo complementary".split())
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+FORMS = frozenset("form fieldset".split())
 TOP = frozenset("header masthead topbar".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
@@ -62,14 +65,15 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Text:
-    """A text node: its path, decoded text, and where it stands. ``article`` and ``main`` are
-    the numbers of the outermost such element around it, ``line`` those of the containers above."""
+    """A text node: its path, decoded text, and where it stands. ``article`` tells whether an
+    article or main element is around it; ``outer`` and ``inner`` are the furniture elements
+    around that element and inside of it, as (number, kind)."""
 
-    __slots__ = ("path", "text", "dropped", "article", "main", "link", "line")
+    __slots__ = ("path", "text", "article", "outer", "inner")
 
     def __init__(self, path, text, top):
         self.path, self.text = path, text
-        _, _, self.dropped, self.article, self.main, self.link, self.line = top
+        _, _, self.article, self.outer, self.inner = top
 
 
 @lru_cache(maxsize=20_000)
@@ -85,27 +89,33 @@ def _label(tag: str, attrs: str) -> tuple[str, frozenset]:
     return (f"{tag}.{names[0].split()[0]}" if names and names[0].split() else tag), parts
 
 
-def _furniture(tag: str, parts: frozenset, inside: bool) -> bool:
-    if tag in DROPPED:
-        return True
+#: Kinds of furniture: what is never content, comments, forms, and what only its name tells.
+HARD, TALK, FORM, NAMED = range(4)
+
+
+def _furniture(tag: str, parts: frozenset, inside: bool) -> int | None:
+    """Kind of furniture that an element is, if any."""
     if tag in ("html", "body"):
-        return False
+        return None
+    if parts & COMMENTS:
+        return TALK
     if tag in ("article", "main"):
-        return "comment" in parts
-    return bool(parts & FURNITURE) or not inside and (tag == "header" or bool(parts & TOP))
+        return None
+    if tag in DROPPED:
+        return FORM if tag in FORMS else HARD
+    return NAMED if parts & FURNITURE or not inside and (tag == "header" or parts & TOP) else None
 
 
 #: Deeper elements keep the path of their parent, so that paths stay short on any input.
 MAX_DEPTH = 150
-LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dt dd td th tr figure figcaption".split())
 
 
 def parse(html: str) -> tuple[list[str], list[Text | None]]:
     """(paths in order of first appearance, text nodes with None at block boundaries)."""
     paths: dict[str, int] = {}
     out: list[Text | None] = []
-    # tag, path, dropped, article, main, link, ids of the open elements
-    stack: list[tuple] = [("", "", False, 0, 0, False, ())]
+    # tag, path, article, outer, inner of the open elements
+    stack: list[tuple] = [("", "", False, (), ())]
     count, pos, size = 0, 0, len(html)
     while pos < size:
         m = _TOKEN.search(html, pos)
@@ -143,21 +153,19 @@ def parse(html: str) -> tuple[list[str], list[Text | None]]:
                         break
                 elif t in SCOPES:
                     break
-        _, path, dropped, article, main, link, line = stack[-1]
+        _, path, article, outer, inner = stack[-1]
         label, parts = _label(tag, m[3] if m[2] else m[6])
         count += 1
-        dropped = dropped or _furniture(tag, parts, bool(article or main))
         deep = len(stack) > MAX_DEPTH
         if block and not deep:
             path = f"{path}>{label}" if path else label
             paths.setdefault(path, len(paths))
-        if tag == "article" and not article and not dropped:
-            article = count
-        if tag == "main" and not main and not dropped:
-            main = count
-        if block and not deep and tag not in LEAVES:
-            line += (count,)
-        stack.append((tag, path, dropped, article, main, link or tag == "a", line))
+        kind = _furniture(tag, parts, article)
+        if tag in ("article", "main") and not article and kind is None:
+            article, outer, inner = True, tuple(x for x in inner if x[1] != FORM), ()
+        if kind is not None and len(inner) <= MAX_DEPTH:
+            inner += ((count, kind),)
+        stack.append((tag, path, article, outer, inner))
     return list(paths), out
 
 
@@ -243,50 +251,49 @@ def page_nodes(html: str) -> tuple[str, int, list[int], list[int]]:
     number = {p: k for k, p in enumerate(paths)}
     blocks = blocks_of(nodes)
     seen = {_block_key(b): number[_head(b).path] for b in blocks if _head(b).path}
-    return "\n".join(paths), _key("", main_text(html, frozenset())), list(seen.values()), list(seen)
+    return "\n".join(paths), _key("", _joined(_content(blocks))), list(seen.values()), list(seen)
 
 
 def main_text(html: str, constant: frozenset) -> str:
     """Content of one page, given the keys of its host's constant blocks."""
     blocks = blocks_of(parse(html)[1])
-    if constant:
-        varying = [b for b in blocks if not _is_constant(b, constant)]
-        if any(not n.dropped and n.text.strip() for b in varying for n in b):
-            blocks = varying
-    blocks = [[n for n in b if not n.dropped] for b in blocks]
-    shown = [n for b in blocks for n in b if n.text.strip()]
-    sizes: dict[int, int] = {}
-    for n in shown:
-        if n.article:
-            sizes[n.article] = sizes.get(n.article, 0) + len(n.text)
-    if sizes:
-        most = max(sizes.values())
-        wanted = {a for a, s in sizes.items() if 2 * s >= most}
-        blocks = [[n for n in b if n.article in wanted] for b in blocks]
-    elif any(n.main for n in shown):
-        blocks = [[n for n in b if n.main] for b in blocks]
-    else:
-        best = _densest(shown)
-        if best is not None:
-            blocks = [[n for n in b if best in n.line] for b in blocks]
+    varying = [b for b in blocks if not _is_constant(b, constant)] if constant else blocks
+    return _joined(_content(varying)) or _joined(_content(blocks))
+
+
+def _joined(blocks: list[list[Text]]) -> str:
     return _clean(" ".join(["".join([n.text for n in b]) for b in blocks]))
 
 
+def _content(blocks: list[list[Text]]) -> list[list[Text]]:
+    """The blocks without furniture. An element that only its name or a form makes furniture is
+    none if it holds most of the text; text counts that stands in articles or the main part, if
+    there are any. Where all articles are inside furniture other than comments, they count."""
+    shown = [n for b in blocks for n in b if n.text.strip() and all(k != TALK for _, k in n.outer + n.inner)]
+    inside = [n for n in shown if n.article]
+    counted = [n for n in inside or shown if all(k != HARD for _, k in n.outer + n.inner)]
+    weight: dict[int, int] = {}
+    for n in counted:
+        for e, k in n.outer + n.inner:
+            weight[e] = weight.get(e, 0) + len(n.text)
+    whole = sum(len(n.text) for n in counted)
+    wrapper = {e for e, w in weight.items() if 2 * w > whole}
+
+    def kept(marks) -> bool:
+        return all(e in wrapper for e, k in marks)
+
+    if inside:
+        free = any(kept(n.outer) and kept(n.inner) for n in inside)
+        talk = {e for b in blocks for n in b for e, k in n.outer if k == TALK}
+        return [[n for n in b if n.article and kept(n.inner) and (
+            kept(n.outer) if free else talk.isdisjoint(e for e, _ in n.outer))] for b in blocks]
+    return [[n for n in b if not n.article and kept(n.inner)] for b in blocks]
+
+
 def _is_constant(block: list[Text], constant: frozenset) -> bool:
     head = _head(block)
     short = sum(len(n.text) for n in block) <= LONGEST_CONSTANT
-    return (short or not (head.article or head.main)) and _block_key(block) in constant
-
-
-def _densest(shown: list[Text]) -> int | None:
-    """Without an article: the innermost container that still has most of the unlinked text."""
-    weight: dict[int, int] = {}
-    for n in shown:
-        if not n.link:
-            for e in n.line:
-                weight[e] = weight.get(e, 0) + len(n.text)
-    whole = max(weight.values(), default=0)
-    return max((e for e, w in weight.items() if 10 * w >= 7 * whole), default=None)
+    return (short or not head.article) and _block_key(block) in constant
 
 
 def _matched(a: list[str], b: list[str]) -> bool:

@@ -107,6 +107,25 @@ def test_html_two_layouts(spark):
         assert r.text == (f"T {k} B {k}" if k < 4 else f"W {k} C {k}")
 
 
+def test_html_whole_content(spark):
+    """Wrapped, copied and article-less pages, and several articles, keep all their text."""
+    both = "<h1>Title</h1><p>First paragraph."
+    assert html.main_text(f"<form><div>menu</div><article>{both}</article></form>", frozenset()) == "Title First paragraph."
+    assert html.main_text(f"<form>{both}<nav>n</nav></form><div class=ad>x</div>", frozenset()) == "Title First paragraph."
+    assert html.main_text(f"<div class='content has-sidebar'>{both}<div class=sidebar>side</div></div>",
+                          frozenset()) == "Title First paragraph."
+    assert html.main_text(f"<aside><article>{both}</article></aside>", frozenset()) == "Title First paragraph."
+    assert html.main_text(f"<div class=comments><article>no no no no no no no</article></div><main>{both}</main>",
+                          frozenset()) == "Title First paragraph."
+    assert html.main_text("<article>" + "long " * 50 + "</article><article>short</article>", frozenset()).endswith("long short")
+    assert html.main_text("<div><h1>T</h1></div><div>" + "<p>body" * 40 + "</div><p>end", frozenset()).split() == ["T"] + ["body"] * 40 + ["end"]
+    copies = [(k, f"http://c/{k}", f"<body><p>Site<article>{both}</article>") for k in range(19)]
+    pages = spark.createDataFrame([*copies, (19, "http://c/19", "<body><p>Site<article><h1>Other</h1><p>Text")],
+                                  "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert got[0] == got[18] == "Title First paragraph." and got[19] == "Other Text"
+
+
 def test_substrings(docs):
     got = {}
     for r in rows(substrings.dedup(docs)):
