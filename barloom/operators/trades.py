@@ -289,13 +289,16 @@ def account_rules(trades: DataFrame, max_open: int = 5, day_stop_pct: float = -5
     """One open position per ticker, at most ``max_open`` over all, none after the day stop: one
     fold per session, so an entry that the account refuses does not block its ticker.
 
-    A ticker may enter again on a bar after its exit, not on the exit's own bar. Of one
-    instant only the first entries in ticker order matter: ``max_open`` acceptable ones,
-    and at most ``max_open`` others whose ticker is open or closed at that very instant.
-    Twice that many are kept before the shuffle, so a day's fold is bounded by its instants.
+    A ticker may enter again on a bar after its exit, not on the exit's own bar. Of the
+    entries of one instant that exit later, only the first in ticker order matter:
+    ``max_open`` acceptable ones, and at most ``max_open`` others whose ticker is open or
+    closed at that very instant. Twice that many are kept before the fold. An entry that
+    exits on its own bar holds no slot, so all of these stay in it.
     """
-    turn = Window.partitionBy("session", "entry_ts").orderBy("ticker")
-    able = (trades.withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= 2 * max_open).drop("_turn"))
+    holds = F.col("exit_ts").isNull() | (F.col("exit_ts") > F.col("entry_ts"))
+    turn = Window.partitionBy("session", "entry_ts", holds).orderBy("ticker")
+    able = (trades.withColumn("_turn", F.row_number().over(turn))
+            .filter(~holds | (F.col("_turn") <= 2 * max_open)).drop("_turn"))
     row = F.struct("entry_ts", "ticker", "exit_ts", "entry_price", "pct")
     kind = able.select(row.alias("r")).schema["r"].dataType.simpleString()
     day = able.groupBy("session").agg(F.array_sort(F.collect_list(row)).alias("all"))

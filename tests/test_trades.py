@@ -199,3 +199,14 @@ def test_entries_without_a_later_bar_keep_a_row(spark):
     for preset in ("live", "spec"):
         legs = T.exits(entries, bars, preset)
         assert legs.count() == 4 and legs.filter("exit_ts IS NOT NULL").count() == 0
+
+
+def test_account_rules_keep_entries_closed_on_their_own_bar(spark):
+    """They hold no slot, so neither they nor later tickers are lost at a crowded instant."""
+    rows = [(f"T{k:02d}", DAY, at(600), at(600), 10.0, -0.01) for k in range(30)]
+    rows += [(f"Z{k:02d}", DAY, at(600), at(620), 10.0, 1.0) for k in range(12)]
+    rows += [("Y", DAY, at(610), None, 10.0, 1.0), ("ZZ", DAY, at(621), at(621), 10.0, 1.0)]
+    got = T.account_rules(spark.createDataFrame(rows, TRADE), 2).collect()
+    assert sorted(r.ticker for r in got) == [*(f"T{k:02d}" for k in range(30)), "Z00", "Z01", "ZZ"]
+    losers = [(f"T{k:02d}", DAY, at(600), at(600), 10.0, -3.0) for k in range(30)]
+    assert len(T.account_rules(spark.createDataFrame(losers, TRADE)).collect()) == 17
