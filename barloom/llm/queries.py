@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, html, imatch, mixing, ngram_join, quality, secrets, substrings, urls
+from . import (bpe, chat, html, imatch, lexical, mixing, ngram_join, quality, repair, secrets, substrings, urls,
+               vectors)
 from .common import read, sha256_hex
 
 QUERIES, SQL = {}, {}
@@ -189,3 +190,110 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html.extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op11_rotated_codes")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = vectors.Index(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return index.search(F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op12_shared_lexical_search", r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT doc_id, r, CAST(len(w) AS BIGINT) AS n, w FROM t WHERE len(w) > 0),
+g AS (SELECT count(*) AS gn, CAST(sum(n) AS BIGINT) AS gl FROM d),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (SELECT doc_id, r, n, term, count(*) AS tf FROM (SELECT doc_id, r, n, unnest(w) AS term FROM d)
+    WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(gn) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, g GROUP BY term),
+s AS (SELECT item_id, doc_id, r, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * gn) // gl)))) AS BIGINT) AS score
+    FROM i JOIN p USING (term) JOIN f USING (term), g GROUP BY ALL),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 50""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"), k=50)
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """``conversations`` rows with the faults that the contract of operator 13 draws by row."""
+    void = F.lit(" ")
+    draw = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), void), F.lit(":"),
+                            F.coalesce(F.col("turn").cast("string"), void)).cast("binary")) % 20
+    text, role = F.coalesce("text", void), F.coalesce("role", void)
+    return (turns.select(
+        "conv_id", "turn", draw.alias("draw"), F.when(draw == 4, "user").otherwise(role).alias("role"),
+        F.when(draw == 1, "").when(draw == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"))
+        .filter("draw <> 0")
+        .withColumn("copy", F.explode(F.when(F.col("draw") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+        .drop("draw", "copy"))
+
+
+def _then(state: str, cost: str, edit: str, line: str) -> str:
+    """SQL of a state text (six digits of cost, audit, a mark, repaired lines) after an edit."""
+    return (f"(lpad(CAST(CAST(substr({state}, 1, 6) AS INTEGER) + {cost} AS VARCHAR), 6, '0') || "
+            f"substr({state}, 7, instr({state}, chr(1)) - 7) || '{edit}' || substr({state}, instr({state}, chr(1))) || {line})")
+
+
+def _edited(state: str, to: str) -> str:
+    """SQL of keeping the row or giving it another role, to state ``to``; null where neither can be."""
+    keep = f"CASE WHEN NOT must AND initial = '{to}' THEN {_then(state, 'more', 'K', 'chr(10) || role || chr(58) || text')} END"
+    if to == "s":
+        return keep
+    name = {"u": "user", "a": "assistant"}[to]
+    return f"{keep}, CASE WHEN NOT must THEN {_then(state, '1 + more', 'R', f'chr(10) || {chr(39)}{name}:{chr(39)} || text')} END"
+
+
+_INSERT = {to: {x: _then(x, "5", "I", f"chr(10) || '{name}:'") for x in "nsua"} for to, name in (("u", "user"), ("a", "assistant"))}
+_DELETE = {x: _then(x, "2", "D", "''") for x in "nsua"}
+_SPACE_SQL = r"[\x20\x09-\x0D]"
+
+
+@query("op13_conversation_repair", rf"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(8), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, i::BIGINT) AS c FROM range(256) t(i))),
+d AS (SELECT conv_id, turn, xor(list_reduce([ord(x) FOR x IN string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '')],
+    lambda c, b: xor(c >> 8, tab[CAST(xor(c, b::BIGINT) & 255 AS INTEGER) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS draw,
+    coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations, crc),
+e AS (SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+    CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM d, range(2) c(copy) WHERE draw <> 0 AND (copy = 0 OR draw = 3)),
+f AS (SELECT *, substr(role, 1, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?]{_SPACE_SQL}*$') THEN 'truncated' END AS fault
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS k FROM e)),
+r AS (SELECT conv_id, k, role, text, initial, coalesce(fault IN ('blank', 'duplicate'), false) AS must,
+    CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more FROM f),
+p AS (SELECT DISTINCT conv_id, 0::BIGINT AS k, '000000' || chr(1) AS n, NULL::VARCHAR AS s,
+    '000005I' || chr(1) || chr(10) || 'user:' AS u, '000010II' || chr(1) || chr(10) || 'user:' || chr(10) || 'assistant:' AS a FROM r
+  UNION ALL
+  SELECT conv_id, k, n, s, u, least(a, {_INSERT['a']['u']}) AS a FROM (
+    SELECT conv_id, k, n, s, least(u, {_INSERT['u']['n']}, {_INSERT['u']['s']}, {_INSERT['u']['a']}) AS u, a FROM (
+      SELECT p.conv_id, r.k, {_DELETE['n']} AS n, least({_DELETE['s']}, {_edited('n', 's')}) AS s,
+        least({_DELETE['u']}, {_edited('n', 'u')}, {_edited('s', 'u')}, {_edited('a', 'u')}) AS u,
+        least({_DELETE['a']}, {_edited('u', 'a')}) AS a
+      FROM p JOIN r ON p.conv_id IS NOT DISTINCT FROM r.conv_id AND r.k = p.k + 1))),
+b AS (SELECT conv_id, least(n, a) AS best FROM p QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM f) GROUP BY conv_id)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(substr(best, 1, 6) AS BIGINT), 0) AS cost,
+  coalesce(substr(best, 7, instr(best, chr(1)) - 7), '') AS audit,
+  sha256(coalesce(substr(best, instr(best, chr(1)) + 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN b ON o.conv_id IS NOT DISTINCT FROM b.conv_id""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repairs, edits = repair.repair(damaged(turns))
+    line = F.struct("part", "nth", F.concat("role", F.lit(":"), "text").alias("line"))
+    said = (edits.filter("edit <> 'D'").groupBy(F.col("conv_id").alias("said_id"))
+            .agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"]), "\n").alias("said")))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    convs = turns.select(F.col("conv_id").cast("long").alias("id")).distinct()
+    return (convs.join(repairs.drop("segments"), F.col("id").eqNullSafe(F.col("conv_id")), "left")
+            .join(said, F.col("id").eqNullSafe(F.col("said_id")), "left")
+            .select(F.col("id").alias("conv_id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+                    F.coalesce("audit", F.lit("")).alias("audit"), sha256_hex(F.coalesce("said", F.lit(""))).alias("repaired_sha256")))
