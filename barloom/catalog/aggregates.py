@@ -118,11 +118,13 @@ def _(spark, d):
 
 @query("ag_15_cum_volume_ratio", sql(BAR_SQL + "i:cum_volume r:expected_cum_volume r:cum_volume_ratio",
     f"""FROM (SELECT *, cum_volume / nullif(expected_cum_volume, 0) AS cum_volume_ratio FROM (SELECT *,
-       avg(cum_volume) OVER (PARTITION BY ticker, hour(bar_ts) * 60 + minute(bar_ts) ORDER BY session
-                             ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS expected_cum_volume
-       FROM (SELECT *, sum(volume) OVER ({T_WINDOW}) AS cum_volume FROM bars)))"""))
+       avg(cum_volume) OVER (PARTITION BY ticker, slot ORDER BY session ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS expected_cum_volume
+       FROM (SELECT g.ticker, g.session, g.slot, b.bar_ts, coalesce(sum(b.volume) OVER (PARTITION BY g.ticker, g.session ORDER BY g.slot), 0) AS cum_volume
+         FROM (SELECT ticker, session, unnest(range(0, 86400, {COARSE})) AS slot FROM (SELECT DISTINCT ticker, session FROM bars)) g
+         LEFT JOIN bars b ON g.ticker = b.ticker AND g.session = b.session AND epoch(b.bar_ts) % 86400 = g.slot)))
+       WHERE bar_ts IS NOT NULL"""))
 def _(spark, d):
-    return final(S.cum_volume_ratio(A.bars(spark, d)), *BAR, "cum_volume", "expected_cum_volume", "cum_volume_ratio")
+    return final(S.cum_volume_ratio(A.bars(spark, d), COARSE), *BAR, "cum_volume", "expected_cum_volume", "cum_volume_ratio")
 
 
 @query("ag_16_premarket_volume", sql(

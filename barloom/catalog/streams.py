@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import KEYS, sessions as S
 from ..runtime import materialize, scratch_path
@@ -132,12 +132,14 @@ def _(spark, d):
 @query("st_05_fill", sql(
     ["ticker", "d:session", "t:bar_ts=slot", "b:is_filled=slot > bar_ts", "r:close",
      "i:volume=CASE WHEN slot > bar_ts THEN 0 ELSE volume END"],
-    f"""FROM (SELECT ticker, session, unnest(generate_series(bar_ts, coalesce(nxt - INTERVAL {COARSE} SECOND, bar_ts),
-    INTERVAL {COARSE} SECOND)) AS slot, bar_ts, close, volume FROM (SELECT *, lead(bar_ts) OVER ({T_WINDOW}) AS nxt,
+    f"""FROM (SELECT ticker, session, unnest(generate_series(bar_ts, greatest(bar_ts, coalesce(nxt, least(seen,
+    CAST(session AS TIMESTAMP) + INTERVAL 24 HOUR)) - INTERVAL {COARSE} SECOND), INTERVAL {COARSE} SECOND)) AS slot, bar_ts, close, volume
+    FROM (SELECT *, lead(bar_ts) OVER ({T_WINDOW}) AS nxt, max(bar_ts) OVER () AS seen,
     total_close - coalesce(lag(total_close) OVER ({T_WINDOW}), total_open) AS volume FROM {QBARS}))"""))
 def _(spark, d):
+    """Quiet slots are carried to the end of the day, as far as the newest bar of any ticker has come."""
     run = Run(spark, "fill")
-    out = run.append(ST.stream_volume_delta(quote_bars(run, d), fill_seconds=COARSE), "out")
+    out = run.append(ST.stream_fill(quote_bars(run, d), COARSE), "out")
     return final(out, *BAR, "is_filled", "close", "volume")
 
 
@@ -181,18 +183,36 @@ def _(spark, d):
     return final(run.append(ST.stream_positions(live, SPEC, "2 hours"), "out"), *KEYS, "entry_ts", "leg", "exit_ts", "pct")
 
 
-@query("st_08_watchlist", sql(["ticker", "d:session", "i:pm_volume", "r:price", "r:gap_pct", "i:rank"],
-    """FROM (SELECT *, rank() OVER (PARTITION BY session ORDER BY gap_pct DESC) AS rank FROM (
-       SELECT t.*, (price - prev_close) / prev_close * 100 AS gap_pct FROM (SELECT ticker, session,
-       sum(vol) FILTER (hour(ts) < 8) AS pm_volume, arg_max(price, ts) FILTER (hour(ts) < 8) AS price
-       FROM ticks GROUP BY 1, 2) t JOIN gaps USING (ticker, session)) WHERE gap_pct BETWEEN -8 AND 8 AND pm_volume > 100)"""))
+VIEWS.update({
+    "wscan": f"""SELECT ticker, session, pm_volume, price, (price - prev_close) / prev_close * 100 AS gap_pct, pm_volume / nullif(mean_pm, 0) AS rvol
+        FROM (SELECT *, lag(last_close) OVER w AS prev_close, avg(coalesce(pm_volume, 0)) OVER (PARTITION BY ticker ORDER BY session
+          ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS mean_pm FROM (SELECT ticker, session, sum(vol) FILTER (hour(ts) < 8) AS pm_volume,
+          arg_max(price, ts) FILTER (hour(ts) < 8) AS price, arg_max(price, ts) AS last_close FROM ticks GROUP BY 1, 2)
+          WINDOW w AS (PARTITION BY ticker ORDER BY session))""",
+    "wscored": VIEWS["scored"].replace("JOIN rvols USING", "JOIN wscan USING"),
+    "wnewest": "SELECT * FROM wscored WHERE NOT is_premarket QUALIFY row_number() OVER (PARTITION BY ticker, session ORDER BY bar_ts DESC) = 1",
+})
+
+
+@query("st_08_watchlist", sql(
+    ["ticker", "d:session", "i:pm_volume", "r:price", "r:gap_pct", "r:rvol", "t:bar_ts", "r:score", "r:float_shares", "r:entry_price", "i:rank"],
+    """FROM (SELECT w.*, n.bar_ts, n.score, 1000000.0 * length(ticker) AS float_shares, least(n.close, greatest(n.vwap, n.ema9)) AS entry_price,
+       rank() OVER (PARTITION BY session ORDER BY round(n.score, 9) DESC) AS rank FROM wscan w JOIN wnewest n USING (ticker, session)
+       WHERE w.gap_pct BETWEEN -8 AND 8 AND w.pm_volume > 100 AND w.price BETWEEN 1 AND 1000 AND w.rvol > 0.8)"""))
 def _(spark, d):
+    """The premarket scan, then the bars of its members only, scored into the same table."""
     run = Run(spark, "watchlist")
-    closes = materialize(S.prev_close(A.bars(spark, d)).select(*KEYS, "prev_close"), "closes")   # read by every trigger
-    LV.stream_watchlist(SRC.stream_ticks(spark, d), run.path("out"), run.path("checkpoint"), closes,
-                        OPEN_MINUTE, gap=(-8.0, 8.0), min_pm_volume=100)
-    rows = SB.read_upserts(spark, run.path("out"), KEYS)
-    return final(LV.ranked_watchlist(rows), *KEYS, "pm_volume", "price", "gap_pct", "rank")
+    history = A.stored_fine(spark, d)
+    prior = materialize(LV.prior_facts(history), "prior")                     # read by every trigger
+    LV.stream_scan(SRC.stream_ticks(spark, d), run.path("watch"), run.path("scan-checkpoint"), prior,
+                   OPEN_MINUTE, (-8.0, 8.0), 100, (1.0, 1000.0), 0.8)
+    bars = SB.stream_ohlcv(run.ticks(d), COARSE, premarket=A.is_premarket())
+    run.append(bars, "bars", "session")
+    LV.stream_scores(run.follow("bars", bars.schema), run.path("bars"), run.path("watch"), run.path("score-checkpoint"),
+                     A.fundamentals_of(history), 0.8)
+    out = LV.watchlist(spark, run.path("watch")).withColumn("rank", F.rank().over(
+        Window.partitionBy("session").orderBy(F.round("score", 9).desc())))
+    return final(out, *KEYS, "pm_volume", "price", "gap_pct", "rvol", "bar_ts", "score", "float_shares", "entry_price", "rank")
 
 
 @query("st_09_late_quotes", sql(BAR_SQL + "r:close", f"FROM {QBARS} WHERE session >= DATE '{HALF}'"))

@@ -7,11 +7,13 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import KEYS, performance as P, sessions as S, trades as TR
+from ..operators.calendar import (day_range, exchange_calendar, trading_window, with_forced_close, with_open_minutes, with_phase,
+                                  with_session)
 from ..runtime import materialize
 from ..sources import adapters as A
 from .indicators import signals
 from .kit import T_WINDOW, VIEWS, final, sql
-from .rows import BAR
+from .rows import BAR, BAR_SQL
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -76,7 +78,9 @@ VIEWS.update({
         JOIN sposl q ON c.ticker = q.ticker AND c.session = q.session AND c.entry_ts = q.entry_ts
         JOIN sposl p ON c.ticker = p.ticker AND c.session = p.session AND p.entry_ts > q.exit_ts GROUP BY 1, 2""",
     "skept": "SELECT sposl.* FROM sposl JOIN schain USING (ticker, session, entry_ts)",
-    "daypnl": "SELECT session, sum(pct) * 0.1 AS day_pct, count(*) AS n_trades FROM closed GROUP BY 1",
+    "daypnl": """SELECT session, coalesce(sum(pct), 0) * 0.1 AS day_pct, count(pct) AS n_trades FROM (SELECT DISTINCT session FROM bars)
+        LEFT JOIN closed USING (session) WHERE session BETWEEN (SELECT min(session) FROM closed) AND (SELECT max(session) FROM closed)
+        GROUP BY 1""",
     "equity0": "SELECT *, sum(day_pct) OVER (ORDER BY session) AS equity_pct FROM daypnl",
     "equity": "SELECT *, greatest(max(equity_pct) OVER (ORDER BY session), 0) AS peak_pct FROM equity0",
 })
@@ -224,6 +228,75 @@ def _(spark, d):
     return final(TR.trade_rows(legs(spark, d), 480))
 
 
+CALENDAR_EXCEPTIONS = "(VALUES (DATE '2024-01-15', NULL::INTEGER, NULL::INTEGER), (DATE '2024-01-19', 570, 780)) x(session, opened, closed)"
+LOCAL = "timezone('UTC', timezone('America/New_York', CAST(session AS TIMESTAMP) + to_minutes({})))"
+VIEWS.update({
+    "cal": f"""SELECT session, {LOCAL.format('coalesce(opened, 570) - 30')} AS pre_ts, {LOCAL.format('coalesce(opened, 570)')} AS open_ts,
+        {LOCAL.format('coalesce(closed, 960)')} AS close_at FROM (SELECT DISTINCT session FROM ticks) LEFT JOIN {CALENDAR_EXCEPTIONS} USING (session)
+        WHERE isodow(session) < 6 AND session <> DATE '2024-01-15'""",
+    "centries": """SELECT b.ticker, session, bar_ts AS entry_ts, close AS entry_price, open_ts, least(close_at, open_ts + INTERVAL 300 MINUTE) AS close_ts
+        FROM bars b JOIN cal USING (session) WHERE bar_ts >= open_ts AND close > open""",
+    "cpaths": VIEWS["spaths"].replace("FROM entries e", "FROM centries e").replace(CLOSE_AT, "e.close_ts"),
+    "clegs": VIEWS["slegs"].replace("spaths", "cpaths"),
+})
+
+
+def january(spark, d) -> DataFrame:
+    """New York hours of the market days, with a holiday and a half day."""
+    exceptions = spark.createDataFrame([("2024-01-15", None, None), ("2024-01-19", 570, 780)],
+                                       "session string, open_minute int, close_minute int")
+    return exchange_calendar(A.event_log(spark, d), exceptions.withColumn("session", F.to_date("session")))
+
+
+@query("flt_02_calendar_split", sql(["ticker", "d:session", "t:bar_ts", "phase"],
+    """FROM (SELECT b.ticker, b.session, bar_ts, CASE WHEN bar_ts < pre_ts THEN NULL WHEN bar_ts < open_ts THEN 'premarket'
+       WHEN bar_ts < close_at THEN 'regular' WHEN close_at IS NOT NULL THEN 'after' END AS phase
+       FROM bars b LEFT JOIN cal USING (session))"""))
+def _(spark, d):
+    return final(with_phase(A.bars(spark, d), january(spark, d)), *BAR, "phase")
+
+
+#: Local minutes of shipments, spread over the day; a half day before each Christmas, two holidays.
+SHIPPED = """(SELECT CAST(l_shipdate AS TIMESTAMP) + to_minutes((l_orderkey * 37 + l_linenumber * 211) % 1440) AS ts FROM lineitem)"""
+
+
+@query("flt_02_calendar_phases", sql(
+    ["d:session", "phase", "i:n=count(*)", "t:first_ts=min(ts)", "t:last_ts=max(ts)"],
+    f"""FROM (SELECT s.*, CASE WHEN ts < {LOCAL.format('540')} OR closed THEN NULL WHEN ts < {LOCAL.format('570')} THEN 'premarket'
+       WHEN ts < {LOCAL.format("CASE WHEN month(session) = 12 AND day(session) = 24 THEN 780 ELSE 960 END")} THEN 'regular' ELSE 'after' END AS phase
+       FROM (SELECT ts, session, isodow(session) > 5 OR strftime(session, '%m-%d') IN ('12-25', '01-01') AS closed
+         FROM (SELECT ts, CAST(timezone('America/New_York', timezone('UTC', ts)) AS DATE) AS session FROM {SHIPPED})) s) GROUP BY session, phase"""))
+def _(spark, d):
+    """Sessions and phases over years, on both sides of every clock change and on half days."""
+    at = F.col("l_orderkey") * 37 + F.col("l_linenumber") * 211
+    rows = A.table(spark, d, "lineitem").select(
+        F.timestamp_seconds(F.unix_date(F.to_date("l_shipdate")).cast("long") * 86400 + (at % 1440) * 60).alias("ts"))
+    days = day_range(spark, "1990-01-01", "2010-12-31")
+    day = F.date_format("session", "MM-dd")
+    exceptions = (days.filter(day.isin("12-24", "12-25", "01-01")).select(
+        "session", F.lit(570).alias("open_minute"), F.when(day == "12-24", 780).alias("close_minute")))
+    phases = with_phase(with_session(rows, "ts"), exchange_calendar(days, exceptions), "ts")
+    return final(phases.groupBy("session", "phase").agg(
+        F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
+
+
+@query("flt_10_calendar_window", sql(BAR_SQL + "r:close",
+    "FROM bars JOIN cal USING (session) WHERE bar_ts >= open_ts AND bar_ts < least(close_at, open_ts + INTERVAL 300 MINUTE)"))
+def _(spark, d):
+    return final(trading_window(A.bars(spark, d), january(spark, d), 300), *BAR, "close")
+
+
+@query("trd_02_calendar_close", sql(
+    LEG_COLS + ["r:open_minutes=(epoch(entry_ts)-epoch(open_ts))/60"], "FROM clegs JOIN (SELECT session, open_ts FROM cal) USING (session)"))
+def _(spark, d):
+    """Split exits with the forced close at the end of the window or, on a half day, at the close."""
+    bars, cal = A.stored_bars(spark, d), materialize(january(spark, d), "calendar")
+    regular = with_phase(bars, cal).filter((F.col("phase").isin("regular", "after")) & (F.col("close") > F.col("open")))
+    rows = with_forced_close(regular.select(*KEYS, F.col("bar_ts").alias("entry_ts"), F.col("close").alias("entry_price")), cal, 300)
+    out = with_open_minutes(TR.exits(rows, bars, "spec", TR.SPEC), cal)
+    return final(out, *KEYS, "entry_ts", "entry_price", "leg", "exit_ts", "pct", "open_minutes")
+
+
 @query("ag_06_pnl_by_leg", sql(["leg=coalesce(leg, 0)", "r:sum_pct=sum(pct)", "i:n_legs=count(*)"],
        "FROM (SELECT CASE WHEN leg IN (1, 2) THEN leg ELSE 3 END AS leg, pct FROM legs WHERE exit_ts IS NOT NULL) GROUP BY ROLLUP (leg)"))
 def _(spark, d):
@@ -233,7 +306,8 @@ def _(spark, d):
 @query("wn_26_equity_curve", sql(["d:session", "i:n_trades", "r:day_pct", "r:equity_pct", "r:peak_pct",
                                   "r:drawdown_pct=equity_pct-peak_pct"], "FROM equity"))
 def _(spark, d):
-    return final(P.equity_curve(closed(spark, d)))
+    trades = materialize(closed(spark, d), "trades")
+    return final(P.equity_curve(trades, days=A.event_log(spark, d)))
 
 
 PERF = ["i:n_trades", "r:win_rate", "r:avg_win", "r:avg_loss", "r:profit_factor=gross_win/gross_loss", "r:avg_minutes",
@@ -249,7 +323,7 @@ PER_DAY = """(SELECT count(*) AS n_days, sum(day_pct) AS total_return_pct, avg(d
 
 @query("ag_11_performance", sql(PERF, f"FROM {PER_TRADE} CROSS JOIN {PER_DAY}"))
 def _(spark, d):
-    return final(P.performance(materialize(closed(spark, d), "trades")))
+    return final(P.performance(materialize(closed(spark, d), "trades"), days=A.event_log(spark, d)))
 
 
 @query("ag_12_trade_distribution", sql(

@@ -23,11 +23,26 @@ def daily_pnl(trades: DataFrame, by: list[str] | None = None, size_pct: float =
         (F.sum("pct") * (size_pct / 100.0)).alias("day_pct"), F.count(F.lit(1)).alias("n_trades"))
 
 
-def equity_curve(trades: DataFrame, by: list[str] | None = None, size_pct: float = 10.0) -> DataFrame:
+def with_idle_days(daily: DataFrame, days: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Day results with a row of 0 for each of ``days(session)`` between the first and the last
+    day that has trades."""
+    keys = by or []
+    span = daily.groupBy(*keys).agg(F.min("session").alias("_first"), F.max("session").alias("_last"))
+    idle = (span.select(*keys, F.explode(F.sequence("_first", "_last")).alias("session"))
+            .join(days.select("session").distinct(), "session", "left_semi")
+            .select(*keys, "session", F.lit(0.0).alias("day_pct"), F.lit(0).cast("long").alias("n_trades")))
+    return daily.unionByName(idle).groupBy(*keys, "session").agg(
+        F.sum("day_pct").alias("day_pct"), F.sum("n_trades").alias("n_trades"))
+
+
+def equity_curve(trades: DataFrame, by: list[str] | None = None, size_pct: float = 10.0,
+                 days: DataFrame | None = None) -> DataFrame:
     """Cumulative day result, high-water mark and drawdown in percent points. The ordered
-    windows run over days (after the aggregation), a few hundred rows a year."""
+    windows run over days (after the aggregation), a few hundred rows a year. ``days(session)``,
+    for instance an exchange calendar, gives days without trades their row."""
     keys = by or []
-    days = daily_pnl(trades, keys, size_pct)
+    daily = daily_pnl(trades, keys, size_pct)
+    days = daily if days is None else with_idle_days(daily, days, keys)
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     w = w.orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
     curve = days.withColumn("equity_pct", F.sum("day_pct").over(w))
@@ -35,9 +50,11 @@ def equity_curve(trades: DataFrame, by: list[str] | None = None, size_pct: float
     return curve.withColumn("drawdown_pct", F.col("equity_pct") - F.col("peak_pct"))
 
 
-def performance(trades: DataFrame, by: list[str] | None = None, size_pct: float = 10.0) -> DataFrame:
+def performance(trades: DataFrame, by: list[str] | None = None, size_pct: float = 10.0,
+                days: DataFrame | None = None) -> DataFrame:
     """Return, annualized return, Sharpe, Sortino, drawdown, win rate, averages, profit
-    factor, duration and trades per day of ``trades(session, entry_ts, exit_ts, pct)``."""
+    factor, duration and trades per day of ``trades(session, entry_ts, exit_ts, pct)``. The figures
+    per day and per year count the idle ones of ``days`` too; without it they are of days with trades."""
     keys = by or []
     won, lost = F.col("pct") > 0, F.col("pct") < 0
     per_trade = trades.groupBy(*keys).agg(
@@ -48,7 +65,7 @@ def performance(trades: DataFrame, by: list[str] | None = None, size_pct: float
         ratio(F.sum(F.when(won, F.col("pct"))), -F.sum(F.when(lost, F.col("pct")))).alias("profit_factor"),
         F.avg(minutes_between("exit_ts", "entry_ts")).alias("avg_minutes"))
     down = F.when(F.col("day_pct") < 0, F.col("day_pct") * F.col("day_pct")).otherwise(0.0)
-    curve = equity_curve(trades, keys, size_pct)
+    curve = equity_curve(trades, keys, size_pct, days)
     per_day = curve.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_days"),
         F.sum("day_pct").alias("total_return_pct"),

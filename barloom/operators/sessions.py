@@ -101,16 +101,26 @@ def relative_volume(day: DataFrame, n: int = 20, volume: str = "day_volume") ->
     return day.withColumn("rvol", ratio(volume, mean))
 
 
-def cum_volume_ratio(bars: DataFrame, n: int = 20) -> DataFrame:
-    """Cumulative session volume against its mean at the same time of day over the
-    ticker's previous ``n`` sessions that have a bar at that time. A session without one is
-    passed over; fill quiet minutes first (``locf``) to have every session count."""
-    cum = F.sum("volume").over(session_window().rowsBetween(Window.unboundedPreceding, 0))
-    slot = Window.partitionBy("ticker", "minute").orderBy("session").rowsBetween(-n, -1)
-    return (bars.withColumn("cum_volume", cum)
-            .withColumn("minute", F.hour("bar_ts") * 60 + F.minute("bar_ts"))
-            .withColumn("expected_cum_volume", F.avg("cum_volume").over(slot))
-            .withColumn("cum_volume_ratio", ratio("cum_volume", "expected_cum_volume")))
+def cum_volume_ratio(bars: DataFrame, seconds: int, n: int = 20) -> DataFrame:
+    """Cumulative session volume against its mean at the same time of day over the ticker's
+    previous ``n`` sessions, on bars of a grid of ``seconds``.
+
+    A session that was quiet at that time counts with what it had traded by then: its bars, at most
+    one per slot, become a map, and every slot of the day carries the running sum.
+    """
+    slot = F.floor((F.hour("bar_ts") * 3600 + F.minute("bar_ts") * 60 + F.second("bar_ts")) / seconds) * seconds
+    held = F.map_from_entries(F.collect_list(F.struct(slot.alias("slot"), F.struct("bar_ts", "volume").alias("bar"))))
+    grid = (bars.groupBy(*KEYS).agg(held.alias("_bars"))
+            .select(*KEYS, "_bars", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(86400 - seconds).cast("long"), F.lit(seconds).cast("long"))).alias("slot"))
+            .withColumn("_bar", F.try_element_at("_bars", F.col("slot"))))
+    so_far = Window.partitionBy(*KEYS).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    same_time = Window.partitionBy("ticker", "slot").orderBy("session").rowsBetween(-n, -1)
+    return (grid.select(*KEYS, "slot", F.col("_bar.bar_ts").alias("bar_ts"), F.col("_bar.volume").alias("volume"))
+            .withColumn("cum_volume", F.coalesce(F.sum("volume").over(so_far), F.lit(0)))
+            .withColumn("expected_cum_volume", F.avg("cum_volume").over(same_time))
+            .filter(F.col("bar_ts").isNotNull())
+            .withColumns({"minute": (F.col("slot") / 60).cast("int"),
+                          "cum_volume_ratio": ratio("cum_volume", "expected_cum_volume")}).drop("slot"))
 
 
 # ---------------------------------------------------------------- gates

@@ -53,11 +53,14 @@ def sell_fills(legs: DataFrame, bars: DataFrame, bps: float = 5.0) -> DataFrame:
 
 
 def with_deadline(entries: DataFrame, rules: ExitRules) -> DataFrame:
-    """Last instant at which a position may still be open without a forced exit."""
+    """Last instant at which a position may still be open without a forced exit. Entries with
+    ``close_ts`` (``calendar.with_forced_close``) bring the instant of the forced close along."""
     if rules.limit_minutes is not None:
         span = F.expr(f"INTERVAL {int(rules.limit_minutes * 60)} SECOND")
         return entries.withColumn("deadline", F.col("entry_ts") + span)
-    close = F.date_trunc("day", "entry_ts") + F.expr(f"INTERVAL {int(rules.close_minute)} MINUTE")
+    close = F.date_trunc("day", "entry_ts") + F.expr(f"INTERVAL {int(rules.close_minute or 0)} MINUTE")
+    if "close_ts" in entries.columns:
+        close = F.col("close_ts")
     return (entries.filter(F.col("entry_ts") < close)
             .withColumn("deadline", close - F.expr("INTERVAL 1 MICROSECOND")))
 

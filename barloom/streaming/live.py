@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.columns import bucket_start, pct_change
+from ..functions.columns import bucket_start, pct_change, ratio
 from ..operators import KEYS
-from ..operators.scan import rank_watchlist
+from ..operators.indicators import indicators, proxy_score
+from ..operators.scan import gap_scan, rank_watchlist
 from ..plans.training import live_features
-from .bars import run_foreach
+from .bars import read_upserts, run_foreach
 
 
 def features_batch(fine_table: str, path: str, fundamentals: DataFrame, coarse_seconds: int
@@ -56,28 +57,75 @@ def stream_candidates(ticks: DataFrame, open_minute: int, watermark: str = "1 ho
             .select("ticker", F.to_date("w.start").alias("session"), "pm_volume", "price"))
 
 
-def watchlist_batch(path: str, prev_close: DataFrame, gap: tuple[float, float], min_pm_volume: int
-                    ) -> Callable[[DataFrame, int], None]:
-    """Each batch overwrites its own folder with the changed candidates, filtered and with
-    their gap; a ticker that no longer qualifies is kept as a withdrawal (NULL gap)."""
+def scan_batch(path: str, prior: DataFrame, gap: tuple[float, float], min_pm_volume: int, price: tuple[float, float],
+               min_rvol: float) -> Callable[[DataFrame, int], None]:
+    """First stage of the watchlist: each batch overwrites its own folder with the changed candidates,
+    their gap and relative volume. A ticker that no longer qualifies stays with ``member`` false."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        priced = batch.join(prev_close, KEYS, "left")
-        move = pct_change("price", "prev_close")
-        ok = move.between(*gap) & (F.col("pm_volume") > min_pm_volume)
-        (priced.withColumn("gap_pct", F.when(ok, move))
-         .select(*KEYS, "pm_volume", "price", "gap_pct")
-         .write.mode("overwrite").parquet(f"{path}/batch={batch_id}"))
+        rows = batch.join(prior, KEYS, "left").withColumns({
+            "gap_pct": pct_change("price", "prev_close"), "rvol": ratio("pm_volume", "mean_pm_volume")})
+        fits = gap_scan(rows, gap, min_pm_volume, price, min_rvol).select(*KEYS, F.lit(True).alias("member"))
+        (rows.join(fits, KEYS, "left").withColumn("member", F.coalesce("member", F.lit(False)))
+         .select(*KEYS, "pm_volume", "price", "gap_pct", "rvol", "member")
+         .write.mode("overwrite").parquet(f"{path}/scan/batch={batch_id}"))
     return write
 
 
-def stream_watchlist(ticks: DataFrame, path: str, checkpoint: str, prev_close: DataFrame,
-                     open_minute: int, gap: tuple[float, float] = (25.0, 50.0),
-                     min_pm_volume: int = 100_000, **trigger) -> StreamingQuery:
+def prior_facts(bars: DataFrame, n: int = 20) -> DataFrame:
+    """Per (ticker, session) what the scan compares with: the previous close and the mean premarket
+    volume of the previous ``n`` sessions. Store it; every trigger of the scan reads it."""
+    days = Window.partitionBy("ticker").orderBy("session")
+    return (bars.groupBy(*KEYS).agg(
+        F.max_by("close", "bar_ts").alias("last_close"),
+        F.coalesce(F.sum(F.when(F.col("is_premarket"), F.col("volume"))), F.lit(0)).alias("pm_volume"))
+        .select(*KEYS, F.lag("last_close").over(days).alias("prev_close"),
+                F.avg("pm_volume").over(days.rowsBetween(-n, -1)).alias("mean_pm_volume")))
+
+
+def stream_scan(ticks: DataFrame, path: str, checkpoint: str, prior: DataFrame, open_minute: int,
+                gap: tuple[float, float] = (25.0, 50.0), min_pm_volume: int = 100_000,
+                price: tuple[float, float] = (1.0, 30.0), min_rvol: float = 3.0, **trigger) -> StreamingQuery:
     """Premarket scan; pass ``processingTime="60 seconds"`` for the live cadence."""
-    fn = watchlist_batch(path, prev_close, gap, min_pm_volume)
+    fn = scan_batch(path, prior, gap, min_pm_volume, price, min_rvol)
     return run_foreach(stream_candidates(ticks, open_minute), fn, checkpoint, "update", **trigger)
 
 
-def ranked_watchlist(rows: DataFrame) -> DataFrame:
-    """Current ranking from the newest version of each candidate."""
-    return rank_watchlist(rows.filter(F.col("gap_pct").isNotNull()), ("session",), "gap_pct")
+def members(spark: SparkSession, path: str) -> DataFrame:
+    """The candidates that qualify by the newest scan of each."""
+    return read_upserts(spark, f"{path}/scan", KEYS).filter("member").drop("member")
+
+
+def score_batch(bar_table: str, path: str, fundamentals: DataFrame, min_rvol: float) -> Callable[[DataFrame, int], None]:
+    """Second stage: score, float and suggested price of the members that a batch of bars touches.
+
+    Only members are read back from the bar table, from the batch's own session folders, and run
+    through the batch indicators, so that live and replayed scores agree. The suggested entry is the
+    higher of VWAP and EMA9, at most the close.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        watched = members(spark, path).select(*KEYS, "rvol")
+        touched = batch.select(*KEYS).distinct().join(watched, KEYS)
+        bars = (spark.read.schema(batch.schema).parquet(bar_table)
+                .join(touched.select("session").distinct(), "session", "left_semi").join(touched, KEYS))
+        scored = proxy_score(indicators(bars), min_rvol=min_rvol).filter(~F.col("is_premarket"))
+        entry = F.least(F.col("close"), F.greatest("vwap", "ema9"))
+        newest = scored.groupBy(*KEYS).agg(
+            F.max("bar_ts").alias("bar_ts"), F.max_by("score", "bar_ts").alias("score"), F.max_by(entry, "bar_ts").alias("entry_price"))
+        (newest.join(fundamentals.select("ticker", "float_shares"), "ticker", "left")
+         .select(*KEYS, "bar_ts", "score", "float_shares", "entry_price")
+         .write.mode("overwrite").parquet(f"{path}/score/batch={batch_id}"))
+    return write
+
+
+def stream_scores(bars: DataFrame, bar_table: str, path: str, checkpoint: str, fundamentals: DataFrame,
+                  min_rvol: float = 3.0, **trigger) -> StreamingQuery:
+    """``bars`` is the stream over ``bar_table``, which has a folder per session; ``path`` is the
+    scan's. Start it after the scan has written once, with ``processingTime="60 seconds"`` live."""
+    return run_foreach(bars, score_batch(bar_table, path, fundamentals, min_rvol), checkpoint, "append", **trigger)
+
+
+def watchlist(spark: SparkSession, path: str) -> DataFrame:
+    """The members with their newest score, float and suggested price, ranked by score in each session."""
+    scores = read_upserts(spark, f"{path}/score", KEYS)
+    return rank_watchlist(members(spark, path).join(scores, KEYS))

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import KEYS
 from ..operators.trades import LIVE, ExitRules
@@ -36,14 +37,10 @@ def _timed(bars: DataFrame, watermark: str | None):
     return bars.withWatermark("bar_ts", watermark), GroupStateTimeout.EventTimeTimeout, expire
 
 
-def stream_volume_delta(bars: DataFrame, fill_seconds: int | None = None, watermark: str | None = None
-                        ) -> DataFrame:
-    """Bar volume from a cumulative counter, the last total kept as state across bars.
-
-    With ``fill_seconds`` missing bars are emitted too, at the last close and volume 0.
-    """
+def stream_volume_delta(bars: DataFrame, watermark: str | None = None) -> DataFrame:
+    """Bar volume from a cumulative counter, the last total kept as state across bars."""
     schema = ("ticker string, session date, bar_ts timestamp, open double, high double, "
-              "low double, close double, volume long, is_filled boolean")
+              "low double, close double, volume long")
 
     bars, timeout, expire = _timed(bars, watermark)
 
@@ -51,24 +48,88 @@ def stream_volume_delta(bars: DataFrame, fill_seconds: int | None = None, waterm
         if state.hasTimedOut:
             state.remove()
             return
-        total, close, last = state.get if state.exists else (None, None, None)
-        out = []
+        total, = state.get if state.exists else (None,)
+        out, last = [], 0
         for b in pd.concat(list(chunks)).sort_values("bar_ts").itertuples():
-            at = int(b.bar_ts.timestamp())
-            if fill_seconds and last is not None:
-                for t in range(last + fill_seconds, at, fill_seconds):
-                    out.append((*key, pd.Timestamp(t, unit="s"), close, close, close, close, 0, True))
             base = b.total_open if total is None else total
-            out.append((*key, b.bar_ts, b.open, b.high, b.low, b.close,
-                        int(b.total_close - base), False))
-            total, close, last = int(b.total_close), float(b.close), at
-        state.update((total, close, last))
+            out.append((*key, b.bar_ts, b.open, b.high, b.low, b.close, int(b.total_close - base)))
+            total, last = int(b.total_close), int(b.bar_ts.timestamp())
+        state.update((total,))
         expire(state, last)
-        yield pd.DataFrame(out, columns=["ticker", "session", "bar_ts", "open", "high", "low",
-                                         "close", "volume", "is_filled"])
+        yield pd.DataFrame(out, columns=["ticker", "session", "bar_ts", "open", "high", "low", "close", "volume"])
 
-    return bars.groupBy(*KEYS).applyInPandasWithState(
-        step, schema, "total long, close double, last long", "append", timeout)
+    return bars.groupBy(*KEYS).applyInPandasWithState(step, schema, "total long", "append", timeout)
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_fill(bars: DataFrame, seconds: int, close_minute: int = 1440, watermark: str = "0 seconds") -> DataFrame:
+    """Bars with volumes from a cumulative counter, on a grid without holes up to the session's close.
+
+    A missing bar is carried (last close, volume 0) once the watermark has passed the end of its
+    slot, by a timer of the key; no later bar has to come. A bar in a slot that was carried already
+    came too late and is dropped, with its volume left to the next bar. A timer always waits
+    until the watermark passes the close, where the state goes.
+    """
+    session = bars.sparkSession
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    schema = ("ticker string, session date, bar_ts timestamp, open double, high double, "
+              "low double, close double, volume long, is_filled boolean")
+    names = ["ticker", "session", "bar_ts", "open", "high", "low", "close", "volume", "is_filled"]
+
+    class Fill(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.last = handle.getValueState("last", "at long, total long, close double")
+
+        def rows(self, key, slots, close) -> list[tuple]:
+            return [(*key, pd.Timestamp(t, unit="s"), close, close, close, close, 0, True) for t in slots]
+
+        def wait(self, at: int, old: int | None) -> None:
+            """The timer of the first missing slot's end instead of the old one."""
+            if old is not None:
+                self.handle.deleteTimer((old + 2 * seconds) * 1000)
+            self.handle.registerTimer((at + 2 * seconds) * 1000)
+
+        def handleInputRows(self, key, rows, timerValues):
+            at, total, close = self.last.get() if self.last.exists() else (None, None, None)
+            old, out = at, []
+            for b in pd.concat(list(rows)).sort_values("bar_ts").itertuples():
+                ts = int(b.bar_ts.timestamp())
+                if at is not None and ts <= at:
+                    continue
+                if at is not None:
+                    out += self.rows(key, range(at + seconds, ts, seconds), close)
+                volume = int(b.total_close - (b.total_open if total is None else total))
+                out.append((*key, b.bar_ts, b.open, b.high, b.low, b.close, volume, False))
+                at, total, close = ts, int(b.total_close), float(b.close)
+            if at != old:
+                self.last.update((at, total, close))
+                self.wait(at, old)
+            yield pd.DataFrame(out, columns=names)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if not self.last.exists():
+                return
+            at, total, close = self.last.get()
+            end = int(pd.Timestamp(key[1]).timestamp()) + close_minute * 60
+            passed = timerValues.getCurrentWatermarkInMs() // 1000
+            slots = range(at + seconds, min(end, passed - seconds + 1), seconds)
+            if slots:
+                at = slots[-1]
+            if at + seconds >= end:
+                self.last.clear()
+            else:
+                self.last.update((at, total, close))
+                self.handle.registerTimer((at + 2 * seconds) * 1000)
+            yield pd.DataFrame(self.rows(key, slots, close), columns=names)
+
+        def close(self) -> None:
+            pass
+
+    return (bars.withWatermark("bar_ts", watermark).groupBy(*KEYS)
+            .transformWithStateInPandas(Fill(), schema, "Append", "eventTime"))
 
 
 def session_timers(bars: DataFrame, min_gain: float = 10.0, session_seconds: int = 10800,

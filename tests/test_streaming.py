@@ -143,3 +143,48 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     write(df.withColumn("v", F.col("v") + 10).filter("k = 'A'"), 1)
     got = SB.read_upserts(spark, path, ["k"]).orderBy("k").collect()
     assert [(r.k, r.v) for r in got] == [("A", 11), ("B", 2)]
+
+
+def test_fill_by_timer_over_splits(spark, tmp_path):
+    """Empty slots are carried when the watermark passes them, before any later bar of the ticker."""
+    p = lambda n: str(tmp_path / n)
+    def quoted(closes, start, ticker="T"):
+        return make_bars(spark, closes, ticker=ticker, start=start).withColumns(
+            {"total_open": F.lit(100).cast("long"), "total_close": F.floor(F.unix_seconds("bar_ts") % 86400 / 60)})
+    def run(part):
+        part.coalesce(1).write.mode("append").parquet(p("bars"))
+        SB.run_available(ST.stream_fill(follow(spark, part, p("bars")), 300, close_minute=720), p("out"), p("c"))
+        rows = spark.read.parquet(p("out")).filter("ticker = 'T'").orderBy("bar_ts").collect()
+        return [((r.bar_ts.hour * 60 + r.bar_ts.minute), r.close, r.volume, r.is_filled) for r in rows]
+    first = [(600, 10.0, 500, False), (605, 11.0, 5, False)]
+    assert run(quoted([10, 11], 600)) == first
+    carried = [(m, 11.0, 0, True) for m in (610, 615, 620)]
+    assert run(quoted([5], 625, "U")) == first + carried
+    after = [(630, 12.0, 25, False)]
+    between = [(625, 11.0, 0, True)]
+    assert run(quoted([12], 630)) == first + carried + between + after
+    rest = [(m, 12.0, 0, True) for m in range(635, 720, 5)]
+    assert run(quoted([5], 800, "U")) == first + carried + between + after + rest
+
+
+def test_watchlist_scores_members_only_and_follows_the_scan(spark, tmp_path):
+    p = lambda n: str(tmp_path / n)
+    day = make_bars(spark, [20 + k for k in range(40)], start=560).unionByName(make_bars(spark, [5.0] * 40, ticker="U", start=560))
+    prior = spark.createDataFrame([("T", 15.0, 10.0), ("U", 4.0, 10.0)], "ticker string, prev_close double, mean_pm_volume double")
+    prior = prior.withColumn("session", F.lit("2024-03-04").cast("date"))
+    facts = spark.createDataFrame([("T", 7.0)], "ticker string, float_shares double")
+    scan = LV.scan_batch(p("w"), prior, (25.0, 50.0), 50, (1.0, 30.0), 3.0)
+    found = lambda rows: spark.createDataFrame(rows, "ticker string, pm_volume long, price double").withColumn(
+        "session", F.lit("2024-03-04").cast("date"))
+    scan(found([("T", 60, 20.0), ("U", 60, 4.1)]), 0)
+    day.write.partitionBy("session").parquet(p("bars"))
+    score = LV.score_batch(p("bars"), p("w"), facts, 3.0)
+    score(day, 0)
+    got = LV.watchlist(spark, p("w")).collect()
+    assert [(r.ticker, r["rank"], r.float_shares, r.rvol) for r in got] == [("T", 1, 7.0, 6.0)]
+    assert got[0].bar_ts == day.agg(F.max("bar_ts")).first()[0] and got[0].entry_price <= 59.0
+    scan(found([("U", 90, 5.5), ("T", 70, 40.0)]), 1)              # T is withdrawn, U joins
+    assert LV.watchlist(spark, p("w")).count() == 0
+    score(day, 1)
+    score(day, 1)                                                   # a replayed batch changes nothing
+    assert [(r.ticker, r.score > 0) for r in LV.watchlist(spark, p("w")).collect()] == [("U", True)]
