@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import KEYS, bars as B, dataset as D, sessions as S
 from ..operators.labels import binarize
 from ..runtime import materialize
-from ..schemas import SCORED
+from ..schemas import FEATURES, SCORED
 from ..sources import adapters as A
 from .kit import COARSE, FINE, T_WINDOW, final, sql
 from .rows import BAR, BAR_SQL, anchors
@@ -70,16 +70,12 @@ def _(spark, d):
     return final(D.feature_stats(materialize(anchors(spark, d), "anchors")))
 
 
-PROFILED = ["day_high_ratio", "pm_low_ratio", "f5_1_w", "f5_1_u", "f1_1_u"]
-
-
-@query("ag_05_profile", "\nUNION ALL\n".join(
-    sql([f"feature='{c}'", f"i:count=count({c})", f"r:mean=avg({c})", f"r:std=stddev_samp({c})", f"r:min=min({c})",
-         f"r:q25=quantile_cont({c}, 0.25)", f"r:q50=quantile_cont({c}, 0.5)", f"r:q75=quantile_cont({c}, 0.75)",
-         f"r:max=max({c})"], "FROM anchored").join("()").replace("(WITH", "SELECT * FROM (WITH")
-    for c in PROFILED))
+@query("ag_05_profile", sql(
+    ["feature", "i:count=count(x)", "r:mean=avg(x)", "r:std=stddev_samp(x)", "r:min=min(x)", "r:q25=quantile_cont(x, 0.25)",
+     "r:q50=quantile_cont(x, 0.5)", "r:q75=quantile_cont(x, 0.75)", "r:max=max(x)"],
+    f"FROM (SELECT unnest({FEATURES}) AS feature, unnest([{', '.join(f'CAST({c} AS DOUBLE)' for c in FEATURES)}]) AS x FROM anchored) GROUP BY feature"))
 def _(spark, d):
-    return final(D.profile(materialize(anchors(spark, d), "anchors"), PROFILED))
+    return final(D.profile(materialize(anchors(spark, d), "anchors"), FEATURES))
 
 
 @query("ag_07_prev_close", sql("ticker d:session r:last_close=day_close r:prev_close", "FROM gaps"))

@@ -129,6 +129,40 @@ simple("wn_22_session_return", lambda b: I.rsi(I.session_return(b)), "rsis", ["s
 simple("wn_23_price_structure", lambda b: I.price_structure(I.emas(b)), "structure", ["new_high", "above_emas"])
 
 
+def _known_ema(x: str, alpha: float) -> str:
+    """Mean over the known bars, which ``k`` numbers; carried over the others below."""
+    return ema(x, alpha).replace("CASE WHEN t >= 0 THEN ", "").removesuffix(" END").replace("t -", "k -").replace("- t)", "- k)").replace(
+        "t = 0", "k = 0").replace("t > 0", "k > 0")
+
+
+GAPPY = "CASE WHEN (epoch(bar_ts) // 1800 + length(ticker)) % 5 <> 2 THEN {} END"
+VIEWS.update({
+    "gappy": f"""SELECT ticker, session, bar_ts, {', '.join(f'{GAPPY.format(c)} AS {c}' for c in ('open', 'high', 'low', 'close', 'volume'))}
+        FROM bars""",
+    "known0": f"""SELECT *, row_number() OVER ({T_WINDOW}) - 1 AS k, lag(close) OVER ({T_WINDOW}) AS p FROM gappy WHERE close IS NOT NULL""",
+    "known1": f"""SELECT *, {_known_ema('close', 2 / 10)} AS ema9, {_known_ema('volume', 2 / 6)} AS vol_ema5,
+        {_known_ema('close', 2 / 13)} - {_known_ema('close', 2 / 27)} AS macd,
+        {_known_ema('greatest(high - low, coalesce(abs(high - p), 0), coalesce(abs(low - p), 0))', 1 / 14)} AS atr FROM known0""",
+    "known2": f"""SELECT *, macd - {_known_ema('macd', 2 / 10)} AS macd_hist FROM known1""",
+    "known3": f"""SELECT ticker, session, bar_ts, {', '.join(f"{ema(f'greatest({x}, 0)', 1 / 14, 1).replace('t >=', 'k >=').replace('t -', 'k -').replace('- t)', '- k)').replace('t = 1', 'k = 1').replace('t > 1', 'k > 1')} AS {n}"
+        for x, n in (('close - p', 'gain'), ('p - close', 'loss')))} FROM known0""",
+    "known": """SELECT g.ticker, g.session, g.bar_ts, k.ema9, k.vol_ema5, k.macd, k.macd_hist, k.atr, CASE WHEN gain IS NULL THEN NULL
+        WHEN loss = 0 AND gain = 0 THEN 50 WHEN loss = 0 THEN 100 ELSE 100 - 100 / (1 + gain / loss) END AS rsi
+        FROM gappy g ASOF LEFT JOIN (SELECT * FROM known2 JOIN (SELECT bar_ts, ticker, session, gain, loss FROM known3) USING (ticker, session, bar_ts)) k
+        ON g.ticker = k.ticker AND g.session = k.session AND g.bar_ts >= k.bar_ts""",
+})
+
+
+@query("wn_11_missing_bars", sql(BAR_SQL + "r:ema9 r:vol_ema5 r:rsi r:macd r:macd_hist r:atr", "FROM known"))
+def _(spark, d):
+    """Exponential means, RSI, MACD and true range where a fifth of the bars have no prices."""
+    bars = A.bars(spark, d)
+    there = F.pmod(F.floor(F.unix_seconds("bar_ts") / 1800) + F.length("ticker"), F.lit(5)) != 2
+    gappy = bars.withColumns({c: F.when(there, F.col(c)) for c in ("open", "high", "low", "close", "volume")})
+    out = I.atr_range(I.macd(I.rsi(I.emas(I.with_bar_no(gappy)))))
+    return final(out, *BAR, "ema9", "vol_ema5", "rsi", "macd", "macd_hist", "atr")
+
+
 def scored(spark, d):
     """All indicators with the day's gap and relative volume, and the composite score."""
     bars = A.stored_bars(spark, d)

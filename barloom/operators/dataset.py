@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import nan_to_null, normal_hash, ratio, uniform_hash
@@ -56,55 +59,111 @@ def _long(df: DataFrame, columns: list[str]) -> DataFrame:
             .filter(F.col("x").isNotNull()))
 
 
-def profile(df: DataFrame, columns: list[str], slices: int = 256) -> DataFrame:
+#: Size of the quantile sketches, and three times the rank error that they keep 99 times of 100.
+SKETCH = 4096
+RANK_ERROR = 3 * 2.296 / SKETCH ** 0.9021
+#: Values of one range that a task may rank; a range with more is cut into this many parts first.
+RANKED, PARTS = 200_000, 512
+QUARTILES = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
+
+
+def profile(df: DataFrame, columns: list[str], ranked: int = RANKED) -> DataFrame:
     """count, mean, std, min, exact quartiles (linear interpolation) and max per column.
 
-    Exact quantiles without gathering a column: equal values collapse map-side, values
-    fall into ``slices`` ranges whose edges are approximate quantiles, the running count
-    of the ranges names the few that hold a wanted rank, and only those are ranked.
+    Mergeable sketches, combined map-side, give each quartile a narrow range of values. A range that
+    holds more than ``ranked`` of them is cut into parts, which are counted, until the part with the wanted
+    ranks is small; then only its values are ranked. What a sketch has missed shows in the counts,
+    and its search starts again from the whole column. The driver sees a few numbers per column.
+    A column without values has count 0. ``df`` is read at least twice and should be stored.
     """
-    basics = df.agg(*[f(nan_to_null(F.col(c).cast("double"))).alias(f"{c}__{name}")
-                      for c in columns
-                      for name, f in (("count", F.count), ("mean", F.avg), ("std", F.stddev_samp),
-                                      ("min", F.min), ("max", F.max))])
-    per_column = basics.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"),
-                 *[F.col(f"{c}__{n}").alias(n) for n in ("count", "mean", "std", "min", "max")])
-        for c in columns])).alias("b")).select("b.*")
-
+    spark = df.sparkSession
     values = _long(df, columns)
-    cuts = [i / slices for i in range(1, slices)]
-    edges = values.groupBy("feature").agg(
-        F.percentile_approx("x", cuts, 10 * slices).alias("edges"))
-    weighted = values.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("m"))
-    sliced = (weighted.join(F.broadcast(edges), "feature")   # one row per column
-              .withColumn("slice", F.size(F.filter("edges", lambda e: e < F.col("x")))).drop("edges"))
-    totals = sliced.groupBy("feature", "slice").agg(F.sum("m").alias("in_slice"))
-    before = (Window.partitionBy("feature").orderBy("slice")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    quantiles = F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    wanted = per_column.select("feature", "count", quantiles.alias("p")).withColumn(
-        "pos", (F.col("count") - 1) * F.col("p"))
-    spans = (totals.withColumn("before", F.coalesce(F.sum("in_slice").over(before), F.lit(0)))
-             .join(F.broadcast(wanted), "feature")           # three rows per column
-             .filter((F.floor("pos") < F.col("before") + F.col("in_slice"))
-                     & (F.ceil("pos") >= F.col("before"))))
-    hit = spans.select("feature", "slice", "before").distinct()
-    inside = (Window.partitionBy("feature", "slice").orderBy("x")
-              .rowsBetween(Window.unboundedPreceding, 0))
-    ranked = (sliced.join(F.broadcast(hit), ["feature", "slice"])  # at most six per column
-              .withColumn("last_rank", F.col("before") + F.sum("m").over(inside) - 1)
-              .withColumn("first_rank", F.col("last_rank") - F.col("m") + 1))
-    found = (ranked.join(F.broadcast(wanted), "feature")
-             .groupBy("feature", "p", "pos")
-             .agg(F.min(F.when(F.col("last_rank") >= F.floor("pos"), F.col("x"))).alias("lo"),
-                  F.min(F.when(F.col("last_rank") >= F.ceil("pos"), F.col("x"))).alias("hi")))
-    q = found.withColumn("q", F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("pos") - F.floor("pos")))
-    quart = q.groupBy("feature").agg(
-        *[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n)
-          for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
-    return per_column.join(quart, "feature", "left").select(
-        "feature", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    sides = [F.array(*[F.lit(min(max(p + side * RANK_ERROR, 0.0), 1.0)) for p in QUARTILES]) for side in (-1, 1)]
+    rows = (values.groupBy("feature").agg(
+        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"),
+        F.max("x").alias("max"), F.kll_sketch_agg_double("x", SKETCH).alias("s"))
+        .select("*", F.kll_sketch_get_quantile_double("s", sides[0]).alias("low"),
+                F.kll_sketch_get_quantile_double("s", sides[1]).alias("high")).drop("s").collect())
+    whole = {r.feature: (r.min, r.max, r["count"]) for r in rows}
+    spans = [Span(r.feature, p, (r["count"] - 1) * p, low, high, 2 * RANK_ERROR * r["count"])
+             for r in rows for p, low, high in zip(QUARTILES, r.low, r.high)]
+    found: dict[tuple, float] = {}
+    while spans:
+        wide = [s for s in spans if s.inside > ranked and s.low < s.high]
+        if wide:
+            spans = [s for s in spans if s not in wide] + _narrowed(values, wide, whole)
+        else:
+            found |= _ranked(values, spans)
+            spans = [replace(s, low=whole[s.feature][0], high=whole[s.feature][1], inside=whole[s.feature][2])
+                     for s in spans if (s.feature, s.p) not in found]
+    by_name = {r.feature: r for r in rows}
+    out = []
+    for c in columns:
+        r = by_name.get(c)
+        out.append((c, 0, *[None] * 7) if r is None else
+                   (c, r["count"], r.mean, r.std, r.min, *[found[c, p] for p in QUARTILES], r.max))
+    return spark.createDataFrame(out, "feature string, count long, mean double, std double, min double, "
+                                      "q25 double, q50 double, q75 double, max double")
+
+
+@dataclass(frozen=True)
+class Span:
+    """Where quantile ``p`` of a column is looked for: position ``at`` in order, values between
+    ``low`` and ``high``, of which there are about ``inside``."""
+
+    feature: str
+    p: float
+    at: float
+    low: float
+    high: float
+    inside: float
+
+
+def _within(values: DataFrame, spans: list[Span]) -> DataFrame:
+    """Values up to each span's upper end, with the span; three spans per column at most."""
+    known = values.sparkSession.createDataFrame(
+        [(s.feature, s.p, s.at, s.low, s.high) for s in spans], "feature string, p double, at double, low double, high double")
+    return values.join(F.broadcast(known), "feature").filter(F.col("x") <= F.col("high"))
+
+
+def _narrowed(values: DataFrame, spans: list[Span], whole: dict) -> list[Span]:
+    """Each span cut down to the parts with its two ranks, by exact counts."""
+    part = F.floor((F.col("x") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * PARTS)
+    counted = (_within(values, spans).withColumn("part", F.when(F.col("x") < F.col("low"), -1).otherwise(part))
+               .groupBy("feature", "p", "part").agg(F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+               .orderBy("part").collect())
+    out = []
+    for s in spans:
+        mine = [r for r in counted if (r.feature, r.p) == (s.feature, s.p)]
+        before, hit = 0, []
+        for r in mine:
+            if before + r.n > math.floor(s.at) and before <= math.ceil(s.at):
+                hit.append(r)
+            before += r.n
+        if not hit or hit[0].part < 0 or before <= math.ceil(s.at):
+            low, high, n = whole[s.feature]
+            out.append(replace(s, low=low, high=high, inside=n))
+            continue
+        new = replace(s, low=hit[0].low, high=hit[-1].high, inside=sum(r.n for r in hit))
+        out.append(new if (new.low, new.high) != (s.low, s.high) else replace(new, inside=0))     # no narrower: rank it
+    return out
+
+
+def _ranked(values: DataFrame, spans: list[Span]) -> dict[tuple, float]:
+    """The quantiles whose span holds both neighbouring ranks. Equal values and all that lie below a span
+    are one row each before the sort."""
+    x = F.when(F.col("x") >= F.col("low"), F.col("x"))
+    order = (Window.partitionBy("feature", "p").orderBy(F.asc_nulls_first("v"))
+             .rowsBetween(Window.unboundedPreceding, 0))
+    got = (_within(values, spans).withColumn("v", x).groupBy("feature", "p", "v")
+           .agg(F.count("x").alias("n"), F.first("at").alias("at"))
+           .withColumn("upto", F.sum("n").over(order))
+           .groupBy("feature", "p").agg(
+               F.first("at").alias("at"), F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("below"),
+               *[F.min(F.when(F.col("v").isNotNull() & (F.col("upto") > f("at")), F.col("v"))).alias(name)
+                 for name, f in (("a", F.floor), ("b", F.ceil))]).collect())
+    return {(r.feature, r.p): r.a + (r.b - r.a) * (r["at"] - math.floor(r["at"])) for r in got
+            if r.below <= math.floor(r["at"]) and r.a is not None and r.b is not None}
 
 
 def walk_forward(df: DataFrame, start: str, train_months: int, n_folds: int = 4,

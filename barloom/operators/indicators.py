@@ -20,6 +20,11 @@ def _last(n: int) -> "Window":
     return session_window().rowsBetween(-(n - 1), 0)
 
 
+def _known_before(col: str) -> Column:
+    """The last known value on an earlier bar of the session."""
+    return F.last(col, ignorenulls=True).over(session_window().rowsBetween(Window.unboundedPreceding, -1))
+
+
 def with_bar_no(bars: DataFrame) -> DataFrame:
     """``t``: number of the bar in its session, from 0."""
     return bars.withColumn("t", F.row_number().over(session_window()) - 1)
@@ -30,42 +35,54 @@ EMA_BLOCK = 128
 
 
 def with_emas(bars: DataFrame, specs: dict[str, tuple[Column, float, int]]) -> DataFrame:
-    """Exponential means ``{name: (values, alpha, first bar)}``, each seeded by the value at its
-    first bar and null before it; needs ``t``.
+    """Exponential means ``{name: (values, alpha, first bar)}`` of the known values from that bar on, the
+    first of which seeds the mean. A bar without value keeps the mean as it is and ages nothing;
+    before the seed the mean is null. Needs ``t``.
 
-    With q = 1 - alpha the mean is a sum of weights q^age. It is taken inside blocks of bars, in
-    powers relative to the block's start, which stay finite; what earlier blocks add is one
-    number each, carried over by a fold. So a session may have any number of bars.
+    With q = 1 - alpha the mean is a sum of weights q^age, where age counts known values. It is taken
+    inside blocks of bars, in powers relative to the block's start, which stay finite; what earlier
+    blocks add is one number each, carried over by a fold. So a session may have any number of bars.
     """
-    ordered = Window.partitionBy(*KEYS, "_block").orderBy("bar_ts")
-    inside = (ordered
+    inside = (Window.partitionBy(*KEYS, "_block").orderBy("bar_ts")
               .rowsBetween(Window.unboundedPreceding, 0))
-    before = (Window.partitionBy(*KEYS).orderBy("_block", "bar_ts")
-              .rowsBetween(Window.unboundedPreceding, -1))
+    session = Window.partitionBy(*KEYS).orderBy("_block", "bar_ts")
+    before = session.rowsBetween(Window.unboundedPreceding, -1)
     names = list(specs)
     df = bars.withColumns({"_block": F.floor(F.col("t") / EMA_BLOCK), "_r": F.pmod("t", F.lit(EMA_BLOCK))})
-    own = {}
-    for k, name in enumerate(names):
-        x, alpha, seed = specs[name]
-        weight = F.when(F.col("t") == seed, 1.0).when(F.col("t") > seed, alpha)
+    df = df.withColumns({f"_x{k}": F.when(F.col("t") >= seed, x) for k, (x, _, seed) in enumerate(specs.values())})
+    df = df.withColumns({f"_n{k}": F.count(f"_x{k}").over(session.rowsBetween(Window.unboundedPreceding, 0)) for k in range(len(names))})
+    own = {f"_m{k}": F.count(f"_x{k}").over(inside) for k in range(len(names))}       # known ones of the block so far
+    df = df.withColumns(own)
+    for k, (_, alpha, _) in enumerate(specs.values()):
+        x = F.when(F.col(f"_n{k}") == 1, F.col(f"_x{k}")).otherwise(F.col(f"_x{k}") * alpha)
         q = 1.0 - alpha
-        if q < 0.01:             # older bars weigh less than a double resolves
-            terms = [F.coalesce((weight * x), F.lit(0.0)) if j == 0 else
-                     F.coalesce(F.lag(weight * x, j).over(ordered), F.lit(0.0)) * q ** j for j in range(10)]
-            own[f"_own{k}"] = sum(terms[1:], terms[0])
+        if q < 0.01:             # powers of so small a number would leave a double
+            own[f"_own{k}"] = F.aggregate(F.collect_list(x).over(inside), F.lit(0.0), _horner(q))
         else:
-            power = F.pow(F.lit(q), F.col("_r").cast("double"))
-            own[f"_own{k}"] = power * F.coalesce(F.sum(weight * x / power).over(inside), F.lit(0.0))
-    df = df.withColumns(own)
+            power = F.pow(F.lit(q), (F.col(f"_m{k}") - 1).cast("double"))     # 1 at the first, which stays exact
+            own[f"_own{k}"] = power * F.coalesce(F.sum(x / power).over(inside), F.lit(0.0))
+    df = df.withColumns({c: e for c, e in own.items() if c.startswith("_own")})
     whole = F.struct(*[F.col(c) for c in own])
     df = df.withColumn("_ends", F.collect_list(F.when(F.col("_r") == EMA_BLOCK - 1, whole)).over(before))
     out = {}
-    for k, name in enumerate(names):
-        _, alpha, seed = specs[name]
+    for k, (name, (_, alpha, _)) in enumerate(specs.items()):
         q = 1.0 - alpha
-        carry = F.aggregate("_ends", F.lit(0.0), lambda c, e: c * q ** EMA_BLOCK + e[f"_own{k}"])
-        out[name] = F.when(F.col("t") >= seed, F.col(f"_own{k}") + carry * F.pow(F.lit(q), (F.col("_r") + 1).cast("double")))
-    return df.withColumns(out).drop("_block", "_r", "_ends", *own)
+        carry = F.aggregate("_ends", F.lit(0.0), _block_sum(k, q))
+        out[name] = F.when(F.col(f"_n{k}") > 0, F.col(f"_own{k}") + _faded(carry, F.col(f"_m{k}"), q))
+    scratch = [f"_{v}{k}" for v in ("x", "n") for k in range(len(names))]
+    return df.withColumns(out).drop("_block", "_r", "_ends", *own, *scratch)
+
+
+def _faded(value: Column, age: Column, q: float) -> Column:
+    return value * F.pow(F.lit(q), age.cast("double"))
+
+
+def _horner(q: float):
+    return lambda c, v: c * q + v
+
+
+def _block_sum(k: int, q: float):
+    return lambda c, e: _faded(c, e[f"_m{k}"], q) + e[f"_own{k}"]
 
 
 def ema(bars: DataFrame, col: str, n: int, out: str | None = None) -> DataFrame:
@@ -83,11 +100,11 @@ def emas(bars: DataFrame) -> DataFrame:
 
 
 def rsi(bars: DataFrame, n: int = 14, out: str = "rsi") -> DataFrame:
-    """Relative strength with Wilder smoothing; NULL on the first bar, 100 without losses."""
-    diff = F.col("close") - F.lag("close").over(session_window())
-    df = with_emas(bars.withColumn("_diff", diff), {
-        "_gain": (F.greatest(F.col("_diff"), F.lit(0.0)), 1.0 / n, 1),
-        "_loss": (F.greatest(-F.col("_diff"), F.lit(0.0)), 1.0 / n, 1)})
+    """Relative strength with Wilder smoothing; NULL on the first bar, 100 without losses. A bar
+    without close changes nothing, the next one is compared with the last known close."""
+    diff = F.col("close") - _known_before("close")
+    gain, loss = (F.when(F.col("_diff").isNotNull(), F.greatest(x, F.lit(0.0))) for x in (F.col("_diff"), -F.col("_diff")))
+    df = with_emas(bars.withColumn("_diff", diff), {"_gain": (gain, 1.0 / n, 0), "_loss": (loss, 1.0 / n, 0)})
     value = (F.when(F.col("_gain").isNull(), F.lit(None).cast("double"))
              .when((F.col("_loss") == 0) & (F.col("_gain") == 0), F.lit(50.0))
              .when(F.col("_loss") == 0, F.lit(100.0))
@@ -100,7 +117,7 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Da
     close = F.col("close")
     df = with_emas(bars, {"_fast": (close, 2.0 / (fast + 1), 0), "_slow": (close, 2.0 / (slow + 1), 0)})
     df = df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-    df = with_emas(df, {"_signal": (F.col("macd"), 2.0 / (signal + 1), 0)})
+    df = with_emas(df, {"_signal": (F.when(close.isNotNull(), F.col("macd")), 2.0 / (signal + 1), 0)})
     df = df.withColumn("macd_hist", F.col("macd") - F.col("_signal")).drop("_signal")
     return df.withColumn("macd_accel",
                          F.col("macd_hist") - F.lag("macd_hist").over(session_window()))
@@ -121,7 +138,7 @@ def stochastic(bars: DataFrame, n: int = 14) -> DataFrame:
 
 def atr_range(bars: DataFrame, n: int = 14) -> DataFrame:
     """Average true range (Wilder) and the bar's range in units of it."""
-    df = bars.withColumn("_prev", F.lag("close").over(session_window()))
+    df = bars.withColumn("_prev", _known_before("close"))
     true_range = F.greatest(F.col("high") - F.col("low"),
                             F.abs(F.col("high") - F.col("_prev")),
                             F.abs(F.col("low") - F.col("_prev")))

@@ -91,3 +91,25 @@ def test_proxy_score_range_and_weights(spark, small):
     assert 0 <= low < high <= 1 + 1e-9
     only_rsi = I.proxy_score(s, {"momentum": 0, "volume": 0, "vwap": 0, "rsi": 1.0, "structure": 0})
     assert {r[0] for r in only_rsi.select("score").distinct().collect()} == {0.0, 1.0}
+
+
+def test_missing_bars_keep_the_means(spark):
+    """Nulls at the start, inside and over block borders against a plain loop."""
+    rng = np.random.default_rng(3)
+    closes = [None if rng.random() < 0.3 or k < 2 else float(20 + rng.normal()) for k in range(400)]
+    bars = make_bars(spark, [1.0] * 400, start=0, step=3).withColumn("_k", F.floor(F.unix_seconds("bar_ts") % 86400 / 180).cast("int"))
+    known = spark.createDataFrame(list(enumerate(closes)), "_k int, c double")
+    df = I.with_bar_no(bars.join(known, "_k").withColumn("close", F.col("c")))
+    got = I.with_emas(df, {"e9": (F.col("close"), 0.2, 0), "now": (F.col("close"), 0.999, 0)}).orderBy("bar_ts").collect()
+    want, now = None, None
+    for r, c in zip(got, closes):
+        if c is not None:
+            want, now = (c, c) if want is None else (want + 0.2 * (c - want), now + 0.999 * (c - now))
+        assert r.e9 == (want if want is None else pytest.approx(want)) and r.now == (now if now is None else pytest.approx(now))
+
+
+def test_flat_prices_with_a_gap(spark):
+    bars = make_bars(spark, [10.0] * 5)
+    gap = bars.withColumn("close", F.when(F.minute("bar_ts") != 10, F.col("close")))
+    r = I.rsi(I.emas(I.with_bar_no(gap))).orderBy("bar_ts").collect()
+    assert [x.ema5 for x in r] == pytest.approx([10.0] * 5) and r[-1].rsi == 50.0
