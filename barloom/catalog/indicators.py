@@ -209,13 +209,3 @@ def _(spark, d):
 def _(spark, d):
     day = S.relative_volume(S.gap_pct(A.bars(spark, d)))
     return final(scan.top_candidates(day, 3, ("session",), "rvol"), "ticker", "session", "gap_pct", "rvol", "place")
-
-
-@query("wn_25_sequences", sql(
-    ["ticker", "d:session", "t:bar_ts", "i:n=30", "t:first_ts", "r:sum_vwap", "r:last_ema9=ema9"],
-    f"""FROM (SELECT *, min(bar_ts) OVER {last(30)} AS first_ts, sum(vwap) OVER {last(30)} AS sum_vwap FROM vw) WHERE t >= 29"""))
-def _(spark, d):
-    seq = I.sequence_features(I.vwap(I.emas(I.with_bar_no(A.bars(spark, d)))), ["vwap", "ema9"], 30)
-    return final(seq.select(*BAR, F.size("seq").cast("long").alias("n"), F.col("seq")[0]["bar_ts"].alias("first_ts"),
-                            F.aggregate("seq", F.lit(0.0), lambda a, x: a + F.coalesce(x["vwap"], F.lit(0.0))).alias("sum_vwap"),
-                            F.element_at("seq", -1)["ema9"].alias("last_ema9")))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..operators import dataset as D, scoring as M
+from ..functions.columns import pct_change
+from ..operators import dataset as D, performance as P, scoring as M, sessions as S, walkforward as W
 from ..operators.features import scored_columns
 from ..operators.labels import binarize
 from ..plans import training as TR
@@ -131,9 +132,11 @@ def _(spark, d):
 
 @query("scr_04_train_logistic")
 def _(spark, d):
+    """Fitted on the earlier sessions, judged on the recent ones."""
     rows = hard(spark, d)
-    model = M.train(rows, SCORED, max_iter=10)
-    out = model.transform(rows).groupBy("y", "prediction").agg(F.count(F.lit(1)).alias("n_rows"))
+    recent = F.col("session") >= F.lit(RECENT).cast("date")
+    model = M.train(rows.filter(~recent), SCORED, max_iter=10)
+    out = model.transform(rows.filter(recent)).groupBy("y", "prediction").agg(F.count(F.lit(1)).alias("n_rows"))
     return final(out)
 
 
@@ -161,6 +164,75 @@ def _(spark, d):
         F.max("session").alias("last_day"), F.sum("day_volume").alias("volume")))
 
 
+LEARNED = ["ret1", "ret5", "day_range", "log_volume", "rvol"]
+
+
+def daily_examples(spark, d) -> DataFrame:
+    """Features of each ticker's day, the return of its next session, and whether that is up; folds
+    of two years and two months each."""
+    days = Window.partitionBy("ticker").orderBy("session")
+    price = F.col("price")
+    rows = (S.relative_volume(A.lineitem_daily(spark, d)).withColumn("price", F.col("turnover") / F.col("day_volume"))
+            .withColumns({"ret1": pct_change("price", F.lag("price", 1).over(days)), "ret5": pct_change("price", F.lag("price", 5).over(days)),
+                          "day_range": (F.col("day_high") - F.col("day_low")) / price, "log_volume": F.log1p(F.col("day_volume").cast("double")),
+                          "pct": pct_change(F.lead("price").over(days), "price")})
+            .withColumn("y", F.when(F.col("pct").isNotNull(), (F.col("pct") > 0).cast("int"))))
+    return D.walk_forward(rows.select("ticker", "session", *LEARNED, "pct", "y"), "1994-01-01", 24)
+
+
+def decided(spark, d) -> DataFrame:
+    tagged = materialize(daily_examples(spark, d), "examples")
+    scored = materialize(W.probabilities(tagged, materialize(W.fit(tagged, LEARNED), "models"), LEARNED), "scored")
+    return W.decide(scored, W.thresholds(scored))
+
+
+_KNOWN = ", ".join(f"coalesce({c}, avg({c}) FILTER (role = 'train' AND y IS NOT NULL) OVER (PARTITION BY fold), 0) AS {c}" for c in LEARNED)
+_SIDES = ", ".join(f"avg({c}) FILTER (y = {k}) AS {c}_m{k}, greatest(var_pop({c}) FILTER (y = {k}), 1e-9) AS {c}_v{k}" for c in LEARNED for k in (0, 1))
+_ODDS = " + ".join(f"(ln({c}_v0 / {c}_v1) + pow({c} - {c}_m0, 2) / {c}_v0 - pow({c} - {c}_m1, 2) / {c}_v1) / 2" for c in LEARNED)
+_WMONTH = "((year(session) - 1994) * 12 + month(session) - 1)"
+VIEWS.update({
+    "wdays": """SELECT ticker, session, (price - lag(price) OVER w) / lag(price) OVER w * 100 AS ret1, (price - lag(price, 5) OVER w) / lag(price, 5) OVER w * 100 AS ret5,
+        (day_high - day_low) / price AS day_range, ln(1 + day_volume) AS log_volume, day_volume / nullif(avg(day_volume) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 0) AS rvol,
+        (lead(price) OVER w - price) / price * 100 AS pct FROM (SELECT *, turnover / day_volume AS price FROM supplied) WINDOW w AS (PARTITION BY ticker ORDER BY session)""",
+    "wtagged": f"""SELECT *, CASE WHEN m >= f AND m < f + 24 THEN 'train' WHEN m = f + 24 THEN 'validate' WHEN m = f + 25 THEN 'test' END AS role, f + 1 AS fold
+        FROM (SELECT *, CAST(pct > 0 AS INTEGER) AS y, {_WMONTH} AS m, unnest([0, 1, 2, 3]) AS f FROM wdays)""",
+    "wfilled": f"SELECT ticker, session, fold, role, y, pct, {_KNOWN} FROM wtagged WHERE role IS NOT NULL",
+    "wmodel": f"SELECT fold, count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1, {_SIDES} FROM wfilled WHERE role = 'train' AND y IS NOT NULL GROUP BY fold",
+    "wscored2": f"SELECT ticker, session, fold, role, y, pct, 1 / (1 + exp(-(ln(n1 / n0) + {_ODDS}))) AS p FROM wfilled JOIN wmodel USING (fold)",
+    "wbins": "SELECT fold, least(floor(p * 100), 99) AS bin, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM wscored2 WHERE role = 'validate' AND y IS NOT NULL GROUP BY 1, 2",
+    "wchosen": """SELECT fold, CAST(bin AS BIGINT) AS threshold FROM (SELECT *, sum(pos) OVER (PARTITION BY fold ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+        + coalesce(sum(neg) OVER (PARTITION BY fold ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS good FROM wbins)
+        QUALIFY row_number() OVER (PARTITION BY fold ORDER BY good DESC, bin) = 1""",
+    "wdecided": "SELECT s.*, threshold, CAST(least(floor(p * 100), 99) >= threshold AS INTEGER) AS hit FROM wscored2 s JOIN wchosen USING (fold) WHERE role = 'test'",
+})
+
+
+@query("scr_06_walk_forward_scores", sql("ticker d:session fold r:p i:threshold i:hit", "FROM wdecided"))
+def _(spark, d):
+    """Every row of every fold's test month, also those with missing features or without a next session."""
+    return final(decided(spark, d), "ticker", "session", "fold", "p", "threshold", "hit")
+
+
+@query("scr_06_walk_forward_metrics", sql(
+    ["fold", "i:threshold", "i:n_rows=count(*)", "i:n_pos=sum(y)", "i:n_hits=sum(hit)", "r:accuracy=avg(CAST(hit = y AS INTEGER))",
+     "r:precision=sum(hit * y) / nullif(sum(hit), 0)", "r:recall=sum(hit * y) / sum(y)",
+     "r:roc_area=(sum(mid) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y)))"],
+    """FROM (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY fold, round(p * 10000)) - 1) / 2 AS mid FROM wdecided WHERE y IS NOT NULL
+       WINDOW w AS (PARTITION BY fold ORDER BY round(p * 10000))) GROUP BY fold, threshold"""))
+def _(spark, d):
+    return final(W.metrics(decided(spark, d)))
+
+
+@query("ag_13_walk_forward", sql(
+    ["fold=coalesce(fold, 0)", "i:n_trades=count(*)", "r:sum_pct=sum(pct)", "r:win_rate=avg(CAST(pct > 0 AS DOUBLE))",
+     "r:profit_factor=sum(pct) FILTER (pct > 0) / nullif(-sum(pct) FILTER (pct < 0), 0)"],
+    "FROM wdecided WHERE hit = 1 AND pct IS NOT NULL GROUP BY ROLLUP (fold)"))
+def _(spark, d):
+    """One trade per hit of the test months, held to the next session, by the fold whose model took it."""
+    trades = decided(spark, d).filter("hit = 1 AND pct IS NOT NULL").select("fold", "pct")
+    return final(P.performance_by_fold(trades))
+
+
 def _uniform(seed: str) -> str:
     return (f"((CAST('0x' || substr(md5(concat_ws('|', '{seed}', ticker, CAST(epoch(bar_ts) AS BIGINT), shift)), 1, 8) AS BIGINT) + 0.5)"
             " / 4294967296.0::DOUBLE)")

@@ -294,12 +294,9 @@ def _(spark, d):
 
 
 @query("jn_07_sector_context", sql(
-    ["ticker", "sector", "d:session", "r:turnover=s.turnover", "r:sector_turnover=x.turnover"],
+    ["ticker=s.ticker", "sector", "d:session", "r:turnover", "r:sector_turnover=avg(turnover) OVER (PARTITION BY session, sector)"],
     """FROM supplied s JOIN (SELECT CAST(s_suppkey AS VARCHAR) AS ticker, r_name AS sector FROM supplier
-         JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) k USING (ticker)
-       JOIN (SELECT session, sector, avg(turnover) AS turnover FROM supplied JOIN (SELECT CAST(s_suppkey AS VARCHAR) AS ticker,
-         r_name AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
-         USING (ticker) GROUP BY 1, 2) x USING (session, sector)"""))
+         JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) k ON s.ticker = k.ticker"""))
 def _(spark, d):
     out = S.with_sector_context(A.lineitem_daily(spark, d), A.sectors(spark, d), "turnover", "sector_turnover")
     return final(out, "ticker", "sector", "session", "turnover", "sector_turnover")
@@ -390,11 +387,11 @@ def _(spark, d):
 
 
 @query("wn_02_lookback_fine", sql(
-    ["ticker", "d:session", "t:bar_ts"] + [f"r:f1_{k}_{s}" for k in range(5, 0, -1) for s in ("w", "u")],
-    "FROM fine_looked"))
+    ["ticker", "d:session", "t:bar_ts"] + [f"r:f1_{k}_{s}" if s != "sq" else f"r:f1_{k}_sq=f1_{k}_w*f1_{k}_w" for k in range(5, 0, -1)
+                                             for s in ("w", "u", "sq")], "FROM fine_looked"))
 def _(spark, d):
     fine = FE.with_pressure(S.with_fundamentals(*A.market(spark, d))[0])
-    return final(FE.lookback_fine(fine), *BAR, *[f"f1_{k}_{s}" for k in range(5, 0, -1) for s in ("w", "u")])
+    return final(FE.lookback_fine(fine), *BAR, *FE.fine_columns())
 
 
 @query("wn_03_running_range", sql(BAR_SQL + "r:day_high r:day_low", "FROM ranges"))

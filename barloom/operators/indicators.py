@@ -279,9 +279,3 @@ def proxy_score(df: DataFrame, weights: dict[str, float] | None = None, min_rvol
     }
     score = sum((w[k] * p for k, p in parts.items()), F.lit(0.0))
     return df.withColumn("score", score)
-
-
-def sequence_features(df: DataFrame, columns: list[str], n: int = 30) -> DataFrame:
-    """The last ``n`` bars of each bar as an array of structs; only full sequences."""
-    seq = F.collect_list(F.struct("bar_ts", *columns)).over(_last(n))
-    return df.withColumn("seq", seq).filter(F.size("seq") == n)

@@ -75,16 +75,19 @@ def score(df: DataFrame, train_all: DataFrame, train_recent: DataFrame,
 
 
 def train(df: DataFrame, columns: list[str] = SCORED, max_iter: int = 20, kind: str = "logistic"):
-    """A ``pyspark.ml`` pipeline on the hard label ``y``: vector, standardize, classify.
+    """A ``pyspark.ml`` pipeline on the hard label ``y``: means for missing values, vector, standardize,
+    classify. Every row gets a probability.
 
     ``mlp`` is Spark's own perceptron (sigmoid hidden units, softmax output), which is a
     different network from the one ``mlp_score`` evaluates.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 
-    parts = [VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="skip"),
+    known = [f"{c}__known" for c in columns]
+    parts = [Imputer(inputCols=columns, outputCols=known),
+             VectorAssembler(inputCols=known, outputCol="raw"),
              StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)]
     if kind == "logistic":
         parts.append(LogisticRegression(labelCol="y", maxIter=max_iter))

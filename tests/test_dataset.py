@@ -109,3 +109,12 @@ def test_train_both_kinds(spark):
         assert right > 160
     with pytest.raises(ValueError):
         M.train(df, ["a"], kind="tree")
+
+
+def test_profile_recovers_from_a_sketch_that_missed(spark, monkeypatch):
+    monkeypatch.setattr(D, "SKETCH", 8)
+    monkeypatch.setattr(D, "RANK_ERROR", 1e-4)
+    df = spark.range(20000).select(F.sin(F.col("id")).alias("a"), F.lit(None).cast("double").alias("b")).repartition(4)
+    a, b = D.profile(df, ["a", "b"], 50).collect()
+    want = df.toPandas().a.quantile([0.25, 0.5, 0.75]).tolist()
+    assert [a.q25, a.q50, a.q75] == pytest.approx(want, rel=1e-12) and b["count"] == 0 and b.q50 is None

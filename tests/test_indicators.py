@@ -78,10 +78,18 @@ def test_vwap_and_reclaim(spark):
     assert list(got.vwap_reclaim.fillna(0)) == [0, 0, 1]
 
 
-def test_sequences_are_full(bars):
-    seq = I.sequence_features(bars, ["close"], 30)
-    assert seq.filter(F.size("seq") != 30).count() == 0
-    assert seq.filter(F.element_at("seq", -1)["bar_ts"] != F.col("bar_ts")).count() == 0
+def test_sequences_are_full_and_masks_repeat(spark, small):
+    from barloom.catalog.frame import frame
+    from barloom.plans.frame import FRAME, dropout, sequences
+    assert len(FRAME) == len(set(FRAME)) == 42
+    rows = frame(spark, small).filter(F.col("session") <= "2024-01-04")
+    seq = sequences(rows).cache()
+    assert seq.filter((F.size("seq") != 30) | F.exists("seq", lambda x: F.size(x) != 42)).count() == 0
+    last = seq.join(rows, ["ticker", "session", "bar_ts"])
+    assert last.filter(~F.element_at("seq", -1)[FRAME.index("rsi")].eqNullSafe(F.col("rsi"))).count() == 0
+    flat = rows.withColumns({c: F.lit(1.0) for c in FRAME})
+    shares = dropout(flat).agg(*[F.avg(1 - F.col(c)).alias(c) for c in FRAME]).first()
+    assert all(0.05 < s < 0.16 for s in shares) and dropout(flat).exceptAll(dropout(flat.repartition(5))).count() == 0
 
 
 def test_proxy_score_range_and_weights(spark, small):
