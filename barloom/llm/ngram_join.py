@@ -8,7 +8,8 @@
 3. Links. Members meet a pivot of their tile. Hashed bitmaps bound the overlap from above by bit
    counts, and the pairs left are intersected exactly as sorted arrays. A few rounds with other
    pivots join most members of a tile; then every pair of a tile still in different components is
-   compared. So no link between components is missed and no group is expanded into its pairs.
+   compared inside tasks: by bitmap, which names the members that may have a link, and these exactly, which
+   gives a spanning forest. So no link between components is missed and no pair is written out.
 4. Numbers of links, where asked for. Two linked classes are in one component, so a component's
    classes are dealt to blocks by hash, two blocks meet in a task, and all their pairs are
    intersected exactly. A task returns a number for each class, never the pairs.
@@ -18,8 +19,6 @@ Shingles are 64-bit hashes; within one set or pair a clash has a chance below 1e
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -222,8 +221,8 @@ def _meet(pairs: DataFrame, sets: DataFrame, column: str, agree) -> DataFrame:
     return map_arrow(rows, run, "pivot long, cls long")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int, bound: bool = True) -> DataFrame:
-    """The linked ones of ``pairs(pivot, cls)`` as ``a, b``: with ``bound`` bitmaps first, which
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of ``pairs(pivot, cls)`` as ``a, b``: bitmaps first, which
     are small and rule most pairs out, then the sorted arrays of the pairs left."""
     def may(a, n_a, b, n_b):
         return 100 * min(n_a, n_b) >= percent * max(n_a, n_b) and linked(
@@ -232,17 +231,17 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, bound: bool = True)
     def do(a, n_a, b, n_b):
         return linked(overlap(a, b), n_a, n_b, percent)
 
-    left = store(_meet(pairs, sets, "bits", may), "bounded") if bound else pairs
+    left = store(_meet(pairs, sets, "bits", may), "bounded")
     return _meet(left, sets, "shingles", do).select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
 
 
-def tile_pairs(members: DataFrame, sets: DataFrame, met: DataFrame, percent: int) -> DataFrame:
-    """``pivot, cls``: pairs of one tile with different labels that the bitmaps do not rule out.
+def candidates(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``tile, cls``: the members of tiles that have a partner with another label there which the
+    bitmaps do not rule out. Rows are members, never pairs.
 
     A tile's members are ordered by size and cut into blocks; two blocks meet in a task, which
-    compares their maps word by word. A pair in several tiles is reported by the first of them.
+    compares their maps word by word.
     """
-    own = met.groupBy("cls").agg(F.sort_array(F.collect_set("tile")).alias("tiles"))
     order = Window.partitionBy("tile").orderBy("size", "cls")
     # Places are worked out on narrow rows; the maps join last and are shuffled once.
     places = (members.select("tile", "cls", "label").join(sets.select("cls", "size"), "cls")
@@ -251,8 +250,8 @@ def tile_pairs(members: DataFrame, sets: DataFrame, met: DataFrame, percent: int
               .withColumn("other", F.explode(F.sequence(F.lit(0), "blocks")))
               .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
               .select("tile", "i", "j", "block", "cls", "label", "size"))
-    rows = (places.join(sets.select("cls", "bits").join(own, "cls"), "cls")
-            .select("tile", "i", "j", "block", "cls", "label", "size", "bits", "tiles")
+    rows = (places.join(sets.select("cls", "bits"), "cls")
+            .select("tile", "i", "j", "block", "cls", "label", "size", "bits")
             .repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "block", "size", "cls"))
 
     def run(batches):
@@ -265,28 +264,27 @@ def tile_pairs(members: DataFrame, sets: DataFrame, met: DataFrame, percent: int
                         out += _compare(at, held, percent)
                     at, held = (tile, i, j), []
                 held.append(row)
-            yield _pairs(out)
-        yield _pairs(_compare(at, held, percent) if held else [])
+            yield _columns(out, "tile", "cls")
+        yield _columns(_compare(at, held, percent) if held else [], "tile", "cls")
 
-    return map_arrow(rows, run, "pivot long, cls long")
+    return map_arrow(rows, run, "tile long, cls long").distinct()
 
 
-def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], []))],
-                                      names=["pivot", "cls"])
+def _columns(out: list[tuple[int, int]], *names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], []))], names=names)
 
 
 def _compare(at: tuple, rows: list[list], percent: int) -> list[tuple[int, int]]:
-    """Pairs of a block with itself, or of block i with block j; rows are (block, cls, label,
-    size, bits, tiles) by block and size."""
+    """(tile, class) of those in a block, or in blocks i and j, that may link with one of another label;
+    rows are (block, cls, label, size, bits) by block and size."""
     tile, i, j = at
-    block, cls, label, size, bits, tiles = zip(*rows)
+    block, cls, label, size, bits = zip(*rows)
     maps = [np.frombuffer(b, np.uint64) for b in bits]
     words = min(map(len, maps))
     maps = np.stack([_fold(m, words) for m in maps])
     size, names = np.array(size), np.array(label)
     second = 0 if i == j else block.index(j) if j in block else len(rows)
-    out = []
+    may = np.zeros(len(rows), bool)
     for a in range(len(rows) if i == j else second):
         first = a + 1 if i == j else second
         stop = first + int(np.searchsorted(size[first:], 100 * size[a] // percent, side="right"))
@@ -297,10 +295,44 @@ def _compare(at: tuple, rows: list[list], percent: int) -> list[tuple[int, int]]
         other = maps[near]
         most = np.minimum(size[a] - np.bitwise_count(maps[a] & ~other).sum(axis=1, dtype=np.int64),
                           size[near] - np.bitwise_count(other & ~maps[a]).sum(axis=1, dtype=np.int64))
-        for b in near[100 * most >= percent * (size[a] + size[near] - most)].tolist():
-            if min(set(tiles[a]).intersection(tiles[b])) == tile:
-                out.append((min(cls[a], cls[b]), max(cls[a], cls[b])))
-    return out
+        partners = near[100 * most >= percent * (size[a] + size[near] - most)]
+        may[partners] = True
+        may[a] |= len(partners) > 0
+    return [(tile, cls[k]) for k in np.flatnonzero(may)]
+
+
+def forests(found: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links that join all labels which any links between ``found(tile, cls)`` of one tile join. Two blocks
+    of a tile are intersected exactly in a task, and only links that unite something there come back:
+    fewer than the task has members."""
+    with_label = (found.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")))
+    # Tiles with the same candidates are one.
+    same = found.groupBy("tile").agg(F.bit_xor(F.xxhash64("cls")).alias("group"))
+    known = with_label.join(same, "tile").select("group", "cls", F.col("label").alias("mine")).distinct()
+
+    def unite(at, rows):
+        first, second, _, linked_at = _linked_blocks(at, rows, percent)
+        if first is None:
+            return []
+        label = {r[1]: r[2] for r in first + second}
+        parent: dict[int, int] = {}
+
+        def top(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        for x, y in zip(*(k.tolist() for k in np.nonzero(linked_at))):
+            a, b = first[x][1], second[y][1]
+            p, q = top(label[a]), top(label[b])
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                out.append((a, b))
+        return out
+
+    return _in_blocks(known, sets, unite, "a", "b").distinct()
 
 
 def connect(edges: DataFrame) -> DataFrame:
@@ -361,66 +393,95 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None = None)
     return out
 
 
-def _count_links(at: tuple, rows: list[list], percent: int) -> list[tuple[int, int]]:
-    """``cls`` and the rows of the classes it links with, over the pairs of a block with itself
-    or of block i with block j; rows are (block, cls, number of rows, shingles)."""
+def _linked_blocks(at: tuple, rows: list[list], percent: int):
+    """Classes of block i, of block j, their intersections, and which of them link (only once, and no
+    class with itself, where i is j); rows are (block, cls, value, shingles)."""
     _, i, j = at
     held = list({r[1]: r for r in rows}.values())          # a class may have come with two texts
     first, second = [r for r in held if r[0] == i], [r for r in held if r[0] == j]
     if not first or not second:
-        return []
+        return None, None, None, None
     sets = [[np.frombuffer(r[3], np.uint64) for r in side] for side in (first, second)]
     sizes = [np.array([len(s) for s in side]) for side in sets]
     shared = shared_counts(sets[0], None if i == j else sets[1])
     found = 100 * shared >= percent * (sizes[0][:, None] + sizes[1][None, :] - shared)
     if i == j:
         np.fill_diagonal(found, False)
+    return first, second, shared, found
+
+
+def _count_links(at: tuple, rows: list[list], percent: int) -> list[tuple[int, int]]:
+    """``cls`` and the rows of the classes it links with, over the pairs of a block with itself
+    or of block i with block j; a row's value is its number of rows."""
+    first, second, _, found = _linked_blocks(at, rows, percent)
+    if first is None:
+        return []
     times = [np.array([r[2] for r in side], np.int64) for side in (first, second)]
     out = list(zip([r[1] for r in first], (found @ times[1]).tolist()))
-    if i != j:
+    if at[1] != at[2]:
         out += zip([r[1] for r in second], (times[0] @ found).tolist())
     return [x for x in out if x[1]]
 
 
-def link_counts(labels: DataFrame, sets: DataFrame, times: DataFrame, percent: int) -> DataFrame:
-    """``cls, n``: rows of the other classes that a class links with. ``labels(cls, label)``
-    names the components, ``times(cls, times)`` the rows of each class."""
-    known = store(labels.join(sets.select("cls", "size").distinct(), "cls").join(times, "cls"), "known")
-    # A component of more than one block holds a million shingles, so these are few.
-    large = (known.groupBy("label").agg(F.sum(F.col("size") + SET_COST).alias("cost"))
+def _in_blocks(known: DataFrame, sets: DataFrame, work, *names: str) -> DataFrame:
+    """What ``work(at, rows)`` returns for each pair of blocks of each group, two numbers a row. ``known`` has a
+    group, ``cls`` and one value; a group of more than ``LINK_BLOCK`` shingles is dealt to blocks by hash."""
+    group, _, value = known.columns
+    sized = store(known.join(sets.select("cls", "size").distinct(), "cls"), "known")
+    # A group of more than one block holds a million shingles, so these are few.
+    large = (sized.groupBy(group).agg(F.sum(F.col("size") + SET_COST).alias("cost"))
              .filter(F.col("cost") > LINK_BLOCK)
-             .select("label", F.ceil(F.col("cost") / LINK_BLOCK).cast("int").alias("blocks")))
-    dealt = (known.drop("size").join(F.broadcast(large), "label", "left")
+             .select(group, F.ceil(F.col("cost") / LINK_BLOCK).cast("int").alias("blocks")))
+    dealt = (sized.drop("size").join(F.broadcast(large), group, "left")
              .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
              .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")))
-    near = F.broadcast if known.count() <= FEW_PAIRS else lambda df: df
+    near = F.broadcast if sized.count() <= FEW_PAIRS else lambda df: df
     rows = (sets.select("cls", "shingles").join(near(dealt), "cls")
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                    "block", "cls", "times", "shingles")
-            .repartition("label", "i", "j").sortWithinPartitions("label", "i", "j"))
+            .select(group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                    "block", "cls", value, "shingles")
+            .repartition(group, "i", "j").sortWithinPartitions(group, "i", "j"))
 
     def run(batches):
         at, held = None, []
         for b in batches:
             out = []
-            for label, i, j, *row in zip(*(c.to_pylist() for c in b.columns)):
-                if (label, i, j) != at:
+            for name, i, j, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if (name, i, j) != at:
                     if held:
-                        out += _count_links(at, held, percent)
-                    at, held = (label, i, j), []
+                        out += work(at, held)
+                    at, held = (name, i, j), []
                 held.append(row)
-            yield _counts(out)
-        yield _counts(_count_links(at, held, percent) if held else [])
+            yield _columns(out, *names)
+        yield _columns(work(at, held) if held else [], *names)
+
+    made = store(map_arrow(rows, run, f"{names[0]} long, {names[1]} long"), "made")
+    unstore(sized)
+    return made
 
-    found = store(map_arrow(rows, run, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n")), "links")
-    unstore(known)
+
+def link_counts(labels: DataFrame, sets: DataFrame, times: DataFrame, percent: int) -> DataFrame:
+    """``cls, n``: rows of the other classes that a class links with. ``labels(cls, label)``
+    names the components, ``times(cls, times)`` the rows of each class."""
+    known = labels.join(times, "cls").select("label", "cls", "times")
+    made = _in_blocks(known, sets, lambda at, rows: _count_links(at, rows, percent), "cls", "n")
+    found = store(made.groupBy("cls").agg(F.sum("n").alias("n")), "links")
+    unstore(made)
     return found
 
 
-def _counts(out: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], []))],
-                                      names=["cls", "n"])
+def _pivots(members: DataFrame, turn: int, done: list[DataFrame]) -> DataFrame:
+    """``cls, pivot``: each class with the pivot of other label that it meets in most of its tiles. A tile's pivot
+    is drawn by hash in each turn; pairs of earlier turns are left out."""
+    heads = members.groupBy("tile").agg(
+        F.min_by(F.struct(F.col("cls").alias("pivot"), F.col("label").alias("to")),
+                 F.xxhash64(F.lit(turn), "cls")).alias("p")).select("tile", "p.*")
+    pairs = (members.join(heads, "tile").filter("label <> to")
+             .groupBy("cls", "pivot").agg(F.count("*").alias("times")))
+    for tried in done:
+        pairs = pairs.join(tried, ["cls", "pivot"], "left_anti")
+        pairs = pairs.join(tried.select(F.col("pivot").alias("cls"), F.col("cls").alias("pivot")), ["cls", "pivot"], "left_anti")
+    return pairs.groupBy("cls").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("pivot")).select("cls", "pivot")
 
 
 def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text: str = "text",
@@ -457,33 +518,23 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
                        .filter("low < high").drop("low", "high"))
         else:
             members = members.withColumn("label", F.col("cls"))
-        tried = reduce(DataFrame.unionByName, done) if done else None
         members = store(members, "members")
         if members.isEmpty():
             unstore(members)
             break
         if turn < PIVOT_ROUNDS:
-            heads = members.groupBy("tile").agg(
-                F.min_by(F.struct(F.col("cls").alias("pivot"), F.col("label").alias("to")),
-                         F.xxhash64(F.lit(turn), "cls")).alias("p")).select("tile", "p.*")
-            pairs = (members.join(heads, "tile").filter("label <> to")
-                     .groupBy("cls", "pivot").agg(F.count("*").alias("times")))
+            pairs = store(_pivots(members, turn, done), "pairs")
+            links = store(verify(pairs, vectors, percent), "links")
+            done.append(pairs)
         else:
-            pairs = tile_pairs(members, vectors, met, percent)
-        if tried is not None:
-            pairs = pairs.join(tried, ["cls", "pivot"], "left_anti")
-            pairs = pairs.join(tried.select(F.col("pivot").alias("cls"), F.col("cls").alias("pivot")),
-                               ["cls", "pivot"], "left_anti")
-        if turn < PIVOT_ROUNDS:                                      # the pivot met most often
-            pairs = pairs.groupBy("cls").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("pivot"))
-        pairs = store(pairs.select("cls", "pivot"), "pairs")
-        last = turn == PIVOT_ROUNDS
-        links = store(verify(pairs, vectors, percent, not last), "links")
+            found = store(candidates(members, vectors, percent), "candidates")
+            known = labels.select("cls", "label") if labels is not None else members.select("cls", "label").limit(0)
+            links = store(forests(found, known, vectors, percent), "links")
+            unstore(found)
         labels_new = store(_relabel(labels, links), "components")
         if labels is not None:
             unstore(labels)
         labels = labels_new
-        done.append(pairs)
         unstore(members, links)
         release(docs.sparkSession)
     every = sets.groupBy("cls").agg(F.min("doc_id").alias("rep"))
