@@ -236,8 +236,8 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def candidates(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``tile, cls``: the members of tiles that have a partner with another label there which the
-    bitmaps do not rule out. Rows are members, never pairs.
+    """``group, cls``: the classes that have a partner of another label in some tile which the bitmaps do not rule out,
+    in groups that hold both sides of every such pair.
 
     A tile's members are ordered by size and cut into blocks; two blocks meet in a task, which
     compares their maps word by word.
@@ -264,10 +264,14 @@ def candidates(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         out += _compare(at, held, percent)
                     at, held = (tile, i, j), []
                 held.append(row)
-            yield _columns(out, "tile", "cls")
-        yield _columns(_compare(at, held, percent) if held else [], "tile", "cls")
+            yield _columns(out, "a", "b")
+        yield _columns(_compare(at, held, percent) if held else [], "a", "b")
 
-    return map_arrow(rows, run, "tile long, cls long").distinct()
+    # A pair that many tiles share is one edge, and a class is in one group.
+    edges = store(map_arrow(rows, run, "a long, b long").distinct(), "near")
+    groups = connect(edges).select(F.col("label").alias("group"), F.col("node").alias("cls"))
+    unstore(edges)
+    return groups
 
 
 def _columns(out: list[tuple[int, int]], *names: str) -> pa.RecordBatch:
@@ -275,16 +279,17 @@ def _columns(out: list[tuple[int, int]], *names: str) -> pa.RecordBatch:
 
 
 def _compare(at: tuple, rows: list[list], percent: int) -> list[tuple[int, int]]:
-    """(tile, class) of those in a block, or in blocks i and j, that may link with one of another label;
-    rows are (block, cls, label, size, bits) by block and size."""
-    tile, i, j = at
+    """Pairs that may link and have different labels, in a block or in blocks i and j: as many as join all
+    classes which any such pairs join, one less than the classes at most. Rows are (block, cls, label, size,
+    bits) by block and size."""
+    _, i, j = at
     block, cls, label, size, bits = zip(*rows)
     maps = [np.frombuffer(b, np.uint64) for b in bits]
     words = min(map(len, maps))
     maps = np.stack([_fold(m, words) for m in maps])
     size, names = np.array(size), np.array(label)
     second = 0 if i == j else block.index(j) if j in block else len(rows)
-    may = np.zeros(len(rows), bool)
+    root, out = np.arange(len(rows)), []
     for a in range(len(rows) if i == j else second):
         first = a + 1 if i == j else second
         stop = first + int(np.searchsorted(size[first:], 100 * size[a] // percent, side="right"))
@@ -296,19 +301,20 @@ def _compare(at: tuple, rows: list[list], percent: int) -> list[tuple[int, int]]
         most = np.minimum(size[a] - np.bitwise_count(maps[a] & ~other).sum(axis=1, dtype=np.int64),
                           size[near] - np.bitwise_count(other & ~maps[a]).sum(axis=1, dtype=np.int64))
         partners = near[100 * most >= percent * (size[a] + size[near] - most)]
-        may[partners] = True
-        may[a] |= len(partners) > 0
-    return [(tile, cls[k]) for k in np.flatnonzero(may)]
+        for r, k in zip(*np.unique(root[partners], return_index=True)):
+            if r != root[a]:
+                root[root == r] = root[a]
+                b = partners[k]
+                out.append((min(cls[a], cls[b]), max(cls[a], cls[b])))
+    return out
 
 
 def forests(found: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: links that join all labels which any links between ``found(tile, cls)`` of one tile join. Two blocks
-    of a tile are intersected exactly in a task, and only links that unite something there come back:
+    """``a, b``: links that join all labels which any links between ``found(group, cls)`` of one group join. Two blocks
+    of a group are intersected exactly in a task, and only links that unite something there come back:
     fewer than the task has members."""
-    with_label = (found.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")))
-    # Tiles with the same candidates are one.
-    same = found.groupBy("tile").agg(F.bit_xor(F.xxhash64("cls")).alias("group"))
-    known = with_label.join(same, "tile").select("group", "cls", F.col("label").alias("mine")).distinct()
+    known = (found.join(labels, "cls", "left")
+             .select("group", "cls", F.coalesce("label", "cls").alias("mine")))
 
     def unite(at, rows):
         first, second, _, linked_at = _linked_blocks(at, rows, percent)
