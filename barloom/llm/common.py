@@ -69,7 +69,7 @@ def replace_column(df: DataFrame, name: str, value) -> DataFrame:
 class WordHashes(dict):
     """64-bit hashes of words, computed once per word; bounded, started anew when full."""
 
-    LIMIT = 100_000
+    LIMIT = 400_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

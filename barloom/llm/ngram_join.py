@@ -35,6 +35,12 @@ LINK_BLOCK, SET_COST = 1_000_000, 2_000   # shingles of a component's block, whe
 COLUMNS = 4096              # shingles whose owners are multiplied at once
 
 
+class JoinWords(WordHashes):
+    """A smaller cache: in a pipeline the workers also hold what earlier stages left."""
+
+    LIMIT = 100_000
+
+
 def shingle_set(text: str, n: int, words: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of the ``n``-word shingles of the text with A-Z lower-cased."""
     return np.unique(shingle_hashes(words.of(text.encode().lower().split()), n))
@@ -134,7 +140,7 @@ def document_sets(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, tex
                         ("check", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
-        words = WordHashes()
+        words = JoinWords()
         for b in batches:
             sets = [shingle_set(t, n, words) for t in texts(b, "text")]
             ids = b.column(0).cast(pa.int64())
@@ -175,7 +181,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, n: int, text: str = "text",
                         ("shingles", pa.binary())])
 
     def run(batches):
-        words = WordHashes()
+        words = JoinWords()
         for b in batches:
             rows = []
             for cls, t in zip(b.column(0).to_pylist(), texts(b, "text")):
