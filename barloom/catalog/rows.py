@@ -294,9 +294,10 @@ def _(spark, d):
 
 
 @query("jn_07_sector_context", sql(
-    ["ticker=s.ticker", "sector", "d:session", "r:turnover", "r:sector_turnover=avg(turnover) OVER (PARTITION BY session, sector)"],
-    """FROM supplied s JOIN (SELECT CAST(s_suppkey AS VARCHAR) AS ticker, r_name AS sector FROM supplier
-         JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) k ON s.ticker = k.ticker"""))
+    ["ticker", "sector", "d:session", "r:turnover", "r:sector_turnover"],
+    """FROM (SELECT s.*, sector, avg(turnover) OVER (PARTITION BY session, sector) AS sector_turnover FROM supplied s
+         JOIN (SELECT CAST(s_suppkey AS VARCHAR) AS ticker, r_name AS sector FROM supplier
+         JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) k ON s.ticker = k.ticker)"""))
 def _(spark, d):
     out = S.with_sector_context(A.lineitem_daily(spark, d), A.sectors(spark, d), "turnover", "sector_turnover")
     return final(out, "ticker", "sector", "session", "turnover", "sector_turnover")

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..operators import KEYS, trades as T
 from ..operators.labels import binarize
 from ..plans import training as TR
-from ..runtime import scratch_path
+from ..runtime import materialize, scratch_path
 from ..schemas import FEATURES
 from ..sources import adapters as A, files as R, sinks as W
 from ..streaming import bars as SB
 from .kit import COARSE, final, sql
 from .rows import BAR, BAR_SQL, FEATURE_SQL, anchors
-from .trades import LEG_COLS, TRADE_COLS, kept, legs
+from .trades import LEG_COLS, TRADE_COLS, backtest, kept, legs
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -189,6 +189,19 @@ def _(spark, d):
     return final(spark.read.schema(orders.schema).parquet(path))
 
 
+@query("snk_07_order_log", sql(["ticker", "d:session", "t:entry_ts", "p:entry_price", "p:limit_price=entry_price*1.001",
+    "i:quantity=round_even(1000.0/entry_price,0)+2-(CAST(round_even(1000.0/entry_price,0)AS BIGINT)%2)"],
+    "FROM bordered JOIN bwalk USING (session, rn) WHERE ok"))
+def _(spark, d):
+    """Scan, features, score, signal, fills, exits and account rules, then the orders; the second
+    half of the month is replayed."""
+    path = scratch_path(spark, "order-log")
+    orders = W.order_log(materialize(backtest(spark, d), "taken"))
+    W.write_order_log(orders, path)
+    W.write_order_log(orders.filter(F.col("session") >= F.lit("2024-01-17").cast("date")), path)
+    return final(spark.read.schema(orders.schema).parquet(path), *KEYS, "entry_ts", "entry_price", "limit_price", "quantity", places=8)
+
+
 # History lines with whole numbers, so that both engines print the same text.
 LINE = """concat('S', l_suppkey, ' -', l_orderkey, 'Time Bought: ', l_linenumber, ' Time Sold: ', l_partkey,
     ' Percent: -', l_partkey, '.', l_suppkey, CASE WHEN l_returnflag = 'N' THEN ' HELD ' ELSE ' SOLD ' END, l_linenumber)"""
@@ -209,6 +222,13 @@ def _(spark, d):
         F.sum(F.col("held_minutes").cast("long")).alias("held")))
 
 
+@query("src_05_history_quarantine", sql(["value", "i:n=count(*)"],
+       f"FROM (SELECT {LINE} AS value, l_returnflag FROM lineitem) WHERE l_returnflag = 'N' GROUP BY value"))
+def _(spark, d):
+    _trades, rejected = R.read_trade_history_split(spark, lines(spark, d))
+    return final(rejected.groupBy("value").agg(F.count(F.lit(1)).alias("n")))
+
+
 @query("tk_03_last_match", sql(["leg", "i:n=count(*)", "r:low=min(pct)", "r:high=max(pct)", "i:n_pct=count(DISTINCT pct)"],
     f"""FROM (SELECT CAST(regexp_extract_all({LINE}, '([,-9]+)\\w+', 1)[-1] AS DOUBLE) AS pct,
         CAST(regexp_extract_all({LINE}, '([0-9]+)', 1)[-1] AS INTEGER) AS leg FROM lineitem) GROUP BY leg"""))

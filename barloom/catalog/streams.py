@@ -29,12 +29,13 @@ VIEWS.update({
         FROM pbars WHERE NOT is_premarket WINDOW t AS ({T_WINDOW})""",
     "live_feats": "SELECT c.ticker, c.session, c.bar_ts, c.i, 1 AS good_news, 0 AS earnings, "
         "1 - c.close / c.high52 AS high52_ratio, 1 - c.low52 / c.close AS low52_ratio, "
-        "0 AS pm_high_ratio, 0 AS pm_low_ratio, 0 AS y, "
+        "coalesce(1 - c.close / nullif(pm_high, 0), 0) AS pm_high_ratio, "
+        "coalesce(1 - c.close / nullif(pm_low, 0), 0) AS pm_low_ratio, 0 AS y, "
         "1 - c.close / day_high AS day_high_ratio, 1 - day_low / c.close AS day_low_ratio, "
         + ", ".join(f"f5_{k}_w, f5_{k}_u, f5_{k}_w * f5_{k}_w AS f5_{k}_sq" for k in range(8, 0, -1)) + ", "
         + ", ".join(f"f1_{k}_w, f1_{k}_u, f1_{k}_w * f1_{k}_w AS f1_{k}_sq" for k in range(5, 0, -1))
         + """ FROM live_coarse c JOIN live_last l ON c.ticker = l.ticker AND c.session = l.session
-        AND c.bar_ts = l.coarse_ts WHERE c.i >= 7""",
+        AND c.bar_ts = l.coarse_ts LEFT JOIN pre p ON c.ticker = p.ticker AND c.session = p.session WHERE c.i >= 7""",
 })
 
 
@@ -122,10 +123,12 @@ def _(spark, d):
 @query("st_04_features", sql(["ticker", "d:session", "t:bar_ts", "i:i", *FEATURE_SQL], "FROM live_feats"))
 def _(spark, d):
     run = Run(spark, "features")
+    pre = SB.stream_premarket(SRC.stream_ticks(spark, d), OPEN_MINUTE)
+    SB.run_foreach(pre, SB.upsert_batch(run.path("premarket")), run.path("premarket-checkpoint"))
     fine = SB.stream_ohlcv(run.ticks(d), A.FINE, premarket=A.is_premarket())
     run.append(fine, "fine", "session")
     LV.stream_features(run.follow("fine", fine.schema), run.path("fine"), run.path("out"),
-                       run.path("checkpoint"), A.fundamentals(spark, d), COARSE)
+                       run.path("checkpoint"), A.fundamentals(spark, d), COARSE, run.path("premarket"))
     return final(SB.read_upserts(spark, run.path("out"), BAR), *BAR, "i", *FEATURES)
 
 
@@ -215,9 +218,9 @@ def _(spark, d):
     return final(out, *KEYS, "pm_volume", "price", "gap_pct", "rvol", "bar_ts", "score", "float_shares", "entry_price", "rank")
 
 
-@query("st_09_late_quotes", sql(BAR_SQL + "r:close", f"FROM {QBARS} WHERE session >= DATE '{HALF}'"))
-def _(spark, d):
-    """The second half of the month lands first; the first half is late and is dropped."""
+def half_late(spark, d):
+    """Bars of a run in which the second half of the month lands first, so that the first half is
+    late and is dropped; and the folder of all that landed."""
     run = Run(spark, "late")
     quotes = A.as_quotes(A.ticks(spark, d))
     closing = (spark.read.parquet(SRC.write_closing(spark, run.path("closing"))).transform(A.as_ticks)
@@ -226,8 +229,21 @@ def _(spark, d):
     for part in (quotes.filter(~late).unionByName(closing), quotes.filter(late)):
         part.drop("session").write.mode("append").option(
             "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(run.path("landing"))
-        out = run.append(SB.stream_quote_bars(SRC.stream_quotes(spark, run.path("landing")), COARSE), "bars")
-    return final(out, *BAR, "close")
+        out = run.append(SB.stream_quote_bars(SRC.stream_quotes(spark, run.path("landing")), COARSE, counted=True), "bars")
+    return out, quotes
+
+
+@query("st_09_late_quotes", sql(BAR_SQL + "r:close", f"FROM {QBARS} WHERE session >= DATE '{HALF}'"))
+def _(spark, d):
+    return final(half_late(spark, d)[0], *BAR, "close")
+
+
+@query("st_09_late_counts", sql(BAR_SQL + "i:n_landed=count(*) i:n_late=count(*)", f"""FROM (SELECT *,
+    time_bucket(INTERVAL {COARSE} SECOND, ts) AS bar_ts FROM ticks) WHERE session < DATE '{HALF}' GROUP BY ticker, session, bar_ts"""))
+def _(spark, d):
+    """Each late quote is counted, in its bar."""
+    bars, landed = half_late(spark, d)
+    return final(SB.late_quotes(landed, bars, COARSE), *BAR, "n_landed", "n_late")
 
 
 @query("snk_03_snapshot", sql("ticker d:session t:bar_ts r:close i:volume",

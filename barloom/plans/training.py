@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import features as feat
+from ..operators import KEYS, features as feat
 from ..operators.bars import rollup_bars
 from ..operators.dataset import balance
 from ..operators.labels import barrier_label, binarize, keep_complete
 from ..operators.performance import pnl_by_leg
-from ..operators.sessions import event_window, is_anchor, with_fundamentals, with_position
+from ..operators.sessions import event_window, is_anchor, premarket_range, with_fundamentals, with_position
 from ..schemas import FEATURES, FINE_LOOKBACK
 
 
@@ -57,14 +57,21 @@ def balanced_training_set(rows: DataFrame, shift: float = 3.0) -> DataFrame:
     return balance(rows, shift)
 
 
-def live_features(fine: DataFrame, fundamentals: DataFrame, coarse_seconds: int) -> DataFrame:
-    """The live variant: regular hours only, newest bar included, failures count as 0."""
+def live_features(fine: DataFrame, fundamentals: DataFrame, coarse_seconds: int,
+                  premarket: DataFrame | None = None) -> DataFrame:
+    """The live variant: regular hours only, newest bar included, failures count as 0.
+
+    ``premarket(ticker, session, pm_high, pm_low)`` is the range as it stood at the open; without it
+    the premarket bars of ``fine`` give it. The premarket ratios compare with the bar's close and are 0
+    for a session that was first seen after the open.
+    """
+    premarket = premarket_range(fine) if premarket is None else premarket
     regular = fine.filter(~F.col("is_premarket"))
     df = feat.with_pressure(coarse_with_fine(regular, fundamentals, coarse_seconds), zero_on_failure=True)
     df = feat.running_range(feat.lookback(with_position(df), include_anchor=True), include_anchor=True)
     df = feat.range52_ratios(feat.daily_ratios(df, "close"), "close")
-    # A session watched from the open has no premarket and the ratios are 0.
-    df = df.withColumns({"pm_high_ratio": F.lit(0.0), "pm_low_ratio": F.lit(0.0), "y": F.lit(0.0)})
+    df = df.join(premarket.select(*KEYS, "pm_high", "pm_low"), KEYS, "left")
+    df = feat.premarket_ratios(df, "live", price="close").withColumn("y", F.lit(0.0))
     rows = feat.with_flags(df).filter(F.col("i") + 1 >= 8)
     return feat.assemble_features(rows)
 

@@ -65,35 +65,50 @@ def read_event_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return parse_event_log(spark.read.text(path))
 
 
-def parse_trade_history(lines: DataFrame, mode: str = "anchored") -> DataFrame:
-    """Trade lines to columns; lines without a match are left out.
+HISTORY_COLUMNS = {"ticker": "string", "profit": "double", "open_minutes": "double", "held_minutes": "double",
+                   "pct": "double", "leg": "int"}
+
+
+def split_trade_history(lines: DataFrame, mode: str = "anchored") -> tuple[DataFrame, DataFrame]:
+    """(trades, quarantined lines). A line is a trade or in quarantine, as it stands; blank
+    lines are neither. In ``anchored`` mode a number that cannot be read also sends its line
+    there.
 
     ``legacy_regex`` takes the last match of two loose patterns and so loses the last
     digit of the percentage; it exists to compare with older reports.
     """
     v = F.col("value")
-
-    def group(n: int) -> Column:
-        return F.regexp_extract(v, HISTORY_LINE, n)
-
     if mode == "anchored":
-        return lines.filter(v.rlike(HISTORY_LINE)).select(
-            group(1).alias("ticker"), group(2).try_cast("double").alias("profit"),
-            group(3).try_cast("double").alias("open_minutes"),
-            group(4).try_cast("double").alias("held_minutes"),
-            group(5).try_cast("double").alias("pct"), group(6).cast("int").alias("leg"))
-    if mode == "legacy_regex":
+        # One pass of the pattern over a line: it splits the line, and a line without a match stays whole.
+        parts = F.split(F.regexp_replace(v, HISTORY_LINE, "$1\n$2\n$3\n$4\n$5\n$6"), "\n")
+        fields = [F.get("_parts", F.lit(k)).try_cast(kind) for k, kind in enumerate(HISTORY_COLUMNS.values())]
+        known = (F.size("_parts") == len(fields)) & F.forall(F.array(*[f.isNotNull() for f in fields]), lambda x: x)
+        rows = lines.withColumn("_parts", parts)
+        values = [f.alias(c) for f, c in zip(fields, HISTORY_COLUMNS)]
+    elif mode == "legacy_regex":
         last = lambda pattern: F.element_at(F.regexp_extract_all(v, F.lit(pattern), F.lit(1)), -1)
-        return lines.filter(v.rlike(LEGACY_PERCENT)).select(
-            last(LEGACY_PERCENT).try_cast("double").alias("pct"),
-            last(LEGACY_LEG).cast("int").alias("leg"))
-    raise ValueError(f"unknown mode {mode!r}")
+        known, rows = v.rlike(LEGACY_PERCENT), lines
+        values = [last(LEGACY_PERCENT).try_cast("double").alias("pct"), last(LEGACY_LEG).cast("int").alias("leg")]
+    else:
+        raise ValueError(f"unknown mode {mode!r}")
+    known = F.coalesce(known, F.lit(False))
+    return rows.filter(known).select(*values), rows.filter(~known & (F.trim(v) != "")).select(*lines.columns)
+
+
+def parse_trade_history(lines: DataFrame, mode: str = "anchored") -> DataFrame:
+    """The trades of ``split_trade_history`` alone."""
+    return split_trade_history(lines, mode)[0]
 
 
 def read_trade_history(spark: SparkSession, path: str, mode: str = "anchored") -> DataFrame:
     return parse_trade_history(spark.read.text(path), mode)
 
 
+def read_trade_history_split(spark: SparkSession, path: str, mode: str = "anchored") -> tuple[DataFrame, DataFrame]:
+    """Trades and the lines that are none, as ``read_event_log`` gives them for events."""
+    return split_trade_history(spark.read.text(path), mode)
+
+
 def read_training_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """A training table with its unnamed index column dropped and NaN read as NULL."""
     df = spark.read.schema(TRAINING).csv(path, header=header, enforceSchema=True).drop("_c0")

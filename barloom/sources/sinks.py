@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.columns import even_quantity
+from ..operators import KEYS
+
 
 def write_training(df: DataFrame, path: str, mode: str = "overwrite", by: str | None = "session"
                    ) -> None:
@@ -53,6 +56,20 @@ def roll_event_log(log: DataFrame, keep_n: int | None = None, days: int | None =
     return log.filter(F.col(added) > newest - F.expr(f"INTERVAL {int(days)} DAY"))
 
 
+def order_log(taken: DataFrame, amount: float = 1000.0, slack: float = 0.001) -> DataFrame:
+    """Limit orders of the positions that the account takes: an even number of shares worth about
+    ``amount``, with a limit a little above the price of the entry."""
+    return taken.select(*KEYS, "entry_ts", "entry_price", (F.col("entry_price") * (1 + slack)).alias("limit_price"),
+                        even_quantity("entry_price", amount).alias("quantity"))
+
+
+def write_order_log(orders: DataFrame, path: str) -> None:
+    """Order log of whole sessions, one folder each. A session that is written again replaces its
+    own folder and no other, so a replayed batch leaves every order once."""
+    (orders.hint("rebalance", "session").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("session").parquet(path))
+
+
 def write_orders(orders: DataFrame, path: str) -> None:
     """Paper mode: orders go to a file instead of a broker."""
     orders.write.mode("append").parquet(path)

@@ -15,35 +15,39 @@ from ..plans.training import live_features
 from .bars import read_upserts, run_foreach
 
 
-def features_batch(fine_table: str, path: str, fundamentals: DataFrame, coarse_seconds: int
-                   ) -> Callable[[DataFrame, int], None]:
+def features_batch(fine_table: str, path: str, fundamentals: DataFrame, coarse_seconds: int,
+                   premarket_path: str | None = None) -> Callable[[DataFrame, int], None]:
     """Features of the coarse bars touched by a batch of fine bars.
 
     The sessions in the batch are read back from the fine-bar table and run through the
     batch operators, so live and training features cannot drift apart and no lookback
-    has to be kept in Python state. The batch's first and last day prune the table's
-    session folders, so a batch costs its own days and not the history.
+    has to be kept in Python state. The batch's own days prune the table's session
+    folders at run time, so a batch costs these days and not the history, nor the days
+    between an old bar and the newest. ``premarket_path`` holds the premarket range that
+    ``stream_premarket`` has written; it no longer changes once a session is open.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        first, last = batch.agg(F.min("session"), F.max("session")).first()
-        if first is None:
-            return
         touched = (batch.withColumn("bar_ts", bucket_start("bar_ts", coarse_seconds))
                    .select(*KEYS, "bar_ts").distinct())
-        fine = (spark.read.schema(batch.schema).parquet(fine_table)
-                .filter(F.col("session").between(first, last)))
-        day = fine.join(touched.select(*KEYS).distinct(), KEYS, "left_semi")
-        rows = live_features(day, fundamentals, coarse_seconds)
+        sessions = touched.select(*KEYS).distinct()
+        day = (spark.read.schema(batch.schema).parquet(fine_table)
+               .join(touched.select("session").distinct(), "session", "left_semi")
+               .join(sessions, KEYS, "left_semi"))
+        known = None
+        if premarket_path:
+            known = read_upserts(spark, premarket_path, KEYS).join(sessions, KEYS, "left_semi")
+        rows = live_features(day, fundamentals, coarse_seconds, known)
         (rows.join(touched, [*KEYS, "bar_ts"], "left_semi")
          .write.mode("overwrite").parquet(f"{path}/batch={batch_id}"))
     return write
 
 
 def stream_features(fine: DataFrame, fine_table: str, path: str, checkpoint: str,
-                    fundamentals: DataFrame, coarse_seconds: int, **trigger) -> StreamingQuery:
+                    fundamentals: DataFrame, coarse_seconds: int, premarket_path: str | None = None,
+                    **trigger) -> StreamingQuery:
     """``fine`` is the stream over ``fine_table``; read the result with ``read_upserts``."""
-    fn = features_batch(fine_table, path, fundamentals, coarse_seconds)
+    fn = features_batch(fine_table, path, fundamentals, coarse_seconds, premarket_path)
     return run_foreach(fine, fn, checkpoint, "append", **trigger)
 
 

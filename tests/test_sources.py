@@ -62,6 +62,16 @@ def test_history_modes(spark):
         R.parse_trade_history(lines, "other")
 
 
+def test_history_lines_are_trades_or_in_quarantine(spark):
+    odd = ["", "  ", "no trade here", "ABC x.yTime Bought: 1.0 Time Sold: 1.0 Percent: 2.0 SOLD 1", "a\tb\tc\td\te\tf", None]
+    lines = spark.createDataFrame([(h,) for h in [*HISTORY[:3], *odd]], "value string")
+    rows, bad = R.split_trade_history(lines)
+    assert rows.count() == 3
+    assert sorted(r.value for r in bad.collect()) == sorted([odd[2], odd[3], odd[4]])
+    old_rows, old_bad = R.split_trade_history(lines, "legacy_regex")
+    assert old_rows.count() + old_bad.count() == 6
+
+
 def test_history_round_trip(spark, tmp_path):
     lines = spark.createDataFrame([(HISTORY[0],)], "value string")
     rows = R.parse_trade_history(lines)
@@ -94,6 +104,19 @@ def test_training_table_modes(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_order_log_replaces_its_own_sessions_only(spark, tmp_path):
+    path = str(tmp_path / "o")
+    taken = spark.createDataFrame([("A", "2024-01-01", 9.0), ("B", "2024-01-01", 400.0), ("A", "2024-01-02", 10.0)],
+                                  "ticker string, session string, entry_price double").withColumns(
+        {"session": F.to_date("session"), "entry_ts": F.to_timestamp("session")})
+    orders = W.order_log(taken, 1000.0, 0.01)
+    W.write_order_log(orders, path)
+    W.write_order_log(orders.filter("session = '2024-01-02'"), path)          # replayed
+    W.write_order_log(orders.filter("session > '2025-01-01'"), path)          # an empty batch
+    got = {(r.ticker, str(r.session)): (round(r.limit_price, 6), r.quantity) for r in spark.read.parquet(path).collect()}
+    assert got == {("A", "2024-01-01"): (9.09, 112), ("B", "2024-01-01"): (404.0, 4), ("A", "2024-01-02"): (10.1, 102)}
+
+
 def test_rolling_log(spark):
     log = spark.range(10).select(F.concat(F.lit("T"), "id").alias("ticker"),
                                  F.timestamp_seconds(F.col("id") * 86400).alias("add_ts"))

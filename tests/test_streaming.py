@@ -1,7 +1,10 @@
 """Streaming twins over several micro-batches, restarts and late rows."""
 
 import datetime as dt
+import os
 
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +87,45 @@ def test_late_rows_are_counted(spark, small, tmp_path):
     assert spark.read.parquet(p("out")).filter(late).count() == 0
 
 
+def test_late_rows_over_more_batches_than_spark_reports(spark, tmp_path):
+    """120 batches, a late quote in every third: the listener and the count by bar both find all."""
+    p = lambda n: str(tmp_path / n)
+    start = dt.datetime(2024, 3, 4, 12)
+    rows = []
+    for k in range(120):
+        rows.append(("T", start + dt.timedelta(minutes=30 * k), 10.0, k, k))
+        if k % 3 == 2:                                     # a day and more behind: each in a bar of its own
+            rows.append(("T", start - dt.timedelta(days=2, minutes=30 * k), 9.0, k, 1000 + k))
+    quotes = spark.createDataFrame(rows, "ticker string, ts timestamp, last_price double, total_volume long, seq long"
+                                   ).withColumn("session", F.to_date("ts"))
+    (tmp_path / "in").mkdir()
+    table = quotes.toArrow()
+    for k in range(120):                                   # a file per batch, a second apart
+        pq.write_table(table.filter(pc.equal(table["total_volume"], k)), p(f"in/{k:03}.parquet"))
+        os.utime(p(f"in/{k:03}.parquet"), (1709500000 + k, 1709500000 + k))
+    watch = SB.LateRows.watch(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        stream = SB.stream_quote_bars(follow(spark, quotes, p("in"), max_files=1), 1800, counted=True)
+        q = SB.run_available(stream, p("out"), p("c"))
+        assert len(q.recentProgress) <= 100 < len(watch.by_batch)
+        assert watch.total(q) == 40 > SB.late_rows(q)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.streams.removeListener(watch)
+    late = SB.late_quotes(quotes, spark.read.parquet(p("out")), 1800).collect()
+    assert len(late) == 40 and all(r.n_late == r.n_landed == 1 for r in late)
+
+
+def test_late_quotes_of_a_bar_that_was_kept(spark):
+    """Only the quotes beyond those in the bar are late; bars after the newest one are open."""
+    at = lambda m: dt.datetime(2024, 3, 4, 10, m)
+    landed = spark.createDataFrame([("T", at(1), 1.0), ("T", at(2), 1.0), ("T", at(3), None), ("T", at(4), 1.0), ("T", at(31), 1.0)],
+                                   "ticker string, ts timestamp, last_price double").withColumn("session", F.to_date("ts"))
+    bars = landed.limit(1).select("ticker", "session", F.lit(at(0)).alias("bar_ts"), F.lit(1).cast("long").alias("n_quotes"))
+    assert [(r.bar_ts.minute, r.n_landed, r.n_late) for r in SB.late_quotes(landed, bars, 1800).collect()] == [(0, 3, 2)]
+
+
 def test_positions_match_batch_over_splits(spark, bars, tmp_path):
     p = lambda n: str(tmp_path / n)
     rules = T.ExitRules(-2.0, 3.0, 2.5, limit_minutes=90)
@@ -121,6 +163,20 @@ def test_live_features_match_batch_over_splits(spark, small, tmp_path):
         LV.stream_features(follow(spark, fine, p("fine")), p("fine"), p("out"), p("c"), fund, A.COARSE)
     got = SB.read_upserts(spark, p("out"), ["ticker", "session", "bar_ts"])
     same(live_features(fine, fund, A.COARSE).drop("y"), got.drop("y"))
+    assert got.filter("pm_high_ratio <> 0 AND pm_low_ratio <> 0").count() > 0
+
+
+def test_live_premarket_ratios_need_a_range_from_before_the_open(spark):
+    """The stored range is used as it is; a session first seen after the open has ratios of 0."""
+    early = make_bars(spark, [20.0] * 4 + [22.0] * 20, premarket=4, step=1)
+    late = make_bars(spark, [22.0] * 20, ticker="U", step=1)
+    fund = spark.createDataFrame([("T", 30.0, 5.0, 1e6), ("U", 30.0, 5.0, 1e6)],
+                                 "ticker string, high52 double, low52 double, float_shares double")
+    fine = early.unionByName(late)
+    ratios = lambda df: {(r.ticker, round(r.pm_high_ratio, 6), round(r.pm_low_ratio, 6)) for r in df.collect()}
+    assert ratios(live_features(fine, fund, 60)) == {("T", -0.1, -0.1), ("U", 0.0, 0.0)}
+    stored = early.limit(1).select("ticker", "session", F.lit(44.0).alias("pm_high"), F.lit(11.0).alias("pm_low"))
+    assert ratios(live_features(fine, fund, 60, stored)) == {("T", 0.5, -1.0), ("U", 0.0, 0.0)}
 
 
 def test_snapshot_keeps_newest_per_ticker(spark, tmp_path):
@@ -134,6 +190,34 @@ def test_snapshot_keeps_newest_per_ticker(spark, tmp_path):
     assert got == {"T": 4.0, "U": 7.0}
 
 
+def test_snapshot_versions_are_bounded_and_survive_a_crash(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    write = SB.snapshot_batch(path, keep=2, keep_seconds=0)
+    level = lambda: [(r.ticker, r.close) for r in SB.read_snapshot(spark, path).collect()]
+    batches = [make_bars(spark, [k], start=600 + k) for k in range(1, 8)]
+    for n in range(5):
+        write(batches[n], n)
+        assert level() == [("T", n + 1.0)]
+    assert sorted(x.name for x in (tmp_path / "out").iterdir() if x.is_dir()) == ["version=3", "version=4"]
+
+    def crash(*_):
+        raise OSError("lost")
+    with monkeypatch.context() as m:                       # the version is whole, the pointer has not moved
+        m.setattr(SB, "put_text", crash)
+        with pytest.raises(OSError):
+            write(batches[5], 5)
+    assert level() == [("T", 5.0)]
+    write(batches[5], 5)
+    assert level() == [("T", 6.0)]
+    write(batches[5], 5)                                   # replayed after the move
+    write(batches[0], 4)
+    assert level() == [("T", 6.0)]
+    kept = SB.snapshot_batch(path, keep=1, keep_seconds=3600)
+    kept(batches[6], 6)                                    # a version younger than an hour stays for its readers
+    assert level() == [("T", 7.0)]
+    assert sorted(x.name for x in (tmp_path / "out").iterdir() if x.is_dir()) == ["version=4", "version=5", "version=6"]
+
+
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     path = str(tmp_path / "out")
     write = SB.upsert_batch(path)
