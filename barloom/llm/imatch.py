@@ -1,10 +1,14 @@
 """I-Match fingerprints over randomised lexicon subsets.
 
 The lexicon has the terms whose inverse document frequency lies in a band; document frequencies
-are counted over all documents. A text's distinct lexicon terms are sorted and hashed per
-subset. Subsets come in families: a family deals every term to one of ``1 / share`` subsets and
-uses the first ``SLOTS`` of them, so that short and long texts each have a family in which a subset
-holds about one of their terms. Two texts are alike as far as their subset hashes agree.
+are counted over all documents. A text's distinct lexicon terms are sorted, and the sorted list is
+hashed under each of several randomised lexicons:
+
+* ``WIDE`` lexicons each lack a random eighth of the terms. Texts with an equal hash under one of
+  them differ in the lacking terms only.
+* families of narrow lexicons each keep a random share of the terms only. A family deals every term
+  to one of ``1 / share`` lexicons and uses the first ``SLOTS`` of them. The share of them that agrees
+  tells how far texts are alike that differ in many terms.
 """
 
 from __future__ import annotations
@@ -12,21 +16,25 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import WordHashes, append_columns, map_arrow, mix, texts
+from .common import WordHashes, append_columns, map_arrow, mix, store, texts
 
 #: The band: a term is in at least one of RARE documents and at most one of COMMON.
 RARE, COMMON = 2000, 4
-#: The band holds at most RARE times the mean number of distinct terms of a document. Should
-#: that still be more than this many, its rare end is cut until they fit.
-MAX_LEXICON = 2_000_000
+#: A lexicon of up to so many terms (8 bytes each) is sent to the tasks; a larger one is joined.
+SENT_TERMS = 2_000_000
+WIDE, LACKING = 8, 8                         # wide lexicons; each lacks one term in LACKING
 SLOTS, SHARES = 32, (32, 128, 512, 2048)
-ENOUGH = 8                                   # filled subsets that make a family's figure count
-EMPTY = "----"
+ENOUGH = 8                                   # filled lexicons that make a family's figure count
+ALIKE = 1 - 1 / LACKING                      # least likeness of texts that agree in a wide lexicon
+NONE = -1                                    # in a sketch: a lexicon without terms of the text
+WIDE_DIGITS, DIGITS = 12, 4
 
 
 def term_hashes(text: str, words: WordHashes) -> np.ndarray:
@@ -58,72 +66,150 @@ def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
                                       names=["term", "df"])
 
 
-def lexicon(docs: DataFrame, text: str = "text", rare: int = RARE, common: int = COMMON) -> np.ndarray:
-    """Sorted hashes of the terms in the band; a term of one document only is never in it."""
+@dataclass(frozen=True)
+class Lexicon:
+    """The terms of the band: sorted hashes to be sent, or a stored table ``term``."""
+
+    sent: np.ndarray | None
+    table: DataFrame | None = None
+
+
+def lexicon(docs: DataFrame, text: str = "text", rare: int = RARE, common: int = COMMON,
+            sent_terms: int = SENT_TERMS) -> Lexicon:
+    """All terms in the band; a term of one document only is never in it."""
     total = docs.count()
     low, high = max(2, math.ceil(total / rare)), max(2, total // common)
-    band = document_frequencies(docs, text).filter(F.col("df").between(low, high))
-    rows = band.limit(MAX_LEXICON + 1).select("term").toArrow()
-    if rows.num_rows > MAX_LEXICON:
-        size = band.count()
-        low = int(band.approxQuantile("df", [1 - MAX_LEXICON / size], 1e-4)[0]) + 1
-        rows = band.filter(F.col("df") >= low).limit(MAX_LEXICON + 1).select("term").toArrow()
-    return np.sort(rows.column("term").to_numpy().view(np.uint64))
+    band = store(document_frequencies(docs, text).filter(F.col("df").between(low, high)).select("term"), "lexicon")
+    if band.count() > sent_terms:
+        return Lexicon(None, band)
+    return Lexicon(np.sort(band.toArrow().column("term").to_numpy().view(np.uint64)))
+
+
+def _seeds(first: int, n: int) -> np.ndarray:
+    return np.arange(first + 1, first + n + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
+
+
+_WIDE_SEEDS, _NARROW_SEEDS = _seeds(0, WIDE), _seeds(100, len(SHARES))
+
+
+def sketch(terms: np.ndarray) -> np.ndarray:
+    """Hashes of the sorted distinct ``terms`` (unsigned) under each lexicon, wide ones first."""
+    out = np.full(WIDE + len(SHARES) * SLOTS, NONE, np.int64)
+    if not len(terms):
+        return out
+    kept = mix(terms + _WIDE_SEEDS[:, None]) % np.uint64(LACKING) != 0
+    for k in range(WIDE):
+        own = terms[kept[k]]
+        if len(own):
+            out[k] = xxhash.xxh3_64_intdigest(own.tobytes()) >> (64 - 4 * WIDE_DIGITS)
+    for family, share in enumerate(SHARES):
+        slot = mix(terms + _NARROW_SEEDS[family]) % np.uint64(share)
+        use = slot < SLOTS
+        slot, own = slot[use], terms[use]
+        order = np.argsort(slot, kind="stable")               # terms stay sorted in a slot
+        slot, own = slot[order], own[order]
+        starts = np.flatnonzero(np.diff(slot, prepend=np.uint64(SLOTS + 1))) if len(slot) else []
+        for a, b in zip(starts, [*starts[1:], len(slot)]):
+            out[WIDE + family * SLOTS + int(slot[a])] = xxhash.xxh3_64_intdigest(own[a:b].tobytes()) >> (64 - 4 * DIGITS)
+    return out
+
+
+def written(values: np.ndarray) -> str:
+    """A sketch as hexadecimal digits, dashes for a lexicon without terms."""
+    v = values.tolist()
+    return "".join([f"{x:012x}" if x >= 0 else "-" * WIDE_DIGITS for x in v[:WIDE]]
+                   + [f"{x:04x}" if x >= 0 else "-" * DIGITS for x in v[WIDE:]])
+
+
+def sketch_likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of agreeing lexicons among those that either text fills, in the sparsest narrow family
+    with ``ENOUGH`` of them, or over all families; at least ``ALIKE`` where a wide lexicon agrees
+    and a family counts; 1 for equal sketches."""
+    if np.array_equal(a, b):
+        return 1.0
+    filled = ((a != NONE) | (b != NONE))[WIDE:].reshape(-1, SLOTS).sum(1).tolist()
+    same = ((a == b) & (a != NONE))
+    agree = same[WIDE:].reshape(-1, SLOTS).sum(1).tolist()
+    for f, s in zip(reversed(filled), reversed(agree)):
+        if f >= ENOUGH:
+            return max(s / f, ALIKE if same[:WIDE].any() else 0.0)
+    return sum(agree) / max(1, sum(filled))
 
 
-class Fingerprinter:
+def likeness(a: str, b: str) -> float:
+    """``sketch_likeness`` of two written fingerprints."""
+    def read(t: str) -> np.ndarray:
+        at = WIDE * WIDE_DIGITS
+        parts = ([t[k:k + WIDE_DIGITS] for k in range(0, at, WIDE_DIGITS)]
+                 + [t[k:k + DIGITS] for k in range(at, len(t), DIGITS)])
+        return np.array([NONE if x[0] == "-" else int(x, 16) for x in parts], np.int64)
+
+    return sketch_likeness(read(a), read(b))
+
+
+class Sketcher:
     def __init__(self, terms: np.ndarray):
         self.lexicon, self.words = terms, WordHashes()
 
-    def of(self, text: str) -> str:
-        """Four hexadecimal digits for each subset, ``----`` for one without terms. A text
-        none of whose terms is in the lexicon is described by all of them."""
+    def of(self, text: str) -> np.ndarray:
+        """A text none of whose terms is in the lexicon is described by all of them."""
         t = term_hashes(text, self.words)
         if len(t) and len(self.lexicon):
             at = np.minimum(np.searchsorted(self.lexicon, t), len(self.lexicon) - 1)
             known = t[self.lexicon[at] == t]
             t = known if len(known) else t
-        value, out = mix(t), []
-        for family, share in enumerate(SHARES):
-            slot = (mix(t + np.uint64(0xA0761D6478BD642F * (family + 1) & 0xFFFFFFFFFFFFFFFF))
-                    % np.uint64(share)).astype(np.int64)
-            use = slot < SLOTS
-            total = np.zeros(SLOTS, np.uint64)
-            np.add.at(total, slot[use], value[use])
-            filled = np.bincount(slot[use], minlength=SLOTS) > 0
-            out += [f"{h:04x}" if f else EMPTY
-                    for h, f in zip((mix(total) >> np.uint64(48)).tolist(), filled.tolist())]
-        return "".join(out)
+        return sketch(t)
 
 
-def likeness(a: str, b: str) -> float:
-    """Share of agreeing subsets among those that either text fills, in the sparsest family with
-    ``ENOUGH`` of them, or over all families; 1 for equal fingerprints."""
-    if a == b:
-        return 1.0
-    filled, same = [0] * len(SHARES), [0] * len(SHARES)
-    for k in range(len(SHARES) * SLOTS):
-        x, y = a[4 * k:4 * k + 4], b[4 * k:4 * k + 4]
-        if x != EMPTY or y != EMPTY:
-            filled[k // SLOTS] += 1
-            same[k // SLOTS] += x == y
-    for f, s in zip(reversed(filled), reversed(same)):
-        if f >= ENOUGH:
-            return s / f
-    return sum(same) / max(1, sum(filled))
+def _digest(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
-def fingerprint(df: DataFrame, terms: np.ndarray, text: str = "text") -> DataFrame:
-    """``df`` with ``fingerprint``, a string of subset hashes. Null counts as empty; equal
-    texts have equal fingerprints; texts are read whole. A column of that name is replaced."""
-    shared = df.sparkSession.sparkContext.broadcast(terms)
-    held: dict[str, Fingerprinter] = {}
+def joined_sketches(terms: DataFrame, lexicon_table: DataFrame) -> DataFrame:
+    """``key`` and ``sketch`` of each distinct key of ``terms(key, terms)``, by joining single
+    terms with the lexicon: a group is one text's terms, and no table is sent whole."""
+    one = terms.dropDuplicates(["key"])
+    known = (one.select("key", F.explode("terms").alias("term")).join(lexicon_table, "term")
+             .groupBy("key").agg(F.collect_list("term").alias("known")))
 
     def run(batch: pa.RecordBatch) -> list:
-        f = held.setdefault("f", Fingerprinter(shared.value))
-        return [pa.array([f.of(t) for t in texts(batch, text)], pa.string())]
+        return [pa.array([sketch(np.sort(np.array(t, np.int64).view(np.uint64))) for t in
+                          batch.column(batch.schema.get_field_index("use")).to_pylist()], pa.list_(pa.int64()))]
+
+    both = one.join(known, "key", "left").select("key", F.coalesce("known", "terms").alias("use"))
+    return append_columns(both, run, [T.StructField("sketch", T.ArrayType(T.LongType()))]).drop("use")
+
+
+def fingerprint(df: DataFrame, terms: Lexicon, text: str = "text") -> DataFrame:
+    """``df`` with ``fingerprint``, a string of lexicon hashes. Null counts as empty; equal
+    texts have equal fingerprints; texts are read whole. A column of that name is replaced."""
+    field = [T.StructField("fingerprint", T.StringType())]
+    if terms.table is None:
+        shared = df.sparkSession.sparkContext.broadcast(terms.sent)
+        held: dict[str, Sketcher] = {}
+
+        def run(batch: pa.RecordBatch) -> list:
+            f = held.setdefault("f", Sketcher(shared.value))
+            return [pa.array([written(f.of(t)) for t in texts(batch, text)], pa.string())]
+
+        return append_columns(df, run, field)
+
+    key = "__imatch_key"
+    words = WordHashes()
+    keyed = df.withColumn(key, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
-    return append_columns(df, run, [T.StructField("fingerprint", T.StringType())])
+    def split(batch: pa.RecordBatch) -> list:
+        return [pa.array([term_hashes(t, words).view(np.int64) for t in texts(batch, text)], pa.list_(pa.int64()))]
+
+    each = append_columns(keyed.select(F.col(key).alias("key"), F.col(text)), split,
+                          [T.StructField("terms", T.ArrayType(T.LongType()))]).select("key", "terms")
+    known = joined_sketches(each, terms.table).select(F.col("key").alias(key), F.col("sketch").alias("__sketch"))
+
+    def write(batch: pa.RecordBatch) -> list:
+        return [pa.array([written(np.array(v)) for v in
+                          batch.column(batch.schema.get_field_index("__sketch")).to_pylist()], pa.string())]
+
+    return append_columns(keyed.join(known, key), write, field).drop(key, "__sketch")
 
 
 #: Rows of one stretch of ids, and the most stretches that the ids are cut into.
@@ -140,20 +226,29 @@ def with_next(docs: DataFrame, each: Callable[[], Callable[[object, str, str], t
     ``MAX_STRETCHES``, are known to the driver. Documents of one id go by the hash of their
     text; those without an id come last. Texts travel compressed.
     """
-    given = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    given = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     given = given.withColumn("h", F.xxhash64("text"))
     total = given.count()
     if total == 0:
         return docs.sparkSession.createDataFrame([], schema)
     n = min(MAX_STRETCHES, -(-total // STRETCH))
     cuts = given.agg(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0]
-    cuts = sorted(set(cuts or []))
-    number = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c >= F.col("id"))), F.lit(n))
-    if not cuts:
-        number = F.when(F.col("id").isNull(), n).otherwise(0)
-    number = F.when(F.col("id").isNull(), n).otherwise(number).cast("int")
-    first = (given.select(number.alias("at"), F.struct("id", "h").alias("x")).groupBy("at")
-             .agg(F.max("x").alias("x")).collect())
+    cuts = np.array(sorted(set(cuts or [])), np.int64)
+
+    def stretch(ids) -> np.ndarray:
+        """Numbers of the ids' stretches, from the largest ids on; rows without an id are in the last."""
+        known = np.array([i is not None for i in ids], bool)
+        value = np.array([0 if i is None else i for i in ids], np.int64)
+        return np.where(known, len(cuts) - np.searchsorted(cuts, value), n)
+
+    def number(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(stretch(b.column(0).to_pylist()), pa.int32()), b.column(0), b.column(1)],
+                names=["at", "id", "h"])
+
+    numbered = map_arrow(given.select("id", "h"), number, "at int, id long, h long")
+    first = numbered.groupBy("at").agg(F.max(F.struct("id", "h")).alias("x")).collect()
     order = sorted(first, key=lambda r: r["at"])
     heads = {r["at"]: (r.x["id"], r.x["h"]) for r in order}
     before = {r["at"]: order[k - 1]["at"] for k, r in enumerate(order)}     # of the first: the last
@@ -164,7 +259,8 @@ def with_next(docs: DataFrame, each: Callable[[], Callable[[object, str, str], t
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             rows = []
-            for i, t, h, at in zip(*(c.to_pylist() for c in b.columns)):
+            ids, *rest = (c.to_pylist() for c in b.columns)
+            for i, t, h, at in zip(ids, *rest, stretch(ids).tolist()):
                 data = pack(t.encode())
                 rows.append((at, 0, i, h, data))
                 if heads[at] == (i, h):
@@ -174,8 +270,7 @@ def with_next(docs: DataFrame, each: Callable[[], Callable[[object, str, str], t
                     pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
                 names=["at", "extra", "id", "h", "data"])
 
-    dealt = (map_arrow(given.select(F.col("id").cast("long").alias("id"), "text", "h", number.alias("at")),
-                       deal, "at int, extra int, id long, h long, data binary")
+    dealt = (map_arrow(given.select("id", "text", "h"), deal, "at int, extra int, id long, h long, data binary")
              .repartition("at").sortWithinPartitions("at", "extra", F.desc_nulls_last("id"), F.desc("h")))
 
     def run(batches):
@@ -218,14 +313,17 @@ EDITED = T.StructType([T.StructField(n, t) for n, t in (
     ("near_edited", T.DoubleType()), ("near_next", T.DoubleType()))])
 
 
-def edited_fingerprints(docs: DataFrame, terms: np.ndarray, text: str = "text", doc_id: str = "doc_id"
+def edited_fingerprints(docs: DataFrame, terms: Lexicon, text: str = "text", doc_id: str = "doc_id"
                         ) -> DataFrame:
     """Fingerprints of each text and of its edited text, with their likeness and that to the
-    next document's text."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    next document's text. Null counts as empty; repeated rows follow one another; an empty table
+    gives no rows; other columns are left out."""
+    if terms.table is not None:
+        return _edited_by_join(docs, terms.table, text, doc_id)
+    shared = docs.sparkSession.sparkContext.broadcast(terms.sent)
 
     def each():
-        f, last = Fingerprinter(shared.value), [None, None]
+        f, last = Sketcher(shared.value), [None, None]
 
         def one(i, t: str, other: str) -> tuple:
             own = last[1] if last[0] is t else f.of(t)
@@ -233,8 +331,42 @@ def edited_fingerprints(docs: DataFrame, terms: np.ndarray, text: str = "text",
             last[:] = other, after
             new = edit(t, other)
             changed = f.of(new)
-            return (i, len(t), hashlib.sha256(new.encode()).hexdigest(), own, changed,
-                    likeness(own, changed), likeness(own, after))
+            return (i, len(t), _digest(new), written(own), written(changed),
+                    sketch_likeness(own, changed), sketch_likeness(own, after))
         return one
 
     return with_next(docs, each, EDITED, text, doc_id)
+
+
+_TERMS = T.ArrayType(T.LongType())
+SPLIT = T.StructType([T.StructField(n, t) for n, t in (
+    ("doc_id", T.LongType()), ("n_chars", T.LongType()), ("own", T.StringType()), ("own_terms", _TERMS),
+    ("edited_sha256", T.StringType()), ("edited_terms", _TERMS), ("next", T.StringType()))])
+
+
+def _edited_by_join(docs: DataFrame, lexicon_table: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``edited_fingerprints`` for a lexicon of any size. Texts go by their digest, so each
+    distinct one is sketched once; the next document's text is some row's own."""
+    def each():
+        words = WordHashes()
+
+        def one(i, t: str, other: str) -> tuple:
+            new = edit(t, other)
+            return (i, len(t), _digest(t), term_hashes(t, words).view(np.int64),
+                    _digest(new), term_hashes(new, words).view(np.int64), _digest(other))
+        return one
+
+    rows = store(with_next(docs, each, SPLIT, text, doc_id), "imatch_terms")
+    terms = (rows.select(F.col("own").alias("key"), F.col("own_terms").alias("terms"))
+             .unionByName(rows.select(F.col("edited_sha256").alias("key"), F.col("edited_terms").alias("terms"))))
+    known = store(joined_sketches(terms, lexicon_table), "imatch_sketches")
+    out = rows.select("doc_id", "n_chars", "own", "edited_sha256", "next")
+    for column, name in (("own", "a"), ("edited_sha256", "b"), ("next", "c")):
+        out = out.join(known.select(F.col("key").alias(column), F.col("sketch").alias(name)), column)
+
+    def compare(batch: pa.RecordBatch) -> list:
+        a, b, c = ([np.array(v) for v in batch.column(batch.schema.get_field_index(k)).to_pylist()] for k in "abc")
+        return [list(map(written, a)), list(map(written, b)), list(map(sketch_likeness, a, b)),
+                list(map(sketch_likeness, a, c))]
+
+    return append_columns(out, compare, EDITED.fields[3:]).select(*EDITED.names)

@@ -11,9 +11,10 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 
 import corpus_pipeline
-from barloom.llm import ngram_join, quality, substrings
+from barloom.llm import imatch, ngram_join, quality, substrings
 from barloom.llm.common import WordHashes
 from barloom.llm.queries import QUERIES
 
@@ -219,6 +220,81 @@ def test_op9(spark, docs):
     assert (got.near_edited > got.near_next).mean() > 0.9
 
 
+def scrambled(x):
+    """The 64-bit scrambling in plain integers."""
+    x &= 2 ** 64 - 1
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) % 2 ** 64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) % 2 ** 64
+    return x ^ (x >> 31)
+
+
+def plain_fingerprint(text, lexicon):
+    """Each lexicon's sorted terms one after another, as lists of integers."""
+    t = {xxhash.xxh3_64_intdigest(w) for w in text.encode().lower().split()}
+    t = sorted(t & lexicon or t)
+
+    def hashed(own, digits):
+        if not own:
+            return "-" * digits
+        return f"{xxhash.xxh3_64_intdigest(b''.join(x.to_bytes(8, 'little') for x in own)) >> (64 - 4 * digits):0{digits}x}"
+
+    out = [hashed([x for x in t if scrambled(x + (k + 1) * 0xA0761D6478BD642F) % 8], 12) for k in range(8)]
+    for family, share in enumerate((32, 128, 512, 2048)):
+        slot = [scrambled(x + (family + 101) * 0xA0761D6478BD642F) % share for x in t]
+        out += [hashed([x for x, at in zip(t, slot) if at == k], 4) for k in range(32)]
+    return out
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    for family in (3, 2, 1, 0):
+        pairs = [(x, y) for x, y in zip(a, b) if len(x) == 4][32 * family:32 * family + 32]
+        filled = [(x, y) for x, y in pairs if (x, y) != ("----", "----")]
+        if len(filled) >= 8:
+            wide = any(x == y and x[0] != "-" for x, y in zip(a[:8], b[:8]))
+            return max(sum(x == y for x, y in filled) / len(filled), 7 / 8 if wide else 0)
+    filled = [(x, y) for x, y in zip(a[8:], b[8:]) if (x, y) != ("----", "----")]
+    return sum(x == y for x, y in filled) / max(1, len(filled))
+
+
+def test_op9_fingerprints(spark, docs):
+    """Lexicon, fingerprints and likeness against plain integers, and by the join that a large lexicon takes."""
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    d = docs.sort_values("doc_id", ascending=False)
+    texts = [x or "" for x in d.text]
+    df = collections.Counter(w for t in texts for w in {xxhash.xxh3_64_intdigest(w) for w in t.encode().lower().split()})
+    lexicon = {w for w, n in df.items() if 2 <= n <= len(texts) // 4}
+    sent, joined = imatch.lexicon(table), imatch.lexicon(table, sent_terms=10)
+    assert set(sent.sent.tolist()) == lexicon
+    assert joined.sent is None and {r.term % 2 ** 64 for r in joined.table.collect()} == lexicon
+    own = [plain_fingerprint(t, lexicon) for t in texts]
+    for terms in (sent, joined):
+        got = imatch.edited_fingerprints(table, terms).toPandas().set_index("doc_id")
+        assert len(got) == len(texts)
+        for k, i in enumerate(d.doc_id):
+            after = (k + 1) % len(texts)
+            changed = plain_fingerprint(imatch.edit(texts[k], texts[after]), lexicon)
+            assert got.fingerprint[i] == "".join(own[k]) and got.edited_fingerprint[i] == "".join(changed)
+            assert got.near_edited[i] == plain_likeness(own[k], changed)
+            assert got.near_next[i] == plain_likeness(own[k], own[after])
+            assert imatch.likeness(got.fingerprint[i], got.edited_fingerprint[i]) == got.near_edited[i]
+        alone = imatch.fingerprint(table, terms).toPandas().set_index("doc_id").fingerprint
+        assert (alone == got.fingerprint[alone.index]).all()
+
+
+def test_op9_wide_lexicons():
+    """One term of 200 changed: some wide lexicon lacks both forms, or the narrow ones mostly agree."""
+    rng = np.random.default_rng(4)
+    hits = []
+    for _ in range(40):
+        t = np.unique(rng.integers(0, 2 ** 63, 200).astype(np.uint64))
+        a, b = imatch.sketch(t), imatch.sketch(np.sort(np.append(t[1:], np.uint64(rng.integers(0, 2 ** 63)))))
+        hits.append(((a == b)[:8]).any())
+        assert imatch.sketch_likeness(a, b) > 0.7
+    assert 0 < sum(hits) < 40
+
+
 def test_pipeline(spark, docs):
     """Every stage on its input: junk goes, near copies are one, secrets are out, ids give texts."""
     kept, parts = spark.read.parquet(f"{SF}/documents.parquet"), {}

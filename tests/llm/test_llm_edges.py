@@ -191,8 +191,9 @@ def test_chat(spark):
     assert chat.expand(df.limit(0)).count() == 0
 
 
-def test_imatch(docs, spark):
-    terms = imatch.lexicon(docs)
+@pytest.mark.parametrize("sent_terms", [10 ** 6, 0])
+def test_imatch(docs, spark, sent_terms):
+    terms = imatch.lexicon(docs, sent_terms=sent_terms)
     got = rows(imatch.fingerprint(docs, terms))
     by = {}
     for r in got:
