@@ -2,8 +2,11 @@
 content or boilerplate, and the share of words in content lines decides whether it is kept.
 
 The field has two states, binary line features and transition weights. It is fitted by
-gradient ascent on the exact log-likelihood over a bounded sample of labelled documents,
-each line taking its document's label; Viterbi decoding labels the lines of every document.
+gradient ascent on the exact log-likelihood over a bounded sample of labelled documents.
+Lines have no labels of their own, so these are found in turns: at first each line takes its
+document's label; then a model of single lines gives each line the label that its own features
+speak for, wherever they contradict the document's label clearly; the field is fitted on those
+sequences, in which labels change from line to line. Viterbi decoding labels the lines of every document.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 MIN_CONTENT_SHARE = 0.5
 #: The fit uses at most so many labelled documents, half of each label, and lines of each.
 FIT_DOCS, FIT_LINES = 1600, 40
+#: A line takes the other label where its own features are so many nats for it, after each round.
+CONTRADICTS, ROUNDS = 1.0, 3
 
 _SYMBOL_BYTES, _UPPER, _DIGITS = SYMBOLS.encode(), bytes(range(65, 91)), b"0123456789"
 _PUNCT = b"!?.,;:"
@@ -198,27 +203,52 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = FIT_DOCS, max_lines:
             .groupBy("doc_id").agg(F.min("f").alias("f")).collect())     # one row per id
     rows.sort(key=lambda r: r.doc_id)
     x = [np.array(r.f).reshape(-1, PER_LINE) for r in rows]
-    return _train(x, np.array([ids[r.doc_id] for r in rows]))
-
-
-def _train(x: list[np.ndarray], labels: np.ndarray, steps: int = 120, rate: float = 0.15,
-           decay: float = 1e-3) -> Field:
-    """Gradient ascent with adaptive steps on the penalized log-likelihood. Sequences are
-    padded to one length and run through forward and backward passes together."""
-    n = len(x)
-    if n == 0 or len(set(labels.tolist())) < 2:
+    labels = np.array([ids[r.doc_id] for r in rows])
+    if len(set(labels.tolist())) < 2:
         return Field.all_content()
+    return _train(x, line_labels(x, labels), labels)
+
+
+def line_odds(x: list[np.ndarray], gold: list[np.ndarray], smooth: float = 1.0) -> list[np.ndarray]:
+    """How many nats a line's features speak for content: the mean over its features, times the square
+    root of their number since they depend on each other, of the log ratio of smoothed shares."""
+    flat, state = np.concatenate(x), np.concatenate(gold)
+    n = [np.bincount(flat[state == s].ravel(), minlength=N_FEATURES) + smooth for s in (0, 1)]
+    ratio = np.log(n[1] / ((state == 1).sum() + 2 * smooth)) - np.log(n[0] / ((state == 0).sum() + 2 * smooth))
+    return [ratio[f].sum(axis=1) / np.sqrt(PER_LINE) for f in x]
+
+
+def line_labels(x: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """A label for each line, from those of the documents: ``rounds`` times, single lines are
+    counted under the present labels, and a line that clearly contradicts its document's gets the other one."""
+    gold = [np.full(len(f), q) for f, q in zip(x, labels)]
+    for _ in range(rounds):
+        new = [np.where(odds > CONTRADICTS, 1, np.where(odds < -CONTRADICTS, 0, q))
+               for odds, q in zip(line_odds(x, gold), labels)]
+        if len({int(v) for g in new for v in g}) < 2 or all(map(np.array_equal, new, gold)):
+            break
+        gold = new
+    return gold
+
+
+def _train(x: list[np.ndarray], gold_lines: list[np.ndarray], labels: np.ndarray, steps: int = 120,
+           rate: float = 0.15, decay: float = 1e-3) -> Field:
+    """Gradient ascent with adaptive steps on the penalized log-likelihood of the line labels.
+    Sequences are padded to one length and run through forward and backward passes together; the
+    documents of either label weigh alike."""
+    n = len(x)
     length = np.array([len(f) for f in x])
     t_max = int(length.max())
     feats = np.full((n, t_max, PER_LINE), N_FEATURES)                   # the last row is padding
+    gold = np.zeros((n, t_max), int)
     for k, f in enumerate(x):
         feats[k, :len(f)] = f
+        gold[k, :len(f)] = gold_lines[k]
     real = np.arange(t_max)[None, :] < length[:, None]
     each = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
     weight = np.where(real, (each / length)[:, None], 0.0)              # a document weighs alike
     w = np.zeros((N_FEATURES + 1) * 2 + 6)
     m, v = np.zeros_like(w), np.zeros_like(w)
-    gold = labels[:, None].repeat(t_max, 1)
 
     for step in range(1, steps + 1):
         emit = w[:-6].reshape(-1, 2)
@@ -244,9 +274,7 @@ def _train(x: list[np.ndarray], labels: np.ndarray, steps: int = 120, rate: floa
             pair = (fwd[:, :-1, :, None] + move + (score + bwd)[:, 1:, None, :]
                     - log_z[:, None, None, None])
             both = real[:, 1:, None, None] * weight[:, 1:, None, None]
-            want = np.zeros((n, t_max - 1, 2, 2))
-            want[labels == 0, :, 0, 0] = 1
-            want[labels == 1, :, 1, 1] = 1
+            want = np.eye(4)[2 * gold[:, :-1] + gold[:, 1:]].reshape(n, t_max - 1, 2, 2)
             g[-6:-2] = ((want - np.exp(np.minimum(pair, 0))) * both).sum((0, 1)).ravel()
         g[-2:] = miss[:, 0].sum(0)
         g -= decay * w

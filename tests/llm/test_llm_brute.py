@@ -160,6 +160,86 @@ def test_op4_held_out_accuracy(spark):
     assert len(judged) > 100 and (judged.kept == (judged.quality == 1)).mean() > 0.97
 
 
+def plain_lines(text):
+    """Feature numbers of each line with a word, measured one by one."""
+    seen, out = set(), []
+    spaces = b" \t\n\r\x0b\x0c"
+    for line in text.encode().split(b"\n"):
+        w = [x for x in re.split(rb"[\x20\x09-\x0d]+", line) if x]
+        if not w:
+            continue
+        share = [sum(c in s for c in line) / len(line) for s in (
+            b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!?.,;:")]
+        values = [len(w), sum(c not in spaces for c in line) / len(w), *share, len(set(w)) / len(w),
+                  sum(x in (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">") for x in w) / len(w)]
+        numbers, base = [], 0
+        for v, bounds in zip(values, quality.BUCKETS.values()):
+            numbers.append(base + sum(b < v for b in bounds))
+            base += len(bounds) + 1
+        for flag in (w[-1][-1:] in (b".", b"!", b"?"), line in seen, any(m in line for m in (b"!!", b"**", b"##"))):
+            numbers.append(base + flag)
+            base += 2
+        seen.add(line)
+        out.append((numbers, len(w)))
+    return out
+
+
+def plain_share(text, field):
+    """Share of words in content lines on the best path, each state with its score and its labels."""
+    lines = plain_lines(text)
+    if not lines:
+        return 0.0
+    best = {}
+    for k, (numbers, _) in enumerate(lines):
+        emit = [sum(field.emit[n][s] for n in numbers) for s in (0, 1)]
+        if k == 0:
+            best = {s: (field.start[s] + emit[s], (s,)) for s in (0, 1)}
+        else:
+            best = {s: max(((best[r][0] + field.move[r][s] + emit[s], best[r][1] + (s,)) for r in (0, 1)),
+                           key=lambda x: (x[0], x[1][-2])) for s in (0, 1)}
+    path = max(best.values(), key=lambda x: (x[0], x[1][-1]))[1]
+    return sum(n for (_, n), s in zip(lines, path) if s) / sum(n for _, n in lines)
+
+
+def test_op4_kept(spark, docs):
+    """Verdicts and content shares of every document, with features and paths in plain Python."""
+    field = quality.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op4_quality_crf"](spark, SF).collect()}
+    assert len(got) == len(docs)
+    for i, t in zip(docs.doc_id, docs.text):
+        share = plain_share(t or "", field)
+        assert got[i].content_share == pytest.approx(share, abs=1e-12)
+        assert got[i].kept == (not got[i].base_failed and share >= 0.5)
+
+
+def test_op4_labels_change_inside_a_text(spark):
+    """Lines of a good document after lines of a bad one: the path turns from boilerplate to content."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    field = quality.fit(docs, labels)
+    joined = docs.join(labels, "doc_id").filter("text IS NOT NULL").select("text", "quality").toPandas()
+    lines = {q: [[x for x in t.split("\n") if WORD.search(x)] for t in joined.text[joined.quality == q]] for q in (0, 1)}
+    lines = {q: [x for x in v if len(x) >= 3][:40] for q, v in lines.items()}
+    turned = []
+    for bad, good in zip(lines[0], lines[1]):
+        path = field.viterbi(quality.line_features(*quality._worded("\n".join(bad[-3:] + good[:6]))))
+        turned.append(path[:3].mean() < 0.5 < path[3:].mean())
+    assert len(turned) >= 20 and np.mean(turned) > 0.8
+    shares = quality.apply_rules(docs, field).filter("n_words > 0").toPandas().content_share
+    assert ((shares > 0) & (shares < 1)).mean() > 0.05
+
+
+def test_line_labels_leave_the_documents_label():
+    rng = np.random.default_rng(5)
+    kinds = [np.arange(quality.PER_LINE), np.arange(quality.PER_LINE) + quality.PER_LINE]
+    x, q = [], []
+    for k in range(60):
+        q.append(k % 2)
+        x.append(np.array([kinds[q[-1] if rng.random() < 0.8 else 1 - q[-1]] for _ in range(20)]))
+    gold = quality.line_labels(x, np.array(q))
+    assert all((g == (f[:, 0] > 0)).all() for f, g in zip(x, gold))
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     for _ in range(30):
