@@ -14,8 +14,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: A list may have this many keys; the cascade then has about four megabytes.
-MAX_LISTED = 1_000_000
+#: A cascade takes about this many keys and then has about four megabytes; a longer list is dealt
+#: to several cascades by the hash of the key, and a key asks its own one only.
+PART_KEYS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -66,21 +67,52 @@ class Cascade:
         return F.coalesce(key.isNotNull() & out, F.lit(False))
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
+@dataclass(frozen=True)
+class DealtCascade:
+    parts: tuple[Cascade, ...]
+
+    @property
+    def levels(self) -> tuple[Level, ...]:
+        return tuple(level for p in self.parts for level in p.levels)
+
+    def lists(self, key: Column) -> Column:
+        out = F.lit(False)
+        for k, part in enumerate(self.parts):
+            if part.levels:
+                out = F.when(_part(key, len(self.parts)) == k, part.lists(key)).otherwise(out)
+        return out
+
+
+def _part(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(parts))
+
+
+def build_cascade(listed: DataFrame, universe: DataFrame, part_keys: int = PART_KEYS) -> Cascade | DealtCascade:
     """A cascade for ``listed(key)`` that is exact on ``universe(key)`` and on the listed keys.
 
     Null keys are left out and repeated ones count once; with no listed key nothing is listed.
     The first level's rate makes its false positives about as many as the listed keys, whatever
-    the universe; later levels halve. More than ``MAX_LISTED`` keys are refused.
+    the universe; later levels halve. A list of more than ``part_keys`` keys is dealt to several cascades.
     """
     own = listed.select(F.col("key").cast("string").alias("key")).filter("key IS NOT NULL").distinct()
     n = own.count()
     if n == 0:
         return Cascade(())
-    if n > MAX_LISTED:
-        raise ValueError(f"{n} listed keys; a cascade takes up to {MAX_LISTED}")
     others = (universe.select(F.col("key").cast("string").alias("key")).filter("key IS NOT NULL")
               .distinct().join(own, "key", "left_anti"))
+    if n <= part_keys:
+        return _levels(own, others, n)
+    parts, built = math.ceil(n / part_keys), []
+    for k in range(parts):
+        mine = _part(F.col("key"), parts) == k
+        some = own.filter(mine)
+        size = some.count()
+        built.append(_levels(some, others.filter(mine), size) if size else Cascade(()))
+    return DealtCascade(tuple(built))
+
+
+def _levels(own: DataFrame, others: DataFrame, n: int) -> Cascade:
+    """The levels for the ``n`` listed keys ``own`` against ``others``."""
     m = others.count()
     levels = [_fill(own, 1, n, min(0.5, max(1e-9, n / max(m, 1))))]
     # Both sides shrink by what each new level tells apart; only listed keys and false

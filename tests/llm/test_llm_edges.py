@@ -5,8 +5,10 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from barloom.llm import bpe, chat, html, imatch, mixing, ngram_join, quality, secrets, substrings, urls
 
+SF = "/root/testdata/sf0.001"
 LONG = "word%d other " * 3 % (1, 2, 3) * 8000
 ROWS = [(1, None, "a"), (2, "", "a"), (3, "a b c", None), (3, "a b c", None), (None, "x y z w v u", "b"),
         (None, None, "b"), (4, "a b c", "b"), (5, LONG, "c"), (6, "é ß 🙂 " * 50, "c"), (7, "AB c D e f", "c"),
@@ -154,6 +156,18 @@ def test_cascade_is_exact(spark):
     assert len(cascade.levels) > 2 and wrong.count() == 0
 
 
+def test_cascade_of_a_long_list(spark):
+    """More keys than one cascade takes: several by hash, with equal answers; null is not listed."""
+    universe = spark.range(3000).selectExpr("concat('h', id, '.org') AS key").union(
+        spark.createDataFrame([(None,)], "key string"))
+    listed = universe.filter("crc32(key) % 7 = 0")
+    cascade = urls.build_cascade(listed, universe, part_keys=100)
+    assert len(cascade.parts) >= 4 and all(p.levels for p in cascade.parts)
+    wrong = universe.withColumn("got", cascade.lists(F.col("key"))).filter(
+        "got IS NULL OR got <> coalesce(crc32(key) % 7 = 0, false)")
+    assert wrong.count() == 0
+
+
 def test_secrets(docs, spark):
     assert all(not r["secrets"] for r in rows(secrets.scan(docs)))
     texts = ["token: \"secret\" : abcdefghij", "é PASSWORD='abcdefgh' AKIA" + "Z9" * 8, "x" + "0f" * 16 + " token=short",
@@ -217,3 +231,37 @@ def test_mixing(docs, spark):
     half = spark.createDataFrame([("rare", 1.0), ("common", 1.0)], "source string, weight double")
     n = {r.source: r["count"] for r in mixing.mix(many, half).groupBy("source").count().collect()}
     assert abs(n["rare"] - 10000) < 500 and abs(n["common"] - 10000) < 500      # a mean of 50 goes well beyond one draw
+
+
+STAGE_ROWS = [(1, None, "en", "a", None), (2, "", "en", "a", 0), (None, LONG, "en", None, 1), (None, LONG, "en", None, 1),
+              (4, "good words of many kinds here, and more.\n" * 2 + "password: abcdefgh12 " + LONG, None, "b", 3),
+              (4, "good words of many kinds here, and more.\n" * 2 + "password: abcdefgh12 " + LONG, None, "b", 3)]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES[:-1])
+def test_stage_edges(spark, name, stage):
+    """Nulls, empty and long texts, repeated rows, an empty table, and a caller's columns under the names that
+    the operators use inside: they come back with the caller's values."""
+    docs = spark.createDataFrame(STAGE_ROWS, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ("kept", "N_words", "copy", "mix_key", "secrets", "component_id", "n_shingles", "a.b")
+    more = docs.select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    out = stage(spark, more, SF)
+    assert out.columns == more.columns and out.schema.simpleString() == more.schema.simpleString()
+    got = out.collect()
+    assert all(r[n] == f"own {n}" for r in got for n in names)
+    given = {(r[0], r[2], r[3]) for r in STAGE_ROWS}
+    assert {(r.doc_id, r.lang, r.source) for r in got} <= given
+    if name == "secret scan":
+        assert len(got) == len(STAGE_ROWS) and not any("abcdefgh12" in (r.text or "") for r in got)
+    if name == "n-gram jaccard join":
+        assert sorted((r.doc_id or 0) for r in got if not r.text) == [1, 2]
+        assert sorted(str(r.doc_id) for r in got if r.text) == ["4", "None"]   # the shingles of LONG repeat: not near
+    assert stage(spark, more.limit(0), SF).count() == 0
+
+
+def test_last_stage_edges(spark):
+    docs = spark.createDataFrame(STAGE_ROWS, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.tokens(spark, docs.withColumn("ids", F.lit("own")), SF).collect()
+    assert len(got) == len(STAGE_ROWS) and all(len(r.ids) == r.n_tokens for r in got)
+    assert [r.n_tokens for r in got if r.doc_id in (1, 2)] == [0, 0]
+    assert corpus_pipeline.tokens(spark, docs.limit(0), SF).count() == 0
