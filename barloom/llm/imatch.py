@@ -90,6 +90,7 @@ def _seeds(first: int, n: int) -> np.ndarray:
 
 
 _WIDE_SEEDS, _NARROW_SEEDS = _seeds(0, WIDE), _seeds(100, len(SHARES))
+_SHARES = np.array(SHARES, np.uint64)
 
 
 def sketch(terms: np.ndarray) -> np.ndarray:
@@ -102,23 +103,26 @@ def sketch(terms: np.ndarray) -> np.ndarray:
         own = terms[kept[k]]
         if len(own):
             out[k] = xxhash.xxh3_64_intdigest(own.tobytes()) >> (64 - 4 * WIDE_DIGITS)
-    for family, share in enumerate(SHARES):
-        slot = mix(terms + _NARROW_SEEDS[family]) % np.uint64(share)
-        use = slot < SLOTS
-        slot, own = slot[use], terms[use]
-        order = np.argsort(slot, kind="stable")               # terms stay sorted in a slot
-        slot, own = slot[order], own[order]
-        starts = np.flatnonzero(np.diff(slot, prepend=np.uint64(SLOTS + 1))) if len(slot) else []
-        for a, b in zip(starts, [*starts[1:], len(slot)]):
-            out[WIDE + family * SLOTS + int(slot[a])] = xxhash.xxh3_64_intdigest(own[a:b].tobytes()) >> (64 - 4 * DIGITS)
+    slot = mix(terms + _NARROW_SEEDS[:, None]) % _SHARES[:, None]
+    family, at = np.nonzero(slot < SLOTS)
+    place = family * SLOTS + slot[family, at].astype(np.int64)
+    order = np.argsort(place, kind="stable")                   # terms stay sorted in a lexicon
+    place = place[order]
+    if len(place):
+        data = terms[at[order]].tobytes()
+        starts = np.flatnonzero(np.diff(place, prepend=NONE))
+        ends = [*(8 * starts[1:]).tolist(), len(data)]
+        out[WIDE + place[starts]] = [xxhash.xxh3_64_intdigest(data[a:b]) >> (64 - 4 * DIGITS)
+                                     for a, b in zip((8 * starts).tolist(), ends)]
     return out
 
 
 def written(values: np.ndarray) -> str:
     """A sketch as hexadecimal digits, dashes for a lexicon without terms."""
-    v = values.tolist()
-    return "".join([f"{x:012x}" if x >= 0 else "-" * WIDE_DIGITS for x in v[:WIDE]]
-                   + [f"{x:04x}" if x >= 0 else "-" * DIGITS for x in v[WIDE:]])
+    wide = "".join([f"{x:012x}" if x >= 0 else "-" * WIDE_DIGITS for x in values[:WIDE].tolist()])
+    narrow = np.frombuffer(values[WIDE:].astype(">u2").tobytes().hex().encode(), f"S{DIGITS}").copy()
+    narrow[values[WIDE:] == NONE] = b"-" * DIGITS
+    return wide + narrow.tobytes().decode()
 
 
 def sketch_likeness(a: np.ndarray, b: np.ndarray) -> float:
