@@ -273,7 +273,7 @@ def candidates(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield _columns(out, "a", "b")
         yield _columns(_compare(at, held, percent) if held else [], "a", "b")
 
-    # A pair that many tiles share is one edge, and a class is in one group.
+    # An edge that many tiles share is one, and a class is in one group.
     edges = store(map_arrow(rows, run, "a long, b long").distinct(), "near")
     groups = connect(edges).select(F.col("label").alias("group"), F.col("node").alias("cls"))
     unstore(edges)
@@ -284,10 +284,22 @@ def _columns(out: list[tuple[int, int]], *names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], []))], names=names)
 
 
+def _stars(parts: dict[int, set[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """Edges that join the names of each part, given as (block, name): all names of a block go to the least of them, and
+    the least of one block to that of the other. Other tasks that meet one of the blocks make the same edges for
+    it, and overlapping tiles many of them, so few are left of all once equal ones count once."""
+    out = set()
+    for part in parts.values():
+        least: dict[int, int] = {}
+        for block, name in part:
+            least[block] = min(name, least.get(block, name))
+        out |= {(least[block], name) for block, name in part} | {(min(least.values()), max(least.values()))}
+    return sorted((a, b) for a, b in out if a != b)
+
+
 def _compare(at: tuple, rows: list[list], percent: int) -> list[tuple[int, int]]:
-    """Pairs that may link and have different labels, in a block or in blocks i and j: as many as join all
-    classes which any such pairs join, one less than the classes at most. Rows are (block, cls, label, size,
-    bits) by block and size."""
+    """Edges that join all classes which are joined by pairs that may link and have different labels, in a
+    block or in blocks i and j. Rows are (block, cls, label, size, bits) by block and size."""
     _, i, j = at
     block, cls, label, size, bits = zip(*rows)
     maps = [np.frombuffer(b, np.uint64) for b in bits]
@@ -295,7 +307,7 @@ def _compare(at: tuple, rows: list[list], percent: int) -> list[tuple[int, int]]
     maps = np.stack([_fold(m, words) for m in maps])
     size, names = np.array(size), np.array(label)
     second = 0 if i == j else block.index(j) if j in block else len(rows)
-    root, out = np.arange(len(rows)), []
+    root = np.arange(len(rows))
     for a in range(len(rows) if i == j else second):
         first = a + 1 if i == j else second
         stop = first + int(np.searchsorted(size[first:], 100 * size[a] // percent, side="right"))
@@ -307,18 +319,18 @@ def _compare(at: tuple, rows: list[list], percent: int) -> list[tuple[int, int]]
         most = np.minimum(size[a] - np.bitwise_count(maps[a] & ~other).sum(axis=1, dtype=np.int64),
                           size[near] - np.bitwise_count(other & ~maps[a]).sum(axis=1, dtype=np.int64))
         partners = near[100 * most >= percent * (size[a] + size[near] - most)]
-        for r, k in zip(*np.unique(root[partners], return_index=True)):
-            if r != root[a]:
-                root[root == r] = root[a]
-                b = partners[k]
-                out.append((min(cls[a], cls[b]), max(cls[a], cls[b])))
-    return out
+        for r in np.unique(root[partners]):
+            root[root == r] = root[a]
+    parts: dict[int, set[tuple[int, int]]] = {}
+    for r, *name in zip(root.tolist(), block, cls):
+        parts.setdefault(r, set()).add(tuple(name))
+    return _stars(parts)
 
 
 def forests(found: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: links that join all labels which any links between ``found(group, cls)`` of one group join. Two blocks
-    of a group are intersected exactly in a task, and only links that unite something there come back:
-    fewer than the task has members."""
+    """``a, b``: pairs of labels that join all labels which any links between ``found(group, cls)`` of one group join; a class
+    without label is its own. Two blocks of a group are intersected exactly in a task, and fewer pairs come back
+    than the task has members."""
     known = (found.join(labels, "cls", "left")
              .select("group", "cls", F.coalesce("label", "cls").alias("mine")))
 
@@ -326,7 +338,6 @@ def forests(found: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
         first, second, _, linked_at = _linked_blocks(at, rows, percent)
         if first is None:
             return []
-        label = {r[1]: r[2] for r in first + second}
         parent: dict[int, int] = {}
 
         def top(x):
@@ -335,39 +346,50 @@ def forests(found: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
                 x = parent[x]
             return x
 
-        out = []
         for x, y in zip(*(k.tolist() for k in np.nonzero(linked_at))):
-            a, b = first[x][1], second[y][1]
-            p, q = top(label[a]), top(label[b])
+            p, q = top(first[x][2]), top(second[y][2])
             if p != q:
                 parent[max(p, q)] = min(p, q)
-                out.append((a, b))
-        return out
+        parts: dict[int, set[tuple[int, int]]] = {}
+        for block, _, label, _ in first + second:
+            if label in parent:
+                parts.setdefault(top(label), set()).add((block, label))
+        return _stars(parts)
 
     return _in_blocks(known, sets, unite, "a", "b").distinct()
 
 
 def connect(edges: DataFrame) -> DataFrame:
-    """``node, label`` of the nodes of ``edges(a, b)``; the label is the least node of the
-    component. Labels spread to neighbours and then jump to their label's label, so paths
-    shorten by half each turn. ``edges`` is read several times and should be stored."""
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = store(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"))
-                   .withColumnRenamed("a", "node"), "labels")
+    """``node, label`` of the nodes of ``edges(a, b)``; the label is the least node of the component. In each turn every node
+    moves to that one of itself and its neighbours which comes first by hash, and the edges move with their
+    ends. Loops and double edges go, so that the next turn has a share of the nodes and edges only, and all
+    turns together read the edges a few times. ``edges`` should be stored."""
+    def drawn(c):
+        return F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("to"))
+
+    left, turns = edges.select("a", "b"), []
     while True:
-        near = (both.join(labels.withColumnRenamed("node", "b"), "b")
-                .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near")))
-        spread = labels.join(near, "node").select("node", F.col("label").alias("old"),
-                                                  F.least("label", "near").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = store(spread.join(up, "label", "left").select(
-            "node", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
-        changed = not new.filter("label <> old").isEmpty()
-        unstore(labels)
-        labels, stored = new.drop("old"), new._stored_at
-        labels._stored_at = stored
-        if not changed:
-            return labels
+        both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        moved = store(both.groupBy("a").agg(F.min(drawn("b")).alias("near"))
+                      .select(F.col("a").alias("node"), F.least("near", drawn("a"))["to"].alias("label")), "turn")
+        turns.append(moved)
+        rest = store(left.join(moved.toDF("a", "la"), "a").join(moved.toDF("b", "lb"), "b").filter("la <> lb")
+                     .select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "rest")
+        if len(turns) > 1:
+            unstore(left)
+        left = rest
+        if left.isEmpty():
+            break
+    unstore(left)
+    # The last turns are the smallest; a node that has no edge left has come to its end.
+    ends = turns[-1]
+    for moved in turns[-2::-1]:
+        ends = (moved.withColumnRenamed("label", "via").join(ends.withColumnRenamed("node", "via"), "via", "left")
+                .select("node", F.coalesce("label", "via").alias("label")))
+    least = ends.groupBy("label").agg(F.min("node").alias("least"))
+    labels = store(ends.join(least, "label").select("node", F.col("least").alias("label")), "labels")
+    unstore(*turns)
+    return labels
 
 
 def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:

@@ -99,6 +99,76 @@ def test_op1_links(spark, monkeypatch):
     assert max(w[2] for w in want) > 5
 
 
+def least_of_component(edges):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        p, q = find(a), find(b)
+        parent[max(p, q)] = min(p, q)
+    return {x: find(x) for x in list(parent)}
+
+
+def test_op1_connect_reads_edges_a_few_times(spark, monkeypatch):
+    """Paths, a star, random edges, loops and double edges: the least node of each component, while all turns
+    together write fewer rows than a few times the nodes and edges."""
+    rng = np.random.default_rng(8)
+    edges = [(k, k + 1) for k in range(1000, 1600)] + [(5000, int(k)) for k in rng.permutation(1000) + 4900 if k != 5000]
+    edges += [(int(a), int(b)) for a, b in rng.integers(10_000, 11_000, (500, 2))] + [(7, 7), (9, 8), (8, 9), (9, 8), (-3, -9)]
+    written, store = [], ngram_join.store
+
+    def counted(df, name):
+        written.append((out := store(df, name)).count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "store", counted)
+    got = {r.node: r.label for r in ngram_join.connect(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == (want := least_of_component(edges))
+    assert sum(written) < 3 * (len(want) + len(edges)), written
+    written.clear()
+    assert ngram_join.connect(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_op1_edges_of_a_large_group_follow_its_members():
+    """The blocks of one group of near copies, each met with each other: few edges more than members."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 62, 120).astype(np.uint64)
+    blocks = []
+    for k in range(10):
+        sets = [np.unique(np.concatenate([base[4:], rng.integers(0, 1 << 62, 4).astype(np.uint64)])) for _ in range(30)]
+        blocks.append([[k, c, c, len(s), ngram_join.bitmap(s).tobytes()]
+                       for c, s in zip(rng.integers(0, 1 << 60, 30).tolist(), sets)])
+    edges = set()
+    for i, one in enumerate(blocks):
+        edges.update(ngram_join._compare((0, i, i), one, 85))
+        for j in range(i):
+            edges.update(ngram_join._compare((0, j, i), blocks[j] + one, 85))
+    assert set(least_of_component(edges).values()) == {min(r[1] for b in blocks for r in b)}
+    assert len(edges) < 300 + 10 * 10, len(edges)
+
+
+def test_op1_groups_in_many_blocks(spark, monkeypatch):
+    """Components that only the last pass finds, over several blocks of a tile and of a group."""
+    rng = np.random.default_rng(10)
+    rows = []
+    for g in range(4):
+        base = [f"w{g}_{k}" for k in range(70)]
+        for v in range(40):
+            t = list(base)
+            for k in rng.integers(0, 70, size=v % 4):
+                t[k] = f"x{rng.integers(50)}"
+            rows.append((len(rows), " ".join(t)))
+    pdf = pd.DataFrame(rows, columns=["doc_id", "text"])
+    for name, value in (("PIVOT_ROUNDS", 0), ("BLOCK", 7), ("LINK_BLOCK", 15_000)):
+        monkeypatch.setattr(ngram_join, name, value)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(pdf)).collect()}
+    assert got == components(pdf, 4, 85)
+
+
 def test_bands_meet_and_bounds_hold():
     rng = np.random.default_rng(1)
     for a in [*range(1, 60), 200, 999, 5000]:
